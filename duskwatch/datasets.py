@@ -54,11 +54,16 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same events as the log store keeps them: identity columns and labels already in place."""
+    return modelled(source(spark, sf_dir))
+
+
+def modelled(rows: DataFrame) -> DataFrame:
+    """Rows of the table (batch or stream) as stored events."""
     k = _key_number()
     user = F.col("user_id").cast("string")
     host = F.concat(F.lit("host-"), (F.col("user_id") % 20).cast("string"))
     ip = F.concat(F.lit("10.0.0."), (F.col("user_id") % 250).cast("string"))
-    return source(spark, sf_dir).select(
+    return rows.select(
         "event_id",
         "ts",
         F.concat(F.lit("MESSAGE_"), F.upper("event_type")).alias("msg_id"),

@@ -206,3 +206,9 @@ def profile_report(profiles: DataFrame, settings: Settings, as_of: str) -> DataF
 def distinct_values(events: DataFrame, name: str, tz: str = LOCAL_TZ) -> DataFrame:
     """Values of a rule field with counts."""
     return top_terms(events.select(field(name, tz).alias("value")), "value")
+
+
+def user_hourly(events: DataFrame, as_of: str, tz: str = LOCAL_TZ) -> DataFrame:
+    """Events per user and local hour of a day."""
+    today = events.where(on_days("ts", as_of, tz=tz))
+    return today.groupBy("user_id", F.hour(local("ts", tz)).alias("hour")).agg(F.count("*").alias("cnt"))

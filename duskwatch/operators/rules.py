@@ -7,6 +7,7 @@ import json
 from collections.abc import Iterable, Mapping
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +30,8 @@ def parse_rules(df: DataFrame, col: str = "value") -> DataFrame:
 
 def rules_frame(spark: SparkSession, docs: Iterable[Mapping[str, Any]]) -> DataFrame:
     """Rule documents held by the program as a rules DataFrame."""
-    return parse_rules(spark.createDataFrame([(json.dumps(d),) for d in docs], "value string"))
+    # An Arrow table becomes a local relation, which the optimizer evaluates without starting a job.
+    return parse_rules(spark.createDataFrame(pa.table({"value": pa.array([json.dumps(d) for d in docs], pa.string())})))
 
 
 def _rule_id() -> Column:
@@ -40,51 +42,33 @@ def _name() -> Column:
     return F.coalesce(non_empty(F.col("name")), _rule_id())
 
 
-def _patterns() -> Column:
-    """Every form of a rule as one array of patterns; an empty array when the rule has none."""
-
-    def pattern(order: Column, match: Column, quantifier: Column) -> Column:
-        return F.struct(
-            order.alias("ord"),
-            match["msgId"].alias("msg_id"),
-            F.lower(F.coalesce(match["logic"], F.lit("and"))).alias("logic"),
-            F.coalesce(match["conditions"], F.array()).alias("conditions"),
-            F.greatest(F.coalesce(quantifier["min"], F.lit(1)), F.lit(1)).alias("qmin"),
-            # No quantifier at all is exactly one; a minimum without maximum is open (null).
-            F.when(quantifier["max"] > 0, F.greatest(quantifier["max"], F.coalesce(quantifier["min"], F.lit(1))))
-            .when(F.coalesce(quantifier["min"], F.lit(1)) > 1, F.lit(None))
-            .otherwise(F.lit(1))
-            .cast("int")
-            .alias("qmax"),
-        )
-
-    no_order = F.lit(None).cast("int")
-    no_quantifier = F.lit(None).cast("struct<min:int,max:int>")
-    from_patterns = F.transform("patterns", lambda p: pattern(p["order"], p["match"], p["quantifier"]))
-    from_events = F.transform(
-        "events",
-        lambda e, i: pattern(F.when(F.size("events") > 1, (i + 1).cast("int")), e, no_quantifier),
-    )
-    from_match = F.when(F.col("match").isNotNull(), F.array(pattern(no_order, F.col("match"), no_quantifier)))
-    typed = F.filter("conditions", lambda c: c["field"] == "msgId")
-    legacy = F.struct(
-        F.element_at(typed, -1)["value"].alias("msgId"),
-        F.lit(None).cast("string").alias("logic"),
-        F.filter("conditions", lambda c: ~c["field"].eqNullSafe("msgId")).alias("conditions"),
-    )
-    legacy = F.struct(
-        F.when(F.size(typed) > 0, F.element_at(typed, -1)["value"]).alias("msgId"), legacy["logic"].alias("logic"),
-        legacy["conditions"].alias("conditions"),
-    )
-    from_conditions = F.when(F.col("conditions").isNotNull(), F.array(pattern(no_order, legacy, no_quantifier)))
+def _pattern(order: str, match: str, conditions: str, quantifier: str | None = None) -> str:
+    """SQL of one pattern. No quantifier is exactly one; a minimum above one without maximum is open (null)."""
+    low = f"greatest(coalesce({quantifier}.min, 1), 1)" if quantifier else "1"
+    high = f"CASE WHEN {quantifier}.max > 0 THEN greatest({quantifier}.max, {low}) WHEN {low} > 1 THEN NULL ELSE 1 END" if quantifier else "1"
     return (
-        F.when(F.size("patterns") > 0, from_patterns)
-        .when(F.size("events") > 0, from_events)
-        .when(from_match.isNotNull(), from_match)
-        .otherwise(F.coalesce(from_conditions, F.array()))
+        f"named_struct('ord', CAST({order} AS INT), 'msg_id', {match}.msgId, 'logic', lower(coalesce({match}.logic, 'and')), "
+        f"'conditions', coalesce({conditions}, array()), 'qmin', {low}, 'qmax', CAST({high} AS INT))"
     )
 
 
+#: SQL of a rule's patterns: from ``patterns``, else ``events``, else ``match``, else the legacy ``conditions``
+#: (whose msgId comparison becomes the type); an empty array when the rule has none. The text is fixed: rule
+#: values stay in columns.
+_TYPED = "filter(conditions, c -> c.field = 'msgId')"
+_LEGACY = f"named_struct('msgId', CASE WHEN size({_TYPED}) > 0 THEN element_at({_TYPED}, -1).value END, 'logic', CAST(NULL AS STRING))"
+_PATTERNS = f"""CASE
+  WHEN size(patterns) > 0 THEN transform(patterns, p -> {_pattern("p.order", "p.match", "p.match.conditions", "p.quantifier")})
+  WHEN size(events) > 0 THEN transform(events, (e, i) -> {_pattern("CASE WHEN size(events) > 1 THEN i + 1 END", "e", "e.conditions")})
+  WHEN `match` IS NOT NULL THEN array({_pattern("NULL", "`match`", "`match`.conditions")})
+  WHEN conditions IS NOT NULL THEN array({_pattern("NULL", _LEGACY, "filter(conditions, c -> NOT (c.field <=> 'msgId'))")})
+  ELSE array() END"""
+
+
+def _patterns() -> Column:
+    return F.expr(_PATTERNS)
+
+
 def normalize_rules(rules: DataFrame) -> DataFrame:
     """One row per rule with its kind, patterns, window, keys and threshold.
 
@@ -105,12 +89,12 @@ def normalize_rules(rules: DataFrame) -> DataFrame:
         .otherwise("all")
     )
     # A threshold takes its window from the aggregate when there is one, else from the rule.
-    width = (
-        F.when(F.col("kind") == "threshold", F.when(F.col("aggregate").isNotNull(), window_seconds(F.col("aggregate.within"), DEFAULT_WITHIN["threshold"]))
-               .otherwise(window_seconds(F.col("within"), DEFAULT_WITHIN["threshold"])))
-        .when(F.col("kind") == "sequence", window_seconds(F.col("within"), DEFAULT_WITHIN["sequence"]))
-        .when(F.col("kind") == "all", window_seconds(F.col("within"), DEFAULT_WITHIN["all"]))
-    )
+    k = F.col("kind")
+    text = F.when((k == "threshold") & F.col("aggregate").isNotNull(), F.col("aggregate.within")).otherwise(F.col("within"))
+    fallback = F.lit(None).cast("string")
+    for name, length in DEFAULT_WITHIN.items():
+        fallback = F.when(k == name, length).otherwise(fallback)
+    width = F.when(k.isin(*DEFAULT_WITHIN), window_seconds(F.coalesce(text, fallback)))
     by = F.when(F.size("by") > 0, F.array_distinct("by")).otherwise(F.array(F.lit(DEFAULT_BY)))
     return (
         rules.withColumn("_p", _patterns())
@@ -145,7 +129,8 @@ def collect_rules(rules: DataFrame) -> list[dict[str, Any]]:
     A rule table is configuration written by people; its rows become part of the
     query plan, so they have to be on the driver.
     """
-    return [r.asDict(recursive=True) for r in normalize_rules(rules).orderBy("rule_id").collect()]
+    rows = [r.asDict(recursive=True) for r in normalize_rules(rules).collect()]
+    return sorted(rows, key=lambda r: r["rule_id"])
 
 
 def _condition_errors(conds: Column, place: str) -> Column:

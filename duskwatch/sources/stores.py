@@ -63,23 +63,26 @@ def last_snapshots(scores: DataFrame, tz: str = LOCAL_TZ) -> DataFrame:
 
 
 def upsert_scores(new: DataFrame, path: str, tz: str = LOCAL_TZ) -> None:
-    """Add snapshots to the stored days they belong to, keeping the last per user and hour.
+    """Write snapshots into the stored days they belong to; per user and hour the last write wins.
 
     The result is written aside before the days are replaced, so a failed run
     leaves the stored days as they were.
     """
     spark = new.sparkSession
-    fresh = last_snapshots(new, tz)
+    fresh = stage(last_snapshots(new, tz), "snapshots")
+    # Days of one run: one for a daily job, a few for a stream.
     days = [r[0] for r in fresh.select("day").distinct().collect()]
     if not days:
         return
     try:
         old = spark.read.parquet(path).where(F.col("day").isin(days)).select(*fresh.columns)
-        fresh = last_snapshots(old.unionByName(fresh), tz)
     except Exception as missing:  # the first write finds no table
         if "PATH_NOT_FOUND" not in str(missing):
             raise
-    write_partitions(stage(fresh, "snapshots"), path, "day")
+    else:
+        key = ["user_id", "day", "hour"]
+        fresh = stage(fresh.unionByName(old.join(fresh.select(*key), key, "left_anti")), "snapshots")
+    write_partitions(fresh, path, "day")
 
 
 def save_catalog(catalog: DataFrame, path: str, now: dt.datetime) -> None:
