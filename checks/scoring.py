@@ -40,7 +40,7 @@ look AS (SELECT t.user_id, t.msg_id, t.c, coalesce(b.mean, g.mean) AS mean, coal
 PREV = """
 newest AS (SELECT user_id, arg_max(risk_score, ts) AS s, max(ts) AS t FROM snap WHERE ts < TIMESTAMP '2024-01-29 15:00:00' GROUP BY user_id),
 prev AS (SELECT user_id, CASE WHEN s > 0 THEN s ELSE 0 END AS prev_score,
-                CAST(CASE WHEN s > 0 THEN greatest(1, floor(epoch(TIMESTAMP '2024-01-30 14:59:59' - t) / 86400) + 1) ELSE 1 END AS INTEGER) AS days_since FROM newest)
+                CAST(CASE WHEN s > 0 THEN greatest(1, floor(epoch(TIMESTAMP '2024-01-29 15:00:00' - t) / 86400) + 1) ELSE 1 END AS INTEGER) AS days_since FROM newest)
 """
 
 

@@ -11,51 +11,85 @@ from pyspark.sql import functions as F
 
 from ..functions.fields import field, field_number, local_day
 from ..functions.predicates import match
-from ..session import LOCAL_TZ
+from ..session import LOCAL_TZ, stage
 
 Rule = Mapping[str, Any]
 
 
-def rule_values(events: DataFrame, rules: Sequence[Rule], tz: str = LOCAL_TZ, approx: bool = False) -> DataFrame:
-    """``(user_id, rule_id, day, value)``: count, sum or distinct values of the events a rule matches.
+#: Kind of a counter row that counts events per type; other kinds are aggregate types of rules.
+TYPE = "type"
+
+
+def observations(events: DataFrame, rules: Sequence[Rule], tz: str = LOCAL_TZ, types: bool = True) -> DataFrame:
+    """``(user_id, day, kind, name, text, number)``: what each event adds, for all rules in one scan.
 
-    All rules are evaluated in one scan. A distinct count first groups by the
-    value as well, so that a user with very many values is spread over tasks.
+    With ``types`` every event also counts for its type. Only distinct counts
+    carry a text, and only sums a number.
     """
-    hits = []
+    parts = []
+    if types:
+        parts.append(F.struct(
+            F.lit(TYPE).alias("kind"), F.col("msg_id").alias("name"), F.lit(None).cast("string").alias("text"), F.lit(0.0).alias("number"),
+        ))
+    else:
+        wanted = sorted({r["patterns"][0]["msg_id"] for r in rules if r["patterns"][0]["msg_id"]})
+        events = events.where(F.col("msg_id").isin(wanted))
     for rule in rules:
         kind, name = rule["agg_type"], rule["agg_field"]
         number = F.coalesce(field_number(name, tz), F.lit(0.0)) if kind == "sum" and name else F.lit(0.0)
         text = field(name, tz).cast("string") if kind == "cardinality" and name else F.lit(None).cast("string")
-        hit = F.struct(
-            F.lit(rule["rule_id"]).alias("rule_id"), F.lit(kind).alias("kind"), number.alias("number"), text.alias("text")
-        )
-        hits.append(F.when(match(rule["patterns"][0], tz, require_type=True), hit))
-    types = sorted({r["patterns"][0]["msg_id"] for r in rules if r["patterns"][0]["msg_id"]})
-    found = events.where(F.col("msg_id").isin(types)).select(
-        "user_id", local_day("ts", tz).alias("day"),
-        F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("h"),
-    ).select("user_id", "day", "h.*")
-    keys = ["user_id", "rule_id", "kind", "day"]
-    counted, total = F.sum("n").cast("double"), F.sum("number")
-    if approx:
-        grouped = found.groupBy(*keys).agg(
-            F.count("*").alias("n"), F.sum("number").alias("number"), F.approx_count_distinct("text").alias("distinct")
-        )
-        counted, total, distinct = F.col("n").cast("double"), F.col("number"), F.col("distinct").cast("double")
-        return grouped.select("user_id", "rule_id", "day", _by_kind(counted, total, distinct))
-    if any(r["agg_type"] == "cardinality" for r in rules):
-        # Only distinct counts carry a text; for other rules this step is a plain partial count.
-        found = found.groupBy(*keys, "text").agg(F.count("*").alias("n"), F.sum("number").alias("number"))
-    else:
-        found = found.withColumn("n", F.lit(1).cast("bigint"))
-    distinct = F.count("text").cast("double")
-    return found.groupBy(*keys).agg(_by_kind(counted, total, distinct)).select("user_id", "rule_id", "day", "value")
+        row = F.struct(F.lit(kind).alias("kind"), F.lit(rule["rule_id"]).alias("name"), text.alias("text"), number.alias("number"))
+        parts.append(F.when(match(rule["patterns"][0], tz, require_type=True), row))
+    each = F.explode(F.filter(F.array(*parts), lambda p: p.isNotNull()))
+    return events.select("user_id", local_day("ts", tz).alias("day"), each.alias("p")).select("user_id", "day", "p.*")
+
+
+_COUNTER = ["user_id", "day", "kind", "name", "text"]
+
+
+def counters(events: DataFrame, rules: Sequence[Rule], tz: str = LOCAL_TZ, types: bool = True) -> DataFrame:
+    """Observations added up per user, day, kind and name (and value, for distinct counts).
+
+    Rows are combined before the shuffle, and a user with very many distinct
+    values is spread over tasks by the value.
+    """
+    return observations(events, rules, tz, types).groupBy(*_COUNTER).agg(F.count("*").alias("n"), F.sum("number").alias("number"))
+
 
+def merged(parts: DataFrame) -> DataFrame:
+    """Counters of several batches as one: a value seen in two batches is one distinct value."""
+    return parts.groupBy(*_COUNTER).agg(F.sum("n").alias("n"), F.sum("number").alias("number"))
 
-def _by_kind(counted: Column, total: Column, distinct: Column) -> Column:
+
+def counted_types(stored: DataFrame) -> DataFrame:
+    """Events per user, type and day, from counters."""
+    per_type = stored.where(F.col("kind") == TYPE).groupBy("user_id", F.col("name").alias("msg_id"), "day")
+    return per_type.agg(F.sum("n").cast("bigint").alias("cnt"))
+
+
+def counted_values(stored: DataFrame) -> DataFrame:
+    """Rule values per user and day, from counters of one batch (or ``merged`` ones)."""
+    kind = F.col("kind")
+    value = F.when(kind == "sum", F.sum("number")).when(kind == "cardinality", F.count("text").cast("double"))
+    rules = stored.where(kind != TYPE).groupBy("user_id", "day", "kind", "name")
+    return rules.agg(value.otherwise(F.sum("n").cast("double")).alias("value")).select(
+        "user_id", F.col("name").alias("rule_id"), "day", "value"
+    )
+
+
+def rule_values(events: DataFrame, rules: Sequence[Rule], tz: str = LOCAL_TZ, approx: bool = False) -> DataFrame:
+    """``(user_id, rule_id, day, value)``: count, sum or distinct values of the events a rule matches.
+
+    ``approx`` estimates distinct counts in one aggregate, without rows per value.
+    """
+    if not approx:
+        return counted_values(counters(events, rules, tz, types=False))
     kind = F.col("kind")
-    return F.when(kind == "sum", total).when(kind == "cardinality", distinct).otherwise(counted).alias("value")
+    value = F.when(kind == "sum", F.sum("number")).when(kind == "cardinality", F.approx_count_distinct("text").cast("double"))
+    rows = observations(events, rules, tz, types=False).groupBy("user_id", "day", "kind", "name")
+    return rows.agg(value.otherwise(F.count("*").cast("double")).alias("value")).select(
+        "user_id", F.col("name").alias("rule_id"), "day", "value"
+    )
 
 
 def event_counts(events: DataFrame, tz: str = LOCAL_TZ) -> DataFrame:
@@ -106,7 +140,8 @@ def global_baselines(users: DataFrame) -> DataFrame:
 
 
 def all_baselines(counts: DataFrame, as_of: str, days: int, full_window: bool = False) -> DataFrame:
-    users = baselines(counts, as_of, days, full_window)
+    # Written once: both halves, and the checks of their size, read the result.
+    users = stage(baselines(counts, as_of, days, full_window), "baselines")
     return users.unionByName(global_baselines(users))
 
 

@@ -67,19 +67,14 @@ def _matches(events: DataFrame, rules: Sequence[Rule], tz: str) -> DataFrame:
     hits = []
     for rule in rules:
         mask = pattern_mask(rule, tz)
-        windowed = rule["kind"] in WINDOW_KINDS
+        in_key = rule["kind"] in ROW_KINDS or "userId" in rule["by"]
         hits.append(
             F.when(
                 mask > 0,
                 F.struct(
                     F.lit(rule["rule_id"]).alias("rule_id"),
-                    F.lit(rule["kind"]).alias("kind"),
                     mask.alias("mask"),
-                    F.lit(rule["within_s"]).cast("bigint").alias("width"),
-                    F.lit(rule["min_count"] or 1).cast("bigint").alias("min_count"),
-                    # A co-occurrence needs every pattern in the window; a threshold has one.
-                    F.lit((1 << len(rule["patterns"])) - 1).cast("bigint").alias("needed"),
-                    (F.col("user_id") if not windowed or "userId" in rule["by"] else F.lit(None)).cast("string").alias("user_id"),
+                    (F.col("user_id") if in_key else F.lit(None)).cast("string").alias("user_id"),
                     _extra_keys(rule, tz).alias("by_values"),
                 ),
             )
@@ -90,46 +85,59 @@ def _matches(events: DataFrame, rules: Sequence[Rule], tz: str) -> DataFrame:
     )
 
 
-def row_matches(found: DataFrame) -> DataFrame:
+def by_rule(values: Mapping[str, Any]) -> Column:
+    """A value of the rule a row belongs to, from a literal map: rule constants need not travel with the rows."""
+    return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[F.col("rule_id")]
+
+
+def row_matches(found: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Single patterns and alternatives: one match per event."""
-    return found.where(F.col("kind").isin(*ROW_KINDS)).select(
+    return found.where(F.col("rule_id").isin([r["rule_id"] for r in of_kind(rules, *ROW_KINDS)])).select(
         "rule_id", "user_id", "hostname", "user_ip", F.lit(1).cast("bigint").alias("cnt"), "ts",
         F.concat_ws("|", "event_id").alias("origin"),
     )
 
 
-def window_matches(found: DataFrame) -> DataFrame:
+def reached(grouped: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Windows that fulfil their rule: the minimum count, and every pattern seen (a threshold has one)."""
+    least = by_rule({r["rule_id"]: int(r["min_count"] or 1) for r in rules})
+    needed = by_rule({r["rule_id"]: (1 << len(r["patterns"])) - 1 for r in rules})
+    return grouped.where((F.col("cnt") >= least) & (F.col("seen") == needed))
+
+
+WINDOW_KEYS = ["rule_id", "user_id", "hostname", "user_ip", "by_values"]
+
+
+def window_matches(found: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Thresholds and co-occurrences of every width in one aggregate.
 
     The window start is computed from the rule's own width, so rules with
     different widths share one scan and one shuffle, and counts are combined on
     the map side before it: a hot user costs one row per task and window.
     """
-    keys = ["rule_id", "user_id", "hostname", "user_ip", "by_values", "width", "min_count", "needed"]
+    mine = of_kind(rules, *WINDOW_KINDS)
+    width = by_rule({r["rule_id"]: int(r["within_s"]) for r in mine})
     grouped = (
-        found.where(F.col("kind").isin(*WINDOW_KINDS))
-        .groupBy(*keys, window_start("ts", F.col("width")).alias("start"))
+        found.where(F.col("rule_id").isin([r["rule_id"] for r in mine]))
+        .groupBy(*WINDOW_KEYS, window_start("ts", width).alias("start"))
         .agg(F.count("*").alias("cnt"), F.bit_or("mask").alias("seen"))
     )
-    passed = grouped.where((F.col("cnt") >= F.col("min_count")) & (F.col("seen") == F.col("needed")))
-    return passed.select(
+    return reached(grouped, mine).select(
         "rule_id", "user_id", "hostname", "user_ip", "cnt",
-        F.timestamp_seconds(F.col("start") + F.col("width")).alias("ts"),
+        F.timestamp_seconds(F.col("start") + width).alias("ts"),
         F.concat_ws("|", "start", F.concat_ws("|", "by_values")).alias("origin"),
     )
 
 
 def to_alerts(found: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Alert rows. The id depends on rule, key and window or event, so a replay writes the same ids."""
-    names = F.create_map(*[F.lit(x) for r in rules for x in (r["rule_id"], r["name"])])
-    severities = F.create_map(*[F.lit(x) for r in rules for x in (r["rule_id"], r["severity"])])
     # A null and an empty key must not share an id, hence the marks around each value.
     parts = [F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-")) for c in ("rule_id", "user_id", "hostname", "user_ip", "origin")]
     return found.select(
         F.md5(F.concat_ws("|", *parts)).alias("alert_id"),
         "rule_id",
-        names[F.col("rule_id")].alias("rule_name"),
-        severities[F.col("rule_id")].alias("severity"),
+        by_rule({r["rule_id"]: r["name"] for r in rules}).alias("rule_name"),
+        by_rule({r["rule_id"]: r["severity"] for r in rules}).alias("severity"),
         "user_id", "hostname", "user_ip", "cnt", "ts",
     )
 
@@ -137,25 +145,25 @@ def to_alerts(found: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 def detect_filter(events: DataFrame, rules: Sequence[Rule], tz: str = LOCAL_TZ) -> DataFrame:
     """Rules with one pattern: an alert per matching event."""
     mine = of_kind(rules, "single")
-    return to_alerts(row_matches(matches(events, mine, tz)), mine)
+    return to_alerts(row_matches(matches(events, mine, tz), mine), mine)
 
 
 def detect_any(events: DataFrame, rules: Sequence[Rule], tz: str = LOCAL_TZ) -> DataFrame:
     """Alternatives: an alert per event that matches any pattern of a rule, once."""
     mine = of_kind(rules, "any")
-    return to_alerts(row_matches(matches(events, mine, tz)), mine)
+    return to_alerts(row_matches(matches(events, mine, tz), mine), mine)
 
 
 def detect_threshold(events: DataFrame, rules: Sequence[Rule], tz: str = LOCAL_TZ) -> DataFrame:
     """Counts per key and tumbling window that reach the rule's minimum."""
     mine = of_kind(rules, "threshold")
-    return to_alerts(window_matches(matches(events, mine, tz)), mine)
+    return to_alerts(window_matches(matches(events, mine, tz), mine), mine)
 
 
 def detect_all(events: DataFrame, rules: Sequence[Rule], tz: str = LOCAL_TZ) -> DataFrame:
     """Windows in which a key shows every pattern of a rule."""
     mine = of_kind(rules, "all")
-    return to_alerts(window_matches(matches(events, mine, tz)), mine)
+    return to_alerts(window_matches(matches(events, mine, tz), mine), mine)
 
 
 def detect(events: DataFrame, rules: Sequence[Rule], tz: str = LOCAL_TZ) -> DataFrame:
@@ -172,8 +180,8 @@ def detect(events: DataFrame, rules: Sequence[Rule], tz: str = LOCAL_TZ) -> Data
         found = matches(events, [*rows, *windows], tz)
         if rows and windows:
             found = stage(found, "matches")
-        parts += [row_matches(found)] if rows else []
-        parts += [window_matches(found)] if windows else []
+        parts += [row_matches(found, rows)] if rows else []
+        parts += [window_matches(found, windows)] if windows else []
     if ordered:
         parts.append(detect_sequence(events, ordered, tz))
     if not parts:

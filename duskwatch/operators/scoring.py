@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fields import round2
-from ..functions.predicates import midnight
+from ..functions.predicates import midnight, on_days
 from ..schema import SETTINGS_DDL
-from ..session import LOCAL_TZ
+from ..session import LOCAL_TZ, broadcast_if_small, stage
 from . import behaviour
 
 #: Contexts with a meaning of their own.
@@ -159,7 +159,8 @@ def lookup_baseline(counts: DataFrame, known: DataFrame, as_of: str, days: int)
     own = known.where((F.col("scope") == "user") & F.coalesce(fresh, F.lit(True))).select(
         "user_id", "msg_id", F.struct(*fields).alias("own")
     )
-    common = known.where(F.col("scope") == "global").select("msg_id", F.struct(*fields).alias("common"))
+    # One row per event type. Shuffling the counts by type would send a third of them to one task.
+    common = broadcast_if_small(known.where(F.col("scope") == "global").select("msg_id", F.struct(*fields).alias("common")))
     both = counts.join(own, ["user_id", "msg_id"], "left").join(common, "msg_id", "left")
     source = F.when(F.col("own").isNotNull(), "user").when(F.col("common").isNotNull(), "global")
     return both.select(*counts.columns, F.coalesce("own", "common").alias("b"), source.alias("baseline_scope")).select(
@@ -206,9 +207,11 @@ def status(cold: Column, best_days: Column) -> Column:
 def prev_scores(scores: DataFrame, as_of: str, now: dt.datetime | None = None, tz: str = LOCAL_TZ) -> DataFrame:
     """Newest score before the local day ``as_of`` per user, with the days since.
 
-    A newest score of zero or less counts as none: score 0, one day.
+    Days are counted up to ``now``, by default the start of the day, so a score
+    of yesterday is one day old. A newest score of zero or less counts as none:
+    score 0, one day.
     """
-    now = now or midnight(as_of, tz, 1) - dt.timedelta(seconds=1)
+    now = now or midnight(as_of, tz)
     newest = scores.where(F.col("ts") < F.lit(midnight(as_of, tz))).groupBy("user_id").agg(
         F.max_by(F.struct("risk_score", "ts"), "ts").alias("s")
     )
@@ -286,12 +289,14 @@ def score_day(
     events: DataFrame, rules: Sequence[Mapping[str, Any]], known: DataFrame, profiles: DataFrame,
     previous: DataFrame, settings: Settings, as_of: str, tz: str = LOCAL_TZ,
 ) -> DataFrame:
-    """``daily_risk`` from the events of the day."""
-    from ..functions.predicates import on_days
+    """``daily_risk`` from the events of the day.
 
+    The day is scanned once: its counters, a small table, are written and serve
+    both the event counts and the rule values.
+    """
     today = events.where(on_days("ts", as_of, tz=tz))
-    counts = behaviour.event_counts(today, tz)
-    values = behaviour.rule_values(today, rules, tz)
+    stored = stage(behaviour.counters(today, rules, tz), "counters")
+    counts, values = behaviour.counted_types(stored), behaviour.counted_values(stored)
     return daily_risk(counts, values, rules, known, profiles, previous, settings, as_of)
 
 

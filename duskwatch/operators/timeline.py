@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fields import round2
-from ..functions.predicates import on_days
-from ..session import LOCAL_TZ
+from ..functions.predicates import midnight, on_days
+from ..session import LOCAL_TZ, broadcast_if_small, stage
 from . import behaviour, scoring
 from .scoring import Settings
 
@@ -34,20 +34,24 @@ def daily_inputs(
     """``(user_id, day, points, anomaly_raw, best_days)`` for every user and day from their first event on."""
     n = settings.baseline_window_days
     lo, hi = F.lit(first).cast("date"), F.lit(last).cast("date")
-    counts = behaviour.event_counts(events, tz).where(F.col("day").between(F.date_sub(lo, n), hi))
+    # One scan of the range and the days before it; everything below reads the small tables of counters.
+    begin = midnight(first, tz, -n).date().isoformat()
+    stored = stage(behaviour.counters(events.where(on_days("ts", begin, last, tz)), rules, tz), "counters")
+    counts = behaviour.counted_types(stored)
     current = counts.where(F.col("day") >= lo)
-    values = behaviour.rule_values(events.where(on_days("ts", first, last, tz)), rules, tz)
+    values = behaviour.counted_values(stored.where(F.col("day") >= lo))
     points = scoring.weighted(values, rules, settings.frequency_function).groupBy("user_id", "day").agg(F.sum("points").alias("points"))
 
-    history = _until(behaviour.baseline_history(counts, first, last, n), ["user_id", "msg_id"], hi)
+    history = stage(_until(behaviour.baseline_history(counts, first, last, n), ["user_id", "msg_id"], hi), "history")
     # A stored baseline answers for its user while it is at most n days old, ...
     own = history.withColumn("day", F.explode(F.sequence("as_of", F.least("valid_to", F.date_add("as_of", n)))))
     # ... and the population's baseline answers after that.
+    # (one row per type and day, so it is sent to the counts rather than the counts to it).
     common = _until(_global_history(history), ["msg_id"], hi).withColumn("day", F.explode(F.sequence("as_of", "valid_to")))
     fields = ("mean", "stddev", "sample_days")
     looked_up = (
         current.join(own.select("user_id", "msg_id", "day", F.struct(*fields).alias("own")), ["user_id", "msg_id", "day"], "left")
-        .join(common.select("msg_id", "day", F.struct(*fields).alias("common")), ["msg_id", "day"], "left")
+        .join(broadcast_if_small(common.select("msg_id", "day", F.struct(*fields).alias("common"))), ["msg_id", "day"], "left")
         .select("user_id", "day", "cnt", F.coalesce("own", "common").alias("b"))
         .select("user_id", "day", "cnt", "b.*")
     )

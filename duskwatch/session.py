@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Fixed value: the zone in which days and hours are counted unless a caller names another.
 LOCAL_TZ = "Asia/Seoul"
@@ -37,3 +38,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = stage_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows up to which a side of a join is sent to every executor.
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a narrow table for broadcast after counting it (no further than the bound).
+
+    A larger table is joined by shuffle, where adaptive execution splits hot keys.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

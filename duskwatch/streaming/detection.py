@@ -13,7 +13,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.detect import ROW_KINDS, WINDOW_KINDS, matches, of_kind, row_matches, to_alerts
+from ..operators.detect import ROW_KINDS, WINDOW_KEYS, WINDOW_KINDS, matches, of_kind, reached, row_matches, to_alerts
 from ..session import LOCAL_TZ
 from .sequences import sequence_stream
 
@@ -32,12 +32,10 @@ def prepared(events: DataFrame, delay: str = "10 minutes", dedup: bool = False)
 def window_stream(events: DataFrame, rules: Sequence[Rule], width: int, tz: str = LOCAL_TZ) -> DataFrame:
     """Thresholds and co-occurrences of one window width. The window column lets Spark drop closed state."""
     found = matches(events, rules, tz)
-    keys = ["rule_id", "user_id", "hostname", "user_ip", "by_values", "min_count", "needed"]
-    grouped = found.groupBy(F.window("ts", f"{width} seconds").alias("w"), *keys).agg(
+    grouped = found.groupBy(F.window("ts", f"{width} seconds").alias("w"), *WINDOW_KEYS).agg(
         F.count("*").alias("cnt"), F.bit_or("mask").alias("seen")
     )
-    passed = grouped.where((F.col("cnt") >= F.col("min_count")) & (F.col("seen") == F.col("needed")))
-    return passed.select(
+    return reached(grouped, rules).select(
         "rule_id", "user_id", "hostname", "user_ip", "cnt", F.col("w.end").alias("ts"),
         F.concat_ws("|", F.unix_seconds("w.start"), F.concat_ws("|", "by_values")).alias("origin"),
     )
@@ -52,7 +50,7 @@ def detect_stream(events: DataFrame, rules: Sequence[Rule], tz: str = LOCAL_TZ)
     parts = []
     rows = of_kind(rules, *ROW_KINDS)
     if rows:
-        parts.append(row_matches(matches(events, rows, tz)))
+        parts.append(row_matches(matches(events, rows, tz), rows))
     widths: dict[int, list[Rule]] = {}
     for rule in of_kind(rules, *WINDOW_KINDS):
         widths.setdefault(rule["within_s"], []).append(rule)

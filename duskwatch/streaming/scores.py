@@ -17,7 +17,6 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.fields import local_day
 from ..functions.predicates import midnight
 from ..operators import behaviour, scoring
 from ..operators.scoring import Settings
@@ -28,45 +27,6 @@ Rule = Mapping[str, Any]
 COUNTERS_DDL = "user_id string, kind string, name string, text string, n bigint, number double, day date, batch bigint"
 
 
-def counters(events: DataFrame, rules: Sequence[Rule], tz: str = LOCAL_TZ) -> DataFrame:
-    """What a batch adds to the day: one row per user, day, kind and name (and value, for distinct counts)."""
-    from ..functions.fields import field, field_number
-    from ..functions.predicates import match
-
-    parts = [F.struct(
-        F.lit("type").alias("kind"), F.col("msg_id").alias("name"), F.lit(None).cast("string").alias("text"), F.lit(0.0).alias("number"),
-    )]
-    for rule in rules:
-        kind, name = rule["agg_type"], rule["agg_field"]
-        number = F.coalesce(field_number(name, tz), F.lit(0.0)) if kind == "sum" and name else F.lit(0.0)
-        text = field(name, tz).cast("string") if kind == "cardinality" and name else F.lit(None).cast("string")
-        row = F.struct(F.lit(kind).alias("kind"), F.lit(rule["rule_id"]).alias("name"), text.alias("text"), number.alias("number"))
-        parts.append(F.when(match(rule["patterns"][0], tz, require_type=True), row))
-    return (
-        events.select("user_id", local_day("ts", tz).alias("day"), F.explode(F.filter(F.array(*parts), lambda p: p.isNotNull())).alias("p"))
-        .select("user_id", "day", "p.*")
-        .groupBy("user_id", "day", "kind", "name", "text")
-        .agg(F.count("*").alias("n"), F.sum("number").alias("number"))
-    )
-
-
-def day_counts(stored: DataFrame) -> DataFrame:
-    return stored.where("kind = 'type'").groupBy("user_id", F.col("name").alias("msg_id"), "day").agg(F.sum("n").alias("cnt"))
-
-
-def day_values(stored: DataFrame) -> DataFrame:
-    """Rule values of the day. A value seen in several batches is one distinct value."""
-    rules = stored.where("kind <> 'type'").groupBy("user_id", "day", "kind", "name", "text").agg(
-        F.sum("n").alias("n"), F.sum("number").alias("number")
-    )
-    value = F.when(F.col("kind") == "sum", F.sum("number")).when(
-        F.col("kind") == "cardinality", F.count("text").cast("double")
-    ).otherwise(F.sum("n").cast("double"))
-    return rules.groupBy("user_id", "day", "kind", "name").agg(value.alias("value")).select(
-        "user_id", F.col("name").alias("rule_id"), "day", "value"
-    )
-
-
 @dataclasses.dataclass
 class ScoreStream:
     """Scores every user of a micro-batch.
@@ -85,7 +45,7 @@ class ScoreStream:
 
     def on_batch(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = stage(counters(batch, self.rules, self.tz), "counters")
+        fresh = stage(behaviour.counters(batch, self.rules, self.tz), "counters")
         write_partitions(fresh.withColumn("batch", F.lit(batch_id).cast("bigint")), self.counters_path, "day", "batch")
         # Days of one micro-batch: a handful, around midnight or after an outage.
         for (day,) in sorted(fresh.select("day").distinct().collect()):
@@ -96,17 +56,19 @@ class ScoreStream:
         # A repeated batch must see what it saw first: later batches are not counted yet.
         stored = stored.where(F.col("batch") <= batch_id)
         known, profiles, previous = self.context(spark, day)
+        stored = behaviour.merged(stored)
         if users is not None:
             stored = stored.join(users, "user_id", "left_semi")
             previous = previous.join(users, "user_id", "left_semi")
-        out = scoring.daily_risk(day_counts(stored), day_values(stored), self.rules, known, profiles, previous, self.settings, day)
+        out = scoring.daily_risk(behaviour.counted_types(stored), behaviour.counted_values(stored), self.rules, known, profiles, previous, self.settings, day)
         write_partitions(out.withColumn("batch", F.lit(batch_id).cast("bigint")), self.scores_path, "day", "batch")
 
     def close_day(self, spark: SparkSession, day: str, path: str) -> None:
         """Final scores of a finished day, for users with and without events, stamped with the end of the day."""
         stored = spark.read.schema(COUNTERS_DDL).parquet(self.counters_path).where(F.col("day") == F.lit(day).cast("date"))
+        stored = behaviour.merged(stored)
         known, profiles, previous = self.context(spark, day)
-        out = scoring.daily_risk(day_counts(stored), day_values(stored), self.rules, known, profiles, previous, self.settings, day)
+        out = scoring.daily_risk(behaviour.counted_types(stored), behaviour.counted_values(stored), self.rules, known, profiles, previous, self.settings, day)
         end = F.lit(midnight(day, self.tz, 1)) - F.expr("interval 1 second")
         write_partitions(out.withColumns({"ts": end, "hour": F.lit(23)}), path, "day")
 
@@ -125,4 +87,5 @@ def current_scores(spark: SparkSession, scores_path: str, day: str) -> DataFrame
 
 def recover(events: DataFrame, rules: Sequence[Rule], tz: str = LOCAL_TZ) -> tuple[DataFrame, DataFrame]:
     """Counts and rule values of a day from the stored log, when no counters exist."""
-    return behaviour.event_counts(events, tz), behaviour.rule_values(events, rules, tz)
+    stored = stage(behaviour.counters(events, rules, tz), "counters")
+    return behaviour.counted_types(stored), behaviour.counted_values(stored)

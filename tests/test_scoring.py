@@ -107,8 +107,8 @@ def test_previous_score(spark):
     ]
     scores = spark.createDataFrame(rows, "user_id string, risk_score double, ts timestamp")
     got = {r.user_id: (r.prev_score, r.days_since) for r in S.prev_scores(scores, DAY).collect()}
-    # The day ends at 14:59:59 UTC, 24 hours after the last second of the day before.
-    assert got == {"a": (7.0, 2), "b": (0.0, 1), "c": (3.0, 4)}
+    # The day starts at 15:00 UTC, one second after the last snapshot of the day before.
+    assert got == {"a": (7.0, 1), "b": (0.0, 1), "c": (3.0, 3)}
     noon = dt.datetime(2024, 1, 30, 3, tzinfo=dt.timezone.utc)
     assert {r.user_id: r.days_since for r in S.prev_scores(scores, DAY, noon).collect()} == {"a": 1, "b": 1, "c": 3}
 
