@@ -84,3 +84,12 @@ def field_number(name: str, tz: str = LOCAL_TZ) -> Column:
 def round2(col: Column) -> Column:
     """Two digits, halves away from zero, on the scaled binary value."""
     return F.round(col * F.lit(100.0)) / F.lit(100.0)
+
+
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it in ``body``.
+
+    Inside a lambda, an outer expression would be computed again for every
+    element; as the variable of a one-element transform it is computed once.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fields import let
 from ..functions.predicates import last_days
 from ..session import LOCAL_TZ
 from .normalize import LABEL_SUFFIX, label_name, raw_key
@@ -38,10 +39,10 @@ def field_catalog(events: DataFrame, as_of: str, days: int = 7, top: int = 100,
 
 def label_key(events: DataFrame, msg_id: str, name: str) -> str | None:
     """Raw key whose label reads ``name`` in the newest labelled event of a type."""
-    ext = F.col("ext")
-    keys = F.filter(F.map_keys(ext), lambda k: k.endswith(LABEL_SUFFIX) & (label_name(ext[k]) == name))
-    key = F.get(F.array_sort(keys), 0)
-    row = events.where(F.col("msg_id") == msg_id).agg(F.max_by(key, F.when(key.isNotNull(), F.col("ts"))).alias("key")).first()
+    named = lambda m: F.filter(F.map_keys(m), lambda k: k.endswith(LABEL_SUFFIX) & (label_name(m[k]) == name))
+    key = F.get(F.array_sort(let(F.col("ext"), named)), F.lit(0))
+    typed = events.where(F.col("msg_id") == msg_id).select("ts", key.alias("key"))
+    row = typed.where("key is not null").agg(F.max_by("key", "ts").alias("key")).first()
     return row["key"][: -len(LABEL_SUFFIX)] if row and row["key"] else None
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fields import local, non_empty
+from ..functions.fields import let, local, non_empty
 from ..session import LOCAL_TZ
 
 #: Suffix of label keys, and the prefix of event types.
@@ -30,22 +30,30 @@ def expanded(ext: Column) -> Column:
     label, the pair with the highest key wins; the reference leaves that to
     chance, a fixed order keeps replays equal.
     """
-    entries = F.map_entries(ext)
-    labelled = F.filter(
-        entries,
-        lambda e: e["key"].endswith(LABEL_SUFFIX)
-        & (F.length(e["value"]) > 0)
-        & (F.length(ext[raw_key(e["key"])]) > 0),
-    )
-    pairs = F.transform(
-        F.array_sort(labelled),
-        lambda e: F.struct(label_name(e["value"]).alias("name"), ext[raw_key(e["key"])].alias("value")),
-    )
-    names = F.transform(pairs, lambda p: p["name"])
-    last = F.filter(pairs, lambda p, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), p["name"]))
-    added = F.map_from_entries(last)
-    kept = F.map_filter(ext, lambda k, _: ~F.array_contains(names, k))
-    return F.when(F.size(pairs) > 0, F.map_concat(kept, added)).otherwise(ext)
+
+    def pairs(m: Column) -> Column:
+        labelled = F.filter(F.map_entries(m), lambda e: e["key"].endswith(LABEL_SUFFIX) & (e["value"] != ""))
+        named = F.transform(
+            F.array_sort(labelled),
+            lambda e: F.struct(label_name(e["value"]).alias("key"), m[raw_key(e["key"])].alias("value")),
+        )
+        return F.filter(named, lambda p: p["value"] != "")
+
+    def last_of(found: Column, names: Column) -> Column:
+        later = lambda p, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), p["key"])
+        return F.when(F.size(F.array_distinct(names)) == F.size(names), found).otherwise(F.filter(found, later))
+
+    def merged(m: Column, found: Column, names: Column) -> Column:
+        kept = F.filter(F.map_entries(m), lambda e: ~F.array_contains(names, e["key"]))
+        return F.map_from_entries(F.concat(kept, last_of(found, names)))
+
+    def expand(m: Column) -> Column:
+        with_names = lambda found: let(F.transform(found, lambda p: p["key"]), lambda names: merged(m, found, names))
+        return let(pairs(m), lambda found: F.when(F.size(found) > 0, with_names(found)).otherwise(m))
+
+    # Most events carry no label; looking for one in the joined keys stays in generated code.
+    labelled = F.array_join(F.map_keys(ext), "\n").contains(LABEL_SUFFIX)
+    return F.when(labelled, let(ext, expand)).otherwise(ext)
 
 
 def expand_labels(df: DataFrame, map_col: str = "ext") -> DataFrame:

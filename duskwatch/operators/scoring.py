@@ -140,16 +140,23 @@ def rule_scores(values: DataFrame, rules: Sequence[Mapping[str, Any]], profiles:
 
     The maps hold one entry per rule, so the groups are bounded by the rule list.
     """
-    per_user = weighted(values, rules, settings.frequency_function).groupBy("user_id").agg(
+    per_user = rule_points(values, rules, settings.frequency_function)
+    return with_context(per_user, profiles, settings, F.lit(as_of).cast("date")).select(
+        "user_id", (F.col("points") * F.col("multiplier")).alias("rule_raw"), _each_rule().alias("rule_scores"), "event_values"
+    )
+
+
+def rule_points(values: DataFrame, rules: Sequence[Mapping[str, Any]], mode: str) -> DataFrame:
+    """Points per user, in all and per rule, before the user's multiplier."""
+    return weighted(values, rules, mode).groupBy("user_id").agg(
         F.sum("points").alias("points"),
         F.collect_list(F.struct("name", "points")).alias("each"),
         F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("event_values"),
     )
-    m = F.col("multiplier")
-    each = F.map_from_entries(F.transform("each", lambda x: F.struct(x["name"], round2(x["points"] * m))))
-    return with_context(per_user, profiles, settings, F.lit(as_of).cast("date")).select(
-        "user_id", (F.col("points") * m).alias("rule_raw"), each.alias("rule_scores"), "event_values"
-    )
+
+
+def _each_rule() -> Column:
+    return F.map_from_entries(F.transform("each", lambda x: F.struct(x["name"], round2(x["points"] * F.col("multiplier")))))
 
 
 def lookup_baseline(counts: DataFrame, known: DataFrame, as_of: str, days: int) -> DataFrame:
@@ -265,20 +272,21 @@ def daily_risk(
     can make one task large.
     """
     day = F.lit(as_of).cast("date")
-    points = rule_scores(values, rules, profiles, settings, as_of)
+    points = rule_points(values, rules, settings.frequency_function)
     unusual = anomaly_scores(counts, known, settings, as_of)
     carried = previous.where(F.col("prev_score") > 0)
     rows = (
         unusual.join(points, "user_id", "left")
         .join(carried, "user_id", "full_outer")
         .join(best_sample_days(known), "user_id", "left")
-        .fillna({"rule_raw": 0.0, "anomaly_raw": 0.0, "prev_score": 0.0, "days_since": 1})
+        .fillna({"points": 0.0, "anomaly_raw": 0.0, "prev_score": 0.0, "days_since": 1})
     )
-    out = combine(with_context(rows, profiles, settings, day), settings, day)
+    placed = with_context(rows, profiles, settings, day)
+    out = combine(placed.withColumn("rule_raw", F.col("points") * F.col("multiplier")), settings, day)
     no_scores, no_counts = F.create_map().cast("map<string,double>"), F.create_map().cast("map<string,bigint>")
     return out.select(
         "user_id", day.alias("day"), "risk_score", "risk_level", "status", "rule_score",
-        F.when(F.col("whitelisted"), no_scores).otherwise(F.coalesce("rule_scores", no_scores)).alias("rule_scores"),
+        F.when(F.col("whitelisted"), no_scores).otherwise(F.coalesce(_each_rule(), no_scores)).alias("rule_scores"),
         "anomaly_score", "daily_score", "decayed_prev", "prev_score",
         F.coalesce("event_counts", no_counts).alias("event_counts"),
         F.coalesce("event_values", no_scores).alias("event_values"),
