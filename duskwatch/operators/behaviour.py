@@ -32,14 +32,15 @@ def observations(events: DataFrame, rules: Sequence[Rule], tz: str = LOCAL_TZ, t
             F.lit(TYPE).alias("kind"), F.col("msg_id").alias("name"), F.lit(None).cast("string").alias("text"), F.lit(0.0).alias("number"),
         ))
     else:
-        wanted = sorted({r["patterns"][0]["msg_id"] for r in rules if r["patterns"][0]["msg_id"]})
+        wanted = sorted({r["scored"]["msg_id"] for r in rules if r["scored"] and r["scored"]["msg_id"]})
         events = events.where(F.col("msg_id").isin(wanted))
     for rule in rules:
         kind, name = rule["agg_type"], rule["agg_field"]
         number = F.coalesce(field_number(name, tz), F.lit(0.0)) if kind == "sum" and name else F.lit(0.0)
         text = field(name, tz).cast("string") if kind == "cardinality" and name else F.lit(None).cast("string")
         row = F.struct(F.lit(kind).alias("kind"), F.lit(rule["rule_id"]).alias("name"), text.alias("text"), number.alias("number"))
-        parts.append(F.when(match(rule["patterns"][0], tz, require_type=True), row))
+        if rule["scored"]:
+            parts.append(F.when(match(rule["scored"], tz, require_type=True), row))
     each = F.explode(F.filter(F.array(*parts), lambda p: p.isNotNull()))
     return events.select("user_id", local_day("ts", tz).alias("day"), each.alias("p")).select("user_id", "day", "p.*")
 

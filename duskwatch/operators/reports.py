@@ -13,10 +13,13 @@ from ..session import LOCAL_TZ
 from ..sources.stores import latest_per_key
 from . import scoring
 from .normalize import display_type, event_report_columns
+from .ordering import with_positions
 from .scoring import Settings
 
 #: Severities and levels a dashboard always lists.
 LEVELS = ("CRITICAL", "HIGH", "MEDIUM", "LOW")
+#: Rows up to which a page is taken from a top-k.
+TOP_K_ROWS = 10_000
 
 
 def top_terms(df: DataFrame, col: str, n: int | None = None) -> DataFrame:
@@ -100,9 +103,19 @@ class Page(NamedTuple):
 
 
 def page(df: DataFrame, order: str, descending: bool = True, start: int = 0, length: int = 10, tie: str = "event_id") -> Page:
-    """A page of sorted rows. The tie column makes the order, and so the pages, stable."""
-    by = F.desc(order) if descending else F.asc(order)
-    rows = df.orderBy(by, F.asc(tie)).offset(start).limit(length)
+    """A page of sorted rows. The tie column makes the order, and so the pages, stable.
+
+    First pages are a top-k: each task keeps the few rows that can be on the
+    page. Far pages number all rows in order instead, so that no task and not
+    the driver holds the rows before the page.
+    """
+    by = [F.desc(order) if descending else F.asc(order), F.asc(tie)]
+    if start + length <= TOP_K_ROWS:
+        rows = df.orderBy(*by).offset(start).limit(length)
+    else:
+        placed = with_positions(df, *by, pos="_pos")
+        inside = (F.col("_pos") >= start) & (F.col("_pos") < start + length)
+        rows = placed.where(inside).orderBy("_pos").drop("_pos")
     return Page(rows, df.agg(F.count("*").alias("total")))
 
 

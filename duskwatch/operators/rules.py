@@ -65,6 +65,10 @@ _PATTERNS = f"""CASE
   ELSE array() END"""
 
 
+#: What scoring looks at: the rule's ``match`` when it has one, else its first pattern.
+_SCORED = f"CASE WHEN `match` IS NOT NULL THEN {_pattern('NULL', '`match`', '`match`.conditions')} ELSE get(_p, 0) END"
+
+
 def _patterns() -> Column:
     return F.expr(_PATTERNS)
 
@@ -109,6 +113,7 @@ def normalize_rules(rules: DataFrame) -> DataFrame:
             F.coalesce("ueba.enabled", F.lit(False)).alias("ueba_enabled"),
             "kind",
             F.when(F.col("kind") == "sequence", F.array_sort(ordered)).otherwise(p).alias("patterns"),
+            F.expr(_SCORED).alias("scored"),
             width.alias("within_s"),
             F.when(F.col("kind") == "threshold", F.when(F.col("aggregate").isNotNull(), count_min).otherwise(repeats.cast("bigint"))).alias("min_count"),
             by.alias("by"),

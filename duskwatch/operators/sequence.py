@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from ..functions.fields import field
 from ..functions.predicates import match
 from ..session import LOCAL_TZ, stage
+from .ordering import with_positions
 
 Rule = Mapping[str, Any]
 
@@ -131,20 +132,7 @@ def _numbered(events: DataFrame, rules: Sequence[Rule], by: Sequence[str], tz: s
         masks.append(functools.reduce(operator.add, bits).cast("bigint").alias(f"mask_{i}"))
     order = [f"key_{i}" for i in range(len(by))] + ["ts", "event_id"]
     rows = events.select(*keys, "ts", "event_id", "user_id", "hostname", "user_ip", *masks)
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    written = stage(
-        placed.select(
-            "*",
-            F.spark_partition_id().alias("slice"),
-            F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("row"),
-        ),
-        "ordered",
-    )
-    # One row per slice: the number of shuffle partitions bounds this table.
-    sizes = written.groupBy("slice").agg(F.count("*").alias("rows"))
-    before = F.sum("rows").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("slice", F.coalesce(before, F.lit(0)).alias("base"))
-    return written.join(F.broadcast(offsets), "slice").withColumn("pos", F.col("base") + F.col("row")).drop("slice", "base", "row")
+    return with_positions(rows, *order)
 
 
 def _reach(rows: DataFrame, rule: Rule, mask: str, keys: Sequence[str]) -> int:
@@ -170,9 +158,6 @@ def _with_halo(rows: DataFrame, chunk: int, reach: int) -> DataFrame:
     return rows.withColumn("chunk", F.explode(F.when(early, F.array(own, own - 1)).otherwise(F.array(own))))
 
 
-_CANDIDATE = "rule_id string, start bigint, stop bigint, user_id string, hostname string, user_ip string, ts timestamp, event_id bigint"
-
-
 def _exact_candidates(rows: DataFrame, rules: Mapping[str, Rule], keys: Sequence[str], chunk: int) -> DataFrame:
     """Fixed-length matches from every start, by looking ahead in a window over one chunk."""
     reach = max(len(exact_steps(r)) for r in rules.values())
@@ -208,28 +193,28 @@ def _exact_candidates(rows: DataFrame, rules: Mapping[str, Rule], keys: Sequence
 
 
 def _repeat_candidates(rows: DataFrame, rule: Rule, mask: str, keys: Sequence[str], chunk: int, reach: int) -> DataFrame:
-    """Matches with variable repeats, chunk by chunk."""
+    """Matches with variable repeats, chunk by chunk.
+
+    A task holds a few numbers per row of one chunk and its halo; the columns of
+    the last row are joined to the matches that are found.
+    """
     quantifiers = [(p["qmin"], p["qmax"]) for p in rule["patterns"]]
     within, rule_id = rule["within_s"] * _MICROS, rule["rule_id"]
-    key_cols = list(keys)
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos", ignore_index=True)
-        new_key = np.zeros(len(pdf), dtype=bool)
-        for k in key_cols:
-            col = pdf[k].fillna("\0").to_numpy()
-            new_key[1:] |= col[1:] != col[:-1]
-        pos = pdf["pos"].to_numpy()
+        pos, key = pdf["pos"].to_numpy(), pdf["key"].to_numpy()
+        new_key = np.append(True, key[1:] != key[:-1])
         ends = match_ends(pos, pdf["micros"].to_numpy(), pdf[mask].to_numpy(), new_key, quantifiers, within)
         hit = np.flatnonzero((ends >= 0) & (pos // chunk == pdf["chunk"].iloc[0]))
-        last = pdf.iloc[ends[hit]]
-        return pd.DataFrame({
-            "rule_id": rule_id, "start": pos[hit], "stop": last["pos"].to_numpy(),
-            **{c: last[c].to_numpy() for c in _LAST_ROW},
-        })
-
-    slim = rows.where(F.col(mask) > 0).select(*key_cols, "pos", "ts", F.unix_micros("ts").alias("micros"), mask, *(c for c in _LAST_ROW if c != "ts"))
-    return _with_halo(slim, chunk, reach).groupBy("chunk").applyInPandas(search, _CANDIDATE)
+        return pd.DataFrame({"rule_id": rule_id, "start": pos[hit], "stop": pos[ends[hit]]})
+
+    matching = rows.where(F.col(mask) > 0)
+    # The number only has to differ between neighbouring keys.
+    slim = matching.select("pos", F.unix_micros("ts").alias("micros"), mask, F.xxhash64(*[F.coalesce(F.concat(F.lit("="), k), F.lit("-")) for k in keys]).alias("key"))
+    found = _with_halo(slim, chunk, reach).groupBy("chunk").applyInPandas(search, "rule_id string, start bigint, stop bigint")
+    last = matching.select(F.col("pos").alias("stop"), *_LAST_ROW)
+    return found.join(last, "stop").select("rule_id", "start", "stop", *_LAST_ROW)
 
 
 def _walk(starts: Sequence[int], stops: Sequence[int], free: int) -> Iterator[int]:

@@ -25,7 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/duskwatch/{name}-{uuid.uuid4().hex}"
+    """A new path for a table of this application. The application's folder can be removed when it has ended."""
+    return f"{shared_dir(spark)}/duskwatch/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -136,3 +136,13 @@ def test_expired_profiles(spark):
     users = spark.createDataFrame([("a",), ("new",), ("new",)], "user_id string")
     got = {r.user_id: (r.context, r.end_date, r.whitelisted) for r in S.refresh_profiles(p, users, DAY).collect()}
     assert got == {"a": ("normal", None, True), "b": ("vip", D(DAY), False), "c": ("normal", D("2024-01-01"), False), "new": ("normal", None, False)}
+
+
+def test_scoring_uses_the_match_of_a_rule_with_patterns(spark):
+    both = {"id": "r", "name": "r", "match": {"msgId": "M"}, "patterns": [{"match": {"msgId": "X"}}, {"match": {"msgId": "Y"}}]}
+    only = {"id": "s", "name": "s", "events": [{"msgId": "X"}]}
+    none = {"id": "t", "name": "t"}
+    rules = R.collect_rules(R.rules_frame(spark, [both, only, none]))
+    rows = [(1, dt.datetime(2024, 1, 30), "M", "u", {}), (2, dt.datetime(2024, 1, 30), "X", "u", {})]
+    events = spark.createDataFrame(rows, "event_id bigint, ts timestamp, msg_id string, user_id string, ext map<string,string>")
+    assert {(r.rule_id, r.value) for r in B.rule_values(events, rules).collect()} == {("r", 1.0), ("s", 1.0)}
