@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import LOCAL_TZ
@@ -93,3 +93,31 @@ def let(value: Column, body) -> Column:
     element; as the variable of a one-element transform it is computed once.
     """
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+class FieldColumns:
+    """Rule fields as columns that are computed once per event and shared by all rules.
+
+    Conditions built with it refer to the columns; ``add_to`` adds them below.
+    """
+
+    def __init__(self, tz: str = LOCAL_TZ):
+        self.tz = tz
+        self.columns: dict[str, Column] = {}
+        self.names: dict[tuple[str, bool], str] = {}
+
+    def _column(self, name: str, number: bool) -> Column:
+        key = (name, number)
+        if key not in self.names:
+            self.names[key] = f"_field_{len(self.names)}"
+            self.columns[self.names[key]] = (field_number if number else field)(name, self.tz)
+        return F.col(self.names[key])
+
+    def text(self, name: str) -> Column:
+        return self._column(name, False)
+
+    def number(self, name: str) -> Column:
+        return self._column(name, True)
+
+    def add_to(self, df: DataFrame) -> DataFrame:
+        return df.withColumns(self.columns) if self.columns else df

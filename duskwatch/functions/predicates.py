@@ -11,15 +11,15 @@ import datetime as dt
 import functools
 import json
 import operator
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from typing import Any
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import LOCAL_TZ
-from .fields import HOUR_FIELDS, as_number, field, field_number, is_virtual, local_hour
+from .fields import HOUR_FIELDS, FieldColumns, field, field_number, is_virtual
 
 #: The legal operators.
 OPERATORS = ("eq", "neq", "gt", "gte", "lt", "lte", "in", "like", "regex", "contains", "time_range")
@@ -79,7 +79,23 @@ def in_hours(hour: Column, start: int, end: int) -> Column:
     return (after | before) if start > end else (after & before)
 
 
-def _equals_any(name: str, values: Iterable[Any], tz: str) -> Column:
+class _Direct:
+    """Fields as expressions in place, for a single filter: the scan can use them."""
+
+    def __init__(self, tz: str):
+        self.tz = tz
+
+    def text(self, name: str) -> Column:
+        return field(name, self.tz)
+
+    def number(self, name: str) -> Column:
+        return field_number(name, self.tz)
+
+
+Fields = FieldColumns | _Direct
+
+
+def _equals_any(name: str, values: Iterable[Any], fields: Fields) -> Column:
     """Numbers compare as numbers, all other values as text."""
     numbers, texts = [], []
     for v in values:
@@ -87,54 +103,64 @@ def _equals_any(name: str, values: Iterable[Any], tz: str) -> Column:
         (texts if n is None else numbers).append(text_of(v) if n is None else n)
     parts = []
     if numbers:
-        parts.append(field_number(name, tz).isin(numbers))
+        parts.append(fields.number(name).isin(numbers))
     if texts:
-        col = field(name, tz)
+        col = fields.text(name)
         parts.append((col.cast("string") if is_virtual(name) else col).isin(texts))
-    if not parts:
-        return F.lit(False)
-    return functools.reduce(operator.or_, parts)
+    return functools.reduce(operator.or_, parts) if parts else F.lit(False)
 
 
-def condition(cond: Mapping[str, Any], tz: str = LOCAL_TZ) -> Column:
+def condition(cond: Mapping[str, Any], tz: str = LOCAL_TZ, fields: Fields | None = None) -> Column:
     """One condition as a boolean column. A missing field gives null or false, never true: no match in a filter or ``when``.
 
-    Comparisons stay bare, so that a filter on a stored column can be pushed to the scan.
+    Comparisons stay bare, so that a filter on a stored column can be pushed to
+    the scan. With ``fields``, many conditions share columns computed once.
     """
+    fields = fields or _Direct(tz)
     name, op, value = cond.get("field") or "", cond.get("op"), cond.get("value")
-    col = field(name, tz) if name else F.lit(None).cast("string")
-    text = col.cast("string") if name and is_virtual(name) else col
+    if op == "time_range":
+        if name in HOUR_FIELDS or not name:
+            return in_hours(fields.text(HOUR_FIELDS[0]), *hours_of(cond))
+        return in_hours(F.floor(fields.number(name)), *hours_of(cond))
+    if not name:
+        return F.lit(False)
     if op == "eq":
-        return _equals_any(name, [value], tz)
+        return _equals_any(name, [value], fields)
     if op == "neq":
-        return col.isNotNull() & ~F.coalesce(_equals_any(name, [value], tz), F.lit(False))
+        return fields.text(name).isNotNull() & ~F.coalesce(_equals_any(name, [value], fields), F.lit(False))
     if op == "in":
-        return _equals_any(name, list_of(cond), tz)
+        return _equals_any(name, list_of(cond), fields)
     if op in _ORDER:
         bound = number_of(value)
-        return F.lit(False) if bound is None else _ORDER[op](field_number(name, tz), F.lit(bound))
+        return F.lit(False) if bound is None else _ORDER[op](fields.number(name), F.lit(bound))
+    text = fields.text(name).cast("string") if is_virtual(name) else fields.text(name)
     if op == "like":
         return text.like(text_of(value))
     if op == "regex":
         return text.rlike(text_of(value))
     if op == "contains":
         return F.lower(text).contains(text_of(value).lower())
-    if op == "time_range":
-        plain = name in HOUR_FIELDS or not name
-        hour = local_hour("ts", tz) if plain else F.floor(as_number(text))
-        return in_hours(hour, *hours_of(cond))
     return F.lit(False)
 
 
-def match(spec: Mapping[str, Any], tz: str = LOCAL_TZ, require_type: bool = False) -> Column:
-    """Type equality first (it prunes and is cheap), then the conditions joined by AND or OR."""
+def match(
+    spec: Mapping[str, Any], tz: str = LOCAL_TZ, require_type: bool = False,
+    fields: Fields | None = None, known_type: str | None = None,
+) -> Column:
+    """Type equality first (it prunes and is cheap), then the conditions joined by AND or OR.
+
+    ``known_type`` is the type all rows are known to have.
+    """
     parts = []
     msg_id = spec.get("msg_id") or ""
     if msg_id:
-        parts.append(F.col("msg_id") == msg_id)
+        if known_type is None:
+            parts.append(F.col("msg_id") == msg_id)
+        elif known_type != msg_id:
+            return F.lit(False)
     elif require_type:
         return F.lit(False)
-    conds = [condition(c, tz) for c in spec.get("conditions") or []]
+    conds = [condition(c, tz, fields) for c in spec.get("conditions") or []]
     if conds:
         join = operator.or_ if (spec.get("logic") or "and").lower() == "or" else operator.and_
         parts.append(functools.reduce(join, conds))
@@ -169,3 +195,32 @@ def last_days(ts: Column | str, as_of: str, days: int, tz: str = LOCAL_TZ) -> Co
     """The ``days`` local days that end with ``as_of``."""
     first = dt.date.fromisoformat(as_of) - dt.timedelta(days=days - 1)
     return on_days(ts, first.isoformat(), as_of, tz)
+
+
+#: The event types a rule can match (None: any), and its row for events of a type (None: of no listed type).
+Part = tuple[Iterable[str] | None, Callable[[str | None], Column]]
+
+
+def explode_hits(df: DataFrame, parts: Iterable[Part], fields: FieldColumns, *keep: str) -> DataFrame:
+    """One row with column ``hit`` per non-null part, next to the columns to ``keep``.
+
+    An event of one type never evaluates the rules of another, so the cost per
+    event follows the rules of its type and not the length of the rule list.
+    The array is a plain column and nulls are dropped after the explode: a
+    higher-order filter would take all conditions out of generated code.
+    """
+    listed = [(None if types is None else set(types), row) for types, row in parts]
+    chosen = None
+    for kind in sorted({t for types, _ in listed if types is not None for t in types}):
+        mine = F.array(*[row(kind) for types, row in listed if types is None or kind in types])
+        test = F.col("msg_id") == kind
+        chosen = F.when(test, mine) if chosen is None else chosen.when(test, mine)
+    free = F.array(*[row(None) for types, row in listed if types is None])
+    if chosen is None:
+        chosen = free
+    elif any(types is None for types, _ in listed):
+        chosen = chosen.otherwise(free)
+    found = fields.add_to(df).select(*keep, chosen.alias("_hits"))
+    # An explode of a bare column makes the optimizer test its size first, and so build the array twice.
+    bounded = F.coalesce("_hits", F.slice("_hits", 1, 0))
+    return found.select(*keep, F.explode(bounded).alias("hit")).where("hit is not null")

@@ -9,8 +9,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fields import field, field_number, local_day
-from ..functions.predicates import match
+from ..functions.fields import FieldColumns, local_day
+from ..functions.predicates import explode_hits, match
 from ..session import LOCAL_TZ, stage
 
 Rule = Mapping[str, Any]
@@ -26,23 +26,24 @@ def observations(events: DataFrame, rules: Sequence[Rule], tz: str = LOCAL_TZ, t
     With ``types`` every event also counts for its type. Only distinct counts
     carry a text, and only sums a number.
     """
-    parts = []
+    fields, parts = FieldColumns(tz), []
     if types:
-        parts.append(F.struct(
-            F.lit(TYPE).alias("kind"), F.col("msg_id").alias("name"), F.lit(None).cast("string").alias("text"), F.lit(0.0).alias("number"),
-        ))
+        own = F.struct(F.lit(TYPE).alias("kind"), F.col("msg_id").alias("name"), F.lit(None).cast("string").alias("text"), F.lit(0.0).alias("number"))
+        parts.append((None, lambda _: own))
     else:
         wanted = sorted({r["scored"]["msg_id"] for r in rules if r["scored"] and r["scored"]["msg_id"]})
         events = events.where(F.col("msg_id").isin(wanted))
     for rule in rules:
-        kind, name = rule["agg_type"], rule["agg_field"]
-        number = F.coalesce(field_number(name, tz), F.lit(0.0)) if kind == "sum" and name else F.lit(0.0)
-        text = field(name, tz).cast("string") if kind == "cardinality" and name else F.lit(None).cast("string")
+        kind, name, spec = rule["agg_type"], rule["agg_field"], rule["scored"]
+        if not spec:
+            continue
+        number = F.coalesce(fields.number(name), F.lit(0.0)) if kind == "sum" and name else F.lit(0.0)
+        text = fields.text(name).cast("string") if kind == "cardinality" and name else F.lit(None).cast("string")
         row = F.struct(F.lit(kind).alias("kind"), F.lit(rule["rule_id"]).alias("name"), text.alias("text"), number.alias("number"))
-        if rule["scored"]:
-            parts.append(F.when(match(rule["scored"], tz, require_type=True), row))
-    each = F.explode(F.filter(F.array(*parts), lambda p: p.isNotNull()))
-    return events.select("user_id", local_day("ts", tz).alias("day"), each.alias("p")).select("user_id", "day", "p.*")
+        test = match(spec, tz, require_type=True, fields=fields, known_type=spec["msg_id"])
+        parts.append(([spec["msg_id"] or ""], lambda _, test=test, row=row: F.when(test, row)))
+    dated = events.withColumn("day", local_day("ts", tz))
+    return explode_hits(dated, parts, fields, "user_id", "day").select("user_id", "day", "hit.*")
 
 
 _COUNTER = ["user_id", "day", "kind", "name", "text"]

@@ -10,8 +10,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fields import field
-from ..functions.predicates import match
+from ..functions.fields import FieldColumns
+from ..functions.predicates import explode_hits, match
 from ..functions.windows import window_start
 from ..session import LOCAL_TZ, stage
 from .sequence import detect_sequence
@@ -32,19 +32,26 @@ def of_kind(rules: Sequence[Rule], *kinds: str) -> list[Rule]:
     return [r for r in rules if r["kind"] in kinds]
 
 
-def pattern_mask(rule: Rule, tz: str = LOCAL_TZ) -> Column:
-    """Bit i is set when the event matches pattern i of the rule."""
-    bits = [F.when(match(p, tz), F.lit(1 << i)).otherwise(F.lit(0)) for i, p in enumerate(rule["patterns"])]
-    return functools.reduce(operator.add, bits).cast("bigint")
+def _found(rule: Rule, row: Column, tz: str, fields: FieldColumns, kind: str | None) -> Column:
+    """``row`` with the matched patterns as bits of ``mask``, or null; for events of a known type."""
+    tests = [
+        (1 << i, match(p, tz, fields=fields, known_type=kind or "")) for i, p in enumerate(rule["patterns"])
+        if not p["msg_id"] or p["msg_id"] == kind
+    ]
+    if len(tests) == 1:
+        bit, test = tests[0]
+        return F.when(test, row.withField("mask", F.lit(bit).cast("bigint")))
+    mask = functools.reduce(operator.add, [F.when(test, F.lit(bit)).otherwise(F.lit(0)) for bit, test in tests]).cast("bigint")
+    return F.when(mask > 0, row.withField("mask", mask))
 
 
-def _extra_keys(rule: Rule, tz: str) -> Column:
+def _extra_keys(rule: Rule, fields: FieldColumns) -> Column:
     """Values of group keys that no alert column holds."""
-    extra = [field(name, tz).cast("string") for name in rule["by"] if name not in _ALERT_KEYS]
+    extra = [fields.text(name).cast("string") for name in rule["by"] if name not in _ALERT_KEYS]
     return F.array(*extra).cast("array<string>")
 
 
-def _types(rules: Sequence[Rule]) -> list[str] | None:
+def _types(*rules: Rule) -> list[str] | None:
     """Event types the rules look at, or None when a pattern takes any type."""
     types = {p["msg_id"] for r in rules for p in r["patterns"]}
     return None if None in types or "" in types else sorted(types)
@@ -53,36 +60,29 @@ def _types(rules: Sequence[Rule]) -> list[str] | None:
 def matches(events: DataFrame, rules: Sequence[Rule], tz: str = LOCAL_TZ) -> DataFrame:
     """One row per (event, rule) that matches, from one scan of the events.
 
-    Each event builds the array of rules it satisfies and explodes it, so most
-    events cost a few comparisons and emit nothing.
+    Each event builds the array of rules of its type that it satisfies and
+    explodes it, so most events cost a few comparisons and emit nothing.
     """
     batches = [rules[i : i + RULES_PER_SCAN] for i in range(0, len(rules), RULES_PER_SCAN)]
     return functools.reduce(DataFrame.unionByName, [_matches(events, b, tz) for b in batches])
 
 
 def _matches(events: DataFrame, rules: Sequence[Rule], tz: str) -> DataFrame:
-    types = _types(rules)
+    types = _types(*rules)
     if types is not None:
         events = events.where(F.col("msg_id").isin(types))
-    hits = []
+    fields, parts = FieldColumns(tz), []
     for rule in rules:
-        mask = pattern_mask(rule, tz)
         in_key = rule["kind"] in ROW_KINDS or "userId" in rule["by"]
-        hits.append(
-            F.when(
-                mask > 0,
-                F.struct(
-                    F.lit(rule["rule_id"]).alias("rule_id"),
-                    mask.alias("mask"),
-                    (F.col("user_id") if in_key else F.lit(None)).cast("string").alias("user_id"),
-                    _extra_keys(rule, tz).alias("by_values"),
-                ),
-            )
+        row = F.struct(
+            F.lit(rule["rule_id"]).alias("rule_id"),
+            F.lit(0).cast("bigint").alias("mask"),
+            (F.col("user_id") if in_key else F.lit(None)).cast("string").alias("user_id"),
+            _extra_keys(rule, fields).alias("by_values"),
         )
-    hit = F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull()))
-    return events.select("event_id", "ts", "hostname", "user_ip", hit.alias("hit")).select(
-        "event_id", "ts", "hostname", "user_ip", "hit.*"
-    )
+        parts.append((_types(rule), lambda kind, rule=rule, row=row: _found(rule, row, tz, fields, kind)))
+    keep = ("event_id", "ts", "hostname", "user_ip")
+    return explode_hits(events, parts, fields, *keep).select(*keep, "hit.*")
 
 
 def by_rule(values: Mapping[str, Any]) -> Column:

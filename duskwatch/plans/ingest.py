@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.normalize import normalize
+from ..schema import EVENT
 from ..session import LOCAL_TZ
 from ..sources.streams import malformed, parse_events, to_json_events
 from ..sources.stores import write_event_log, write_partitions
 
+#: The log with its partition columns.
+LOGGED = T.StructType([*EVENT.fields, T.StructField("day", T.DateType()), T.StructField("run", T.StringType())])
+
 
 def start_ingest(text: DataFrame, log_path: str, checkpoint: str, publish_path: str | None = None, bad_path: str | None = None, tz: str = LOCAL_TZ, **trigger):
     """One query: decode, normalize, store by day, and publish.
@@ -19,11 +24,12 @@ def start_ingest(text: DataFrame, log_path: str, checkpoint: str, publish_path:
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        # Text is read once per output; the source replays it from its own log.
         events = normalize(parse_events(batch), F.current_timestamp())
         write_event_log(events, log_path, tz, run=str(batch_id))
         if publish_path:
-            write_partitions(to_json_events(events).withColumn("run", F.lit(batch_id)), publish_path, "run")
+            # What was stored is what is published: decoded once, and with the same default time.
+            stored = batch.sparkSession.read.schema(LOGGED).parquet(log_path).where(F.col("run") == str(batch_id))
+            write_partitions(to_json_events(stored).withColumn("run", F.lit(batch_id)), publish_path, "run")
         if bad_path:
             write_partitions(malformed(batch).withColumn("run", F.lit(batch_id)), bad_path, "run")
 

@@ -12,6 +12,18 @@ from pyspark.sql import functions as F
 LOCAL_TZ = "Asia/Seoul"
 
 
+def configure(spark: SparkSession) -> SparkSession:
+    """Settings the library is meant to run with.
+
+    A long rule list makes long generated methods, which the JVM does not
+    compile. With this limit such a stage is generated operator by operator, in
+    methods of a size that is compiled.
+    """
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
