@@ -102,7 +102,9 @@ def user_detail_values(spark, d):
 
 
 def _dashboard(spark, d, part):
-    return R.dashboard(D.events(spark, d), all_alerts(spark, d), D.snapshots(spark, d), D.AS_OF)[part]
+    # Parts without alerts need no detection; the rules per event are only planned, not run, for them.
+    alerts = all_alerts(spark, d) if part in ("severities", "rules") else row_alerts(spark, d)
+    return R.dashboard(D.events(spark, d), alerts, D.snapshots(spark, d), D.AS_OF)[part]
 
 
 @query("dashboard_severities", with_(EV, ALL_ALERTS) + f"SELECT severity, count(*) AS cnt FROM al WHERE day = {DAY} GROUP BY severity")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -30,12 +31,16 @@ def shared_dir(spark: SparkSession) -> str:
     if configured:
         return configured.rstrip("/")
     if spark.sparkContext.master.startswith("local"):
-        chosen = tempfile.mkdtemp(prefix="duskwatch-")
-        spark.conf.set("spark.checkpoint.dir", chosen)
-        return chosen
+        # A single process, as in tests: its own temporary folder is seen by all tasks.
+        return _own_folder(spark.sparkContext.applicationId)
     raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
 
 
+@functools.cache
+def _own_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"duskwatch-{application}-")
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
     """A new path for a table of this application. The application's folder can be removed when it has ended."""
     return f"{shared_dir(spark)}/duskwatch/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
