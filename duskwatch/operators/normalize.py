@@ -27,7 +27,7 @@ def expanded(ext: Column) -> Column:
     """Add ``label -> value`` for every ``xLabel``/``x`` pair with text in both.
 
     An added name replaces an equal key of the event. When two pairs carry one
-    label, the pair with the highest key wins; the reference leaves that to
+    label, the pair with the highest key wins; without a rule it would be left to
     chance, a fixed order keeps replays equal.
     """
 
