@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import oracle_sql, pieces, pii, secrets
+from . import decontaminate, oracle_sql, pieces, pii, secrets, tokens
 
 #: Vocabulary files, at the same place on every machine.
 TOKENIZERS = os.environ.get("DUSKWATCH_TOKENIZERS", "/opt/tokenizers")
@@ -42,7 +42,23 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(docs))
 
 
+@query
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = tokens.count_by_section(docs, f"{TOKENIZERS}/byte_bpe_50k.tiktoken", rule="most")
+    rows = counted.select("doc_id", F.col("token_sections_total").alias("doc_tokens"), F.posexplode("token_sections").alias("section", "s"))
+    return rows.select("doc_id", F.col("section").cast("long").alias("section"), "s.start", "s.end", F.col("s.n_tokens").cast("long").alias("n_tokens"), "s.n_crossing", "doc_tokens")
+
+
 @query
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.digest(pii.scan(docs))
+
+
+@query
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = decontaminate.mark(docs, table(spark, sf_dir, "benchmark"))
+    items = F.array_sort(F.array_distinct("overlaps.item_id"))
+    return marked.select("doc_id", (F.size("overlaps") > 0).alias("contaminated"), F.size(items).cast("long").alias("n_items"), items.alias("item_ids"), "overlaps")

@@ -14,6 +14,7 @@ import pyarrow as pa
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_STEP = np.uint64(0xF1357AEA2E62A9C5)
 #: Bytes hashed in one piece; buffers stay in the processor's cache.
 PIECE = 1 << 18
 
@@ -102,27 +103,34 @@ def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
 
 def windows(w: Words, size: int, whole: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(row, first word, hash)`` of every run of ``size`` words; a shorter row is one run if ``whole``."""
-    return spaced(w, np.arange(size), whole)
+    return spaced(w, tuple(range(size)), whole)
 
 
-def spaced(w: Words, offsets: np.ndarray, whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash the words at ``offsets`` after each word that has all of them in its row; other positions are ignored."""
-    n, span = len(w.hash), int(offsets[-1]) + 1
+def spaced(w: Words, offsets: tuple[int, ...], whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash the words at ``offsets`` after each word that has all of them in its row; other positions are ignored.
+
+    With ``whole``, a row too short for any gets one hash of all its words. Rows come in order.
+    """
+    n, span = len(w.hash), offsets[-1] + 1
     at = np.flatnonzero(w.row[: n - span + 1] == w.row[span - 1 :]) if n >= span else np.zeros(0, np.int64)
     total = np.zeros(len(at), dtype=np.uint64)
-    for k, o in enumerate(offsets):
-        total = mix(total + w.hash[at + o] + np.uint64(k + 1))
-    row = w.row[at]
+    for o in offsets:
+        total = total * _STEP + w.hash[at + o]
+    total, row = mix(total), w.row[at]
     if whole:
         count = np.diff(w.first)
         short = np.flatnonzero((count > 0) & (count < span))
         if len(short):
-            extra = np.zeros(len(short), dtype=np.uint64)
+            extra = count[short].astype(np.uint64)
             for k in range(span - 1):
                 has = count[short] > k
-                extra[has] = mix(extra[has] + w.hash[w.first[short[has]] + k] + np.uint64(k + 1))
-            extra = mix(extra ^ count[short].astype(np.uint64))
-            row, at, total = np.concatenate([row, short]), np.concatenate([at, w.first[short]]), np.concatenate([total, extra])
+                extra[has] = extra[has] * _STEP + w.hash[w.first[short[has]] + k]
+            row, at, total = np.concatenate([row, short]), np.concatenate([at, w.first[short]]), np.concatenate([total, mix(extra)])
             order = np.argsort(row, kind="stable")
             row, at, total = row[order], at[order], total[order]
     return row, at, total
+
+
+def char_index(w: Words, row: int, byte: int) -> int:
+    """The code points of ``row`` before ``byte``."""
+    return int(np.count_nonzero((w.data[w.row_start[row] : byte] & 0xC0) != 0x80))
