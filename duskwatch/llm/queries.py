@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, oracle_sql, pieces, pii, secrets, tokens
+from . import decontaminate, oracle_sql, pieces, pii, secrets, sentences, tokens
 
 #: Vocabulary files, at the same place on every machine.
 TOKENIZERS = os.environ.get("DUSKWATCH_TOKENIZERS", "/opt/tokenizers")
@@ -56,6 +56,14 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.scan(docs))
 
 
+@query
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = sentences.remove_repeats(docs)
+    chars = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return cut.select("doc_id", F.size("removed").cast("long").alias("n_removed"), chars.alias("removed_chars"), "removed", "text")
+
+
 @query
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
