@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, oracle_sql, pieces, pii, secrets, sentences, tokens
+from . import decontaminate, oracle_sql, pieces, pii, resample, secrets, sentences, tokens
 
 #: Vocabulary files, at the same place on every machine.
 TOKENIZERS = os.environ.get("DUSKWATCH_TOKENIZERS", "/opt/tokenizers")
@@ -50,6 +50,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("section").cast("long").alias("section"), "s.start", "s.end", F.col("s.n_tokens").cast("long").alias("n_tokens"), "s.n_crossing", "doc_tokens")
 
 
+@query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample.sample(docs, table(spark, sf_dir, "labels"), F.col("quality") == 1, seed=6)
+
+
 @query
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
