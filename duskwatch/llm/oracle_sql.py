@@ -55,3 +55,22 @@ SELECT docs.doc_id,
 FROM docs LEFT JOIN spans ON docs.doc_id = spans.doc_id
 GROUP BY docs.doc_id
 """
+
+NEAR_TEXT = """
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM docs),
+copies AS (SELECT doc_id, len(s) AS n, min(doc_id) OVER (PARTITION BY list_sort(s)) AS class FROM sets),
+sh AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets WHERE doc_id IN (SELECT class FROM copies WHERE n > 0)),
+linked AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM sh a JOIN sh b ON a.x = b.x AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+both_ways AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+reach AS (SELECT DISTINCT a AS doc_id, a AS r FROM both_ways UNION SELECT reach.doc_id, b FROM reach JOIN both_ways ON r = a),
+least AS (SELECT doc_id, min(r) AS r FROM reach GROUP BY doc_id)
+SELECT copies.doc_id, n AS n_shingles, CASE WHEN n = 0 THEN copies.doc_id ELSE coalesce(r, class) END AS component_id,
+       copies.doc_id = CASE WHEN n = 0 THEN copies.doc_id ELSE coalesce(r, class) END AS kept
+FROM copies LEFT JOIN least ON class = least.doc_id
+"""

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, oracle_sql, pieces, pii, resample, secrets, sentences, tokens
+from . import decontaminate, near_text, oracle_sql, pieces, pii, resample, secrets, sentences, tokens
 
 #: Vocabulary files, at the same place on every machine.
 TOKENIZERS = os.environ.get("DUSKWATCH_TOKENIZERS", "/opt/tokenizers")
@@ -17,6 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {
     "op3_secret_scan": oracle_sql.SECRETS,
+    "op4_minhash": oracle_sql.NEAR_TEXT,
 }
 
 
@@ -42,6 +43,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(docs))
 
 
+@query
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_text.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
