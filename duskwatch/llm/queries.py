@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_text, oracle_sql, pieces, pii, resample, secrets, sentences, tokens
+from . import decontaminate, near_text, near_vectors, oracle_sql, pieces, pii, resample, secrets, sentences, tokens
 
 #: Vocabulary files, at the same place on every machine.
 TOKENIZERS = os.environ.get("DUSKWATCH_TOKENIZERS", "/opt/tokenizers")
@@ -18,6 +18,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {
     "op3_secret_scan": oracle_sql.SECRETS,
     "op4_minhash": oracle_sql.NEAR_TEXT,
+    "op7_embedding_dedup": oracle_sql.NEAR_VECTORS,
 }
 
 
@@ -62,6 +63,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.sample(docs, table(spark, sf_dir, "labels"), F.col("quality") == 1, seed=6)
 
 
+@query
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
