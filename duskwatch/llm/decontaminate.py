@@ -123,7 +123,7 @@ def mark(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "i
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = index_items(*shared.value)
-            for batch in batches:
+            for batch in W.parts(batches, at_text):
                 w = W.words(batch.column(at_text))
                 lists = batch.column(len(names)).to_pylist()
                 for row, k, start, end, n_equal, n_words in overlaps(w, items):

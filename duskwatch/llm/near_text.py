@@ -72,7 +72,7 @@ def sketches(df: DataFrame, key: str, text: str) -> DataFrame:
     fed = df.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").alias("t"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.parts(batches, 1):
             sets = shingle_sets(batch.column(1))
             some = np.array([len(s) > 0 for s in sets], dtype=bool)
             tokens = minwise([s for s in sets if len(s)])
@@ -217,7 +217,7 @@ def links(df: DataFrame, members: DataFrame, key: str, text: str, leaf: int = LE
     fed = fed.join(broadcast_if_small(needed, 300_000), F.col("k") == F.col("__needed"), "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.parts(batches, 1):
             raw = [s.tobytes() for s in shingle_sets(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["k", "shingles"])
 

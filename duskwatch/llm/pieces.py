@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import mix
+from .words import mix, parts
 
 SPACE = "▁"
 #: Stands for a literal SPACE character of the text, which must come back as such. No text holds a lone surrogate.
@@ -284,18 +284,17 @@ def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", o
         v = read_vocabulary(model)
         byte = _bytes_by_id(v)
         lengths = None
-        for batch in batches:
-            for piece in _slices(batch, at_text):
-                texts = piece.column(at_text).to_pylist()
-                keys = piece.column(len(names)).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                ids, offsets = sample(texts, keys, v, alpha)
-                null = np.array([t is None for t in texts], dtype=bool)
-                listed = pa.ListArray.from_arrays(pa.array(np.where(np.append(null, False), 0, offsets), pa.int32(), mask=np.append(null, False)), pa.array(ids, pa.int32()))
-                columns = [*piece.columns[: len(names)], listed]
-                if check:
-                    lengths = lengths if lengths is not None else np.array(list(map(len, byte)))
-                    columns.append(pa.array(_comes_back(texts, ids, offsets, byte, lengths), pa.bool_()))
-                yield pa.RecordBatch.from_arrays(columns, names=[*names, *[f.name for f in fields]])
+        for batch in parts(batches, at_text):
+            texts = batch.column(at_text).to_pylist()
+            keys = batch.column(len(names)).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            ids, offsets = sample(texts, keys, v, alpha)
+            null = np.array([t is None for t in texts], dtype=bool)
+            listed = pa.ListArray.from_arrays(pa.array(np.where(np.append(null, False), 0, offsets), pa.int32(), mask=np.append(null, False)), pa.array(ids, pa.int32()))
+            columns = [*batch.columns[: len(names)], listed]
+            if check:
+                lengths = lengths if lengths is not None else np.array(list(map(len, byte)))
+                columns.append(pa.array(_comes_back(texts, ids, offsets, byte, lengths), pa.bool_()))
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, *[f.name for f in fields]])
 
     return keyed.mapInArrow(work, T.StructType([*plain.schema.fields, *fields]))
 
@@ -306,17 +305,6 @@ def _comes_back(texts, ids, offsets, byte, lengths) -> list[bool | None]:
     return [None if t is None else (raw[a + 1 : b] if b > a else b"") == t.encode("utf-8") for t, a, b in zip(texts, ends[:-1], ends[1:], strict=True)]
 
 
-def _slices(batch: pa.RecordBatch, at_text: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about ``most`` bytes of text each."""
-    sizes = batch.column(at_text).cast(pa.large_binary())
-    starts = np.frombuffer(sizes.buffers()[1], np.int64)[sizes.offset : sizes.offset + len(sizes) + 1]
-    part = (starts[1:] - starts[0]) // most if len(sizes) else np.zeros(0, np.int64)
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        if b > a:
-            yield batch.slice(a, b - a)
-
-
 def decode(df: DataFrame, model: str, ids: str = "piece_ids", out: str = "text") -> DataFrame:
     """Add ``out``, the text of ``ids``: null for null, empty for none. A column named ``out`` is replaced."""
     plain = df.drop(out) if ids != out else df

@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_text, near_vectors, oracle_sql, pieces, pii, resample, secrets, sentences, tokens
+from ..session import stage
+from . import decontaminate, near_text, near_vectors, oracle_sql, pieces, pii, resample, secrets, sentences, tokens, toxicity
 
 #: Vocabulary files, at the same place on every machine.
 TOKENIZERS = os.environ.get("DUSKWATCH_TOKENIZERS", "/opt/tokenizers")
@@ -38,6 +39,14 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", "lossless")
 
 
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = toxicity.labelled(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "doc_id", F.col("toxic"))
+    scored = toxicity.score(docs, toxicity.fit(stage(rows, "toxicity"), split=True))
+    return scored.select("doc_id", "toxicity_severity", "toxicity_p", "toxicity_grade", (F.col("toxicity_p") >= 0.5).alias("toxic"))
+
+
 @query
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -98,7 +98,7 @@ def fit(df: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "tex
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        for batch in batches:
+        for batch in W.parts(batches, 0):
             row, bucket = ngrams(batch.column(0))
             raw += np.bincount(bucket, minlength=BUCKETS)
             wanted = ~np.array(batch.column(1).is_null())
@@ -121,7 +121,7 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "log_weigh
     at_text, names, ratio = plain.columns.index(text), plain.columns, model.ratio
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.parts(batches, at_text):
             row, bucket = ngrams(batch.column(at_text))
             total = np.bincount(row, weights=ratio[bucket], minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total, pa.float64())], names=[*names, out])

@@ -110,7 +110,7 @@ def run_rows(df: DataFrame, key: str, text: str, **limits) -> DataFrame:
     fed = df.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").alias("t"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.parts(batches, 1):
             w = W.words(batch.column(1))
             r = runs(w, sentences(w), run, least)
             yield pa.RecordBatch.from_arrays(

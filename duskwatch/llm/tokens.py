@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .words import parts
+
 #: Fixed value: the split pattern that belongs to the byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 RULES = ("most", "start", "share")
@@ -131,7 +133,7 @@ def count_by_section(df: DataFrame, ranks: str, text: str = "text", sections: st
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding, lengths = read_encoding(ranks)
-        for batch in batches:
+        for batch in parts(batches, at_text):
             texts = batch.column(at_text).to_pylist()
             listed = [None] * len(texts) if own else batch.column(len(names)).to_pylist()
             rows, columns, totals = [0], ([], [], [], [], []), []

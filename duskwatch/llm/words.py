@@ -7,6 +7,7 @@ that depends on its bytes alone, so equal words agree in all tasks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -60,6 +61,22 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+#: Bytes of text worked on together; the arrays of a part are some twenty times as large.
+PART = 4 << 20
+
+
+def parts(batches: Iterator[pa.RecordBatch], text: int, most: int = PART) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in parts of about ``most`` bytes of text (one row at least)."""
+    for batch in batches:
+        column = batch.column(text).cast(pa.large_binary())
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+        part = (offsets[1:] - offsets[0]) // most
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(column)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
 def words(column: pa.Array | pa.ChunkedArray) -> Words:
     data, offsets = utf8(column)
     n = len(data)
