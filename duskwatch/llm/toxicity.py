@@ -1,7 +1,7 @@
 """Severity of toxicity by cumulative-link regression over sparse text features.
 
-Features are hashed runs of :data:`GRAM` bytes of the lower-cased text, so that
-a word counts in whatever compound it stands. One weight vector serves all
+Features are hashed runs of bytes of the lower-cased text, short and long, so
+that a word counts in whatever compound it stands, and a stem with what follows. One weight vector serves all
 ordered thresholds: ``P(grade <= j) = sigmoid(threshold_j - w . x)``; the
 expected severity is the sum of ``P(grade > j)``.
 """
@@ -19,58 +19,60 @@ from pyspark.sql import types as T
 
 from . import words as W
 
-GRAM, BUCKETS = 5, 1 << 20
+#: Bytes of a run, ascending; and the buckets in which runs are counted before the telling ones are counted exactly.
+GRAMS, BUCKETS = (5, 8), 1 << 22
 #: Labelled rows that the model is fitted on, at most; beyond, a share of them by hash. Their ids fit a broadcast.
 FIT_ROWS = 20_000
-#: Features of the model, the rows a feature must stand in, and how many times likelier it must be in graded rows.
-FEATURES, LEAST_ROWS, LEAST_RATIO = 4096, 4, 8.0
+#: Features of the model, the graded rows a feature must stand in (by number and by share), and how many times likelier it must be there.
+FEATURES, LEAST_ROWS, LEAST_SHARE, LEAST_RATIO = 1024, 4, 0.02, 8.0
 _STEP = np.uint64(0xFF51AFD7ED558CCD)
 
 
 def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """``(row, bucket)`` of every run of bytes, with one space for each run of spaces and at both ends of a row."""
+    """``(row, hash)`` of every run of bytes, with one space for each run of spaces and at both ends of a row."""
     w = W.words(column)
     size = w.end - w.start
     # Words with a space before each, and one at the end of each row.
-    words_of = np.diff(w.first)
     tails = np.zeros(len(size), np.int64)
-    tails[w.first[1:][words_of > 0] - 1] = 1
+    tails[w.first[1:][np.diff(w.first) > 0] - 1] = 1
     room = size + 1 + tails
-    begin = np.cumsum(room) - room + 1
+    shift = np.cumsum(room) - room + 1 - w.start
     data = np.full(int(room.sum()), 32, np.uint8)
     source = np.repeat(w.start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    target = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    data[target] = w.data[source]
-    row = np.repeat(w.row, room)
-    n = len(data) - GRAM + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = np.zeros(n, np.uint64)
-    for k in range(GRAM):
-        h = (h + data[k : n + k] + np.uint64(1)) * _STEP
+    data[source + np.repeat(shift, size)] = w.data[source]
+    of = np.repeat(w.row.astype(np.int32), room)
+    rows, hashes, h = [], [], np.zeros(len(data), np.uint64)
+    for k in range(GRAMS[-1]):
+        n = max(len(data) - k, 0)
+        h = (h[:n] + data[k : k + n] + np.uint64(1)) * _STEP
         h ^= h >> np.uint64(32)
-    whole = row[:n] == row[GRAM - 1 :]
-    return row[:n][whole], (h[whole] >> np.uint64(20)).astype(np.int64) & (BUCKETS - 1)
+        if k + 1 in GRAMS:
+            whole = of[:n] == of[k : k + n]
+            rows.append(of[:n][whole])
+            hashes.append(h[whole] * _STEP + np.uint64(k))
+    return np.concatenate(rows), np.concatenate(hashes)
 
 
 class Model(NamedTuple):
-    buckets: np.ndarray  # sorted
+    features: np.ndarray  # sorted hashes
     weights: np.ndarray
     thresholds: np.ndarray
 
 
-def counted(column: pa.Array, slot: np.ndarray, n_features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(row, feature, value)`` of the features in each row; the value is ``log2(1 + count)``. ``slot`` maps a bucket to its feature or -1."""
-    row, bucket = grams(column)
-    feature = slot[bucket]
-    has = feature >= 0
-    key, count = np.unique(row[has] * n_features + feature[has], return_counts=True)
-    return key // max(n_features, 1), key % max(n_features, 1), np.log2(1.0 + count)
+def counted(column: pa.Array, features: np.ndarray, present: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(row, feature, value)`` of the features in each row; the value is ``log2(1 + count)``, 2 at most. ``present`` is :func:`bits` of them."""
+    row, h = grams(column)
+    maybe = np.flatnonzero(present[(h >> np.uint64(44)).astype(np.int64)])
+    at = np.searchsorted(features, h[maybe])
+    has = features[np.minimum(at, len(features) - 1)] == h[maybe] if len(features) else np.zeros(0, bool)
+    key, count = np.unique(row[maybe[has]].astype(np.int64) * len(features) + at[has], return_counts=True)
+    return key // max(len(features), 1), key % max(len(features), 1), np.minimum(np.log2(1.0 + count), 2)
 
 
-def slots(buckets: np.ndarray) -> np.ndarray:
-    out = np.full(BUCKETS, -1, np.int64)
-    out[buckets] = np.arange(len(buckets))
+def bits(features: np.ndarray) -> np.ndarray:
+    """A quick test for hashes that are not among ``features``."""
+    out = np.zeros(1 << 20, bool)
+    out[(features >> np.uint64(44)).astype(np.int64)] = True
     return out
 
 
@@ -84,40 +86,58 @@ def labelled(df: DataFrame, labels: DataFrame, key: str, text: str, label_key: s
 
 
 def telling_features(rows: DataFrame, features: int = FEATURES) -> np.ndarray:
-    """Buckets that stand far more often in graded rows (``y > 0``) than in others, the strongest first."""
+    """Hashes that stand far more often in graded rows (``y > 0``) than in others: the strongest, in ascending order.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bad, good, n = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32), np.zeros(2, np.int64)
+    Two looks at the rows: buckets are counted first, then the hashes in
+    buckets that may tell are counted one by one.
+    """
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, n = np.zeros((2, BUCKETS), np.int32), np.zeros(2, np.int64)
+        for batch in W.parts(batches, 0):
+            y = (batch.column(1).to_numpy(zero_copy_only=False) > 0).astype(np.int64)
+            row, h = grams(batch.column(0))
+            key = np.unique(row.astype(np.int64) * BUCKETS + (h >> np.uint64(42)).astype(np.int64))
+            for kind in (0, 1):
+                seen[kind] += np.bincount((key % BUCKETS)[y[key // BUCKETS] == kind], minlength=BUCKETS).astype(np.int32)
+            n += np.bincount(y, minlength=2)
+        bad = np.flatnonzero(seen[1])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(bad, -1), pa.int32()), pa.array(np.append(seen[1][bad], n[1]), pa.int64()), pa.array(np.append(seen[0][bad], n[0]), pa.int64())], names=["bucket", "bad", "good"])
+
+    sums = rows.mapInArrow(tally, "bucket int, bad long, good long").groupBy("bucket").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    total = {r["bucket"]: r for r in sums.filter("bucket < 0").collect()}.get(-1)
+    if not total or not total["bad"] or not total["good"]:
+        return np.zeros(0, np.uint64)
+    ratio = (F.col("bad") / total["bad"]) / ((F.col("good") + 0.5) / total["good"])
+    score = F.col("bad") * F.log(ratio)
+    least = max(LEAST_ROWS, LEAST_SHARE * total["bad"])
+    maybe = sums.filter((F.col("bucket") >= 0) & (F.col("bad") >= least) & (ratio >= LEAST_RATIO / 2)).orderBy(score.desc(), "bucket").limit(4 * features)
+    wanted = np.zeros(BUCKETS, bool)
+    wanted[[r["bucket"] for r in maybe.select("bucket").collect()]] = True
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.parts(batches, 0):
             y = batch.column(1).to_numpy(zero_copy_only=False) > 0
-            row, bucket = grams(batch.column(0))
-            key = np.unique(row * BUCKETS + bucket)
-            row, bucket = key // BUCKETS, key % BUCKETS
-            bad += np.bincount(bucket[y[row]], minlength=BUCKETS).astype(np.int32)
-            good += np.bincount(bucket[~y[row]], minlength=BUCKETS).astype(np.int32)
-            n += [y.sum(), (~y).sum()]
-        seen = np.flatnonzero(bad)
-        ids = np.concatenate([[-1], seen])  # -1 has the numbers of rows
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(np.concatenate([n[:1], bad[seen]]), pa.int64()), pa.array(np.concatenate([n[1:], good[seen]]), pa.int64())], names=["bucket", "bad", "good"])
-
-    sums = rows.mapInArrow(work, "bucket int, bad long, good long").groupBy("bucket").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    found = sums.filter(F.col("bad") >= LEAST_ROWS).toPandas() if rows is not None else None  # BUCKETS rows at most
-    total = found[found["bucket"] < 0]
-    if total.empty or not total["good"].iloc[0]:
-        return np.zeros(0, np.int64)
-    n_bad, n_good = float(total["bad"].iloc[0]), float(total["good"].iloc[0])
-    found = found[found["bucket"] >= 0]
-    share, other = found["bad"] / n_bad, (found["good"] + 0.5) / n_good
-    found = found.assign(score=found["bad"] * np.log(share / other))[share / other >= LEAST_RATIO]
-    return found.sort_values(["score", "bucket"], ascending=[False, True])["bucket"].to_numpy(np.int64)[:features]
+            row, h = grams(batch.column(0))
+            some = np.flatnonzero(wanted[(h >> np.uint64(42)).astype(np.int64)])
+            pair = np.unique(np.stack([row[some].astype(np.uint64), h[some]], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 1].view(np.int64)), pa.array(y[pair[:, 0].astype(np.int64)])], names=["h", "bad"])
+
+    counts = rows.mapInArrow(exact, "h long, bad boolean").groupBy("h").agg(F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good"))
+    best = counts.filter((F.col("bad") >= least) & (ratio >= LEAST_RATIO)).orderBy(score.desc(), "h").limit(features).select("h")
+    return np.sort(np.array([r["h"] for r in best.collect()], np.int64).view(np.uint64))
 
 
 def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def fit_thresholds(row: np.ndarray, feature: np.ndarray, value: np.ndarray, y: np.ndarray, n_features: int, penalty: float = 1e-5, steps: int = 600, rate: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ordered thresholds by full-batch Adam on the mean log-loss; thresholds are a first one plus positive steps."""
+def fit_thresholds(row: np.ndarray, feature: np.ndarray, value: np.ndarray, y: np.ndarray, n_features: int, penalty: float = 1e-5, steps: int = 800, rate: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and ordered thresholds by full-batch Adam on the mean log-loss; thresholds are a first one plus positive steps.
+
+    Every feature was chosen for standing in graded rows, so weights are not
+    negative: nothing that stands beside a telling word can talk it away.
+    """
     grades = int(y.max()) + 1 if len(y) else 1
     w, first, gaps = np.zeros(n_features), np.array(0.0), np.zeros(max(grades - 2, 0))
     if grades < 2:
@@ -139,19 +159,19 @@ def fit_thresholds(row: np.ndarray, feature: np.ndarray, value: np.ndarray, y: n
         state[0] = 0.9 * state[0] + 0.1 * grad
         state[1] = 0.99 * state[1] + 0.01 * grad**2
         move = rate * (1 - step / (steps + 1)) * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.99**step)) + 1e-8)
-        w, first, gaps = w - move[:n_features], first - move[n_features], gaps - move[n_features + 1 :]
+        w, first, gaps = np.maximum(w - move[:n_features], 0), first - move[n_features], gaps - move[n_features + 1 :]
     return w, first + np.concatenate([[0], np.cumsum(np.log1p(np.exp(gaps)))])
 
 
-def split_by_density(rows: DataFrame, buckets: np.ndarray) -> DataFrame:
+def split_by_density(rows: DataFrame, features: np.ndarray) -> DataFrame:
     """Grades 1 and 2 in place of a yes: rows at most at, and over, the median of telling features per word."""
-    slot, n = slots(buckets), len(buckets)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        present = bits(features)
         for batch in W.parts(batches, 0):
-            row, _, value = counted(batch.column(0), slot, n)
+            row, _, value = counted(batch.column(0), features, present)
             words = np.diff(W.words(batch.column(0)).first)
-            density = np.bincount(row, weights=2**value - 1, minlength=batch.num_rows) / np.maximum(words, 1)
+            density = np.bincount(row, weights=value, minlength=batch.num_rows) / np.maximum(words, 1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(density, pa.float64())], names=["t", "y", "density"])
 
     dense = rows.mapInArrow(work, "t string, y int, density double")
@@ -166,15 +186,15 @@ def fit(rows: DataFrame, split: bool = False, features: int = FEATURES) -> Model
     number is bounded by the rows the model is fitted on. Without rows of both
     kinds there are no features, and every text has severity 0.
     """
-    buckets = np.sort(telling_features(rows, features))
-    if not len(buckets):
-        return Model(buckets, np.zeros(0), np.zeros(0))
-    graded = split_by_density(rows, buckets) if split else rows
-    slot, n = slots(buckets), len(buckets)
+    hashes = telling_features(rows, features)
+    if not len(hashes):
+        return Model(hashes, np.zeros(0), np.zeros(0))
+    graded = split_by_density(rows, hashes) if split else rows
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        present = bits(hashes)
         for batch in W.parts(batches, 0):
-            row, feature, value = counted(batch.column(0), slot, n)
+            row, feature, value = counted(batch.column(0), hashes, present)
             at = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x)) for x in (feature.astype(np.int32), value.astype(np.float32))]
             yield pa.RecordBatch.from_arrays([batch.column(1), *lists], names=["y", "f", "v"])
@@ -182,8 +202,8 @@ def fit(rows: DataFrame, split: bool = False, features: int = FEATURES) -> Model
     found = graded.mapInArrow(work, "y int, f array<int>, v array<float>").toArrow()
     f, v = found.column("f").combine_chunks(), found.column("v").combine_chunks()
     sizes = np.diff(f.offsets.to_numpy())
-    w, cuts = fit_thresholds(np.repeat(np.arange(len(sizes)), sizes), f.flatten().to_numpy(), v.flatten().to_numpy().astype(float), found.column("y").to_numpy(), n)
-    return Model(buckets, w, cuts)
+    w, cuts = fit_thresholds(np.repeat(np.arange(len(sizes)), sizes), f.flatten().to_numpy(), v.flatten().to_numpy().astype(float), found.column("y").to_numpy(), len(hashes))
+    return Model(hashes, w, cuts)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", prefix: str = "toxicity") -> DataFrame:
@@ -194,12 +214,12 @@ def score(df: DataFrame, model: Model, text: str = "text", prefix: str = "toxici
     """
     names = [f"{prefix}_severity", f"{prefix}_p", f"{prefix}_grade"]
     plain = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in names])
-    at_text, columns, n = plain.columns.index(text), plain.columns, len(model.buckets)
+    at_text, columns = plain.columns.index(text), plain.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slot = slots(model.buckets)
+        present = bits(model.features)
         for batch in W.parts(batches, at_text):
-            row, feature, value = counted(batch.column(at_text), slot, n)
+            row, feature, value = counted(batch.column(at_text), model.features, present)
             eta = np.bincount(row, weights=value * model.weights[feature], minlength=batch.num_rows)
             over = np.stack([np.ones(batch.num_rows), *[1 - _sigmoid(c - eta) for c in model.thresholds], np.zeros(batch.num_rows)], axis=1)
             severity, p = over[:, 1:].sum(axis=1), over[:, 1]
