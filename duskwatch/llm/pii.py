@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stage
+from ..session import broadcast_if_small, stage
 from . import spans as S
 
 # What the base kinds match, in the order of their ranks. Possessive repeats and the look-behinds change
@@ -68,7 +68,7 @@ def base(df: DataFrame, text: str, out: str) -> DataFrame:
     wide = wide.select("*", *[S.located(F.col(f"_m_{k}"), S.gaps(t, p, F.col(f"_m_{k}"))).alias(f"_s_{k}") for k, (p, _) in tests.items()])
     passing = lambda k: F.filter(f"_s_{k}", lambda s: passes[k](s["value"]))
     found = [S.tagged(passing(k), k, i) for i, k in enumerate(KINDS)]
-    return wide.select(*df.columns, S.ordered(*found).alias(out))
+    return wide.select(*[F.col(f"`{c}`") for c in df.columns], S.ordered(*found).alias(out))
 
 
 def units(df: DataFrame, text: str, found: str, out: str) -> DataFrame:
@@ -130,29 +130,64 @@ def confidence(scored: DataFrame) -> DataFrame:
     return p.filter((F.col("_known") >= LEAST_SEEDS) & (F.col("confidence") >= PATTERN_CONFIDENCE)).select("pattern", "confidence")
 
 
-def scan(df: DataFrame, key: str = "doc_id", text: str = "text", out: str = "pii", rounds: int = ROUNDS) -> DataFrame:
-    """One row per input row: ``key`` and ``out``, spans ``(start, rank, kind, end, value)`` of base kinds and of kind ``context``.
+def _found(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``k``, base spans ``b``, units ``u`` and the checksum ``h`` of each text, written once.
 
-    A null or empty text has no spans. Rows may repeat, and a key may stand
-    for several texts or be null; each row gets the spans of its own text.
-    Other columns of ``df`` are not looked at, so their names can't clash.
+    Small beside the texts, and read for the graph, for the discovered spans
+    and for the result.
     """
-    t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    docs = df.select(F.col(f"`{key}`").alias("k"), t.alias("t"))
+    docs = df.select(F.col(f"`{key}`").alias("k"), _plain(text).alias("t"))
     found = units(base(docs, "t", "b"), "t", "b", "u")
     # Texts without units have nothing to join; numbers spread them where a null key would gather them.
     h = F.when(F.size("u") > 0, F.sha2(F.col("t"), 256)).otherwise(F.monotonically_increasing_id().cast("string"))
-    # Small beside the texts, and read three times: for the graph, for the discovered spans and for the result.
-    found = stage(found.select("k", "b", "u", h.alias("h")), "pii")
+    return stage(found.select("k", "b", "u", h.alias("h")), "pii")
+
+
+def _plain(text: str) -> Column:
+    return F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+
+
+_SPANS = "array<struct<start:int,end:int,value:string>>"
+
+
+def discovered(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """``h`` and ``a``: the spans that bootstrapping adds to a text."""
     seen = found.select("h", F.explode("u").alias("u"))
     seen = seen.select("h", "u", F.explode(pattern_of(F.col("u"))).alias("pattern"), F.lower("u.value").alias("instance"))
     edges = stage(seen.groupBy("pattern", "instance").agg(F.max("u.seed").alias("seed")), "pii-graph")
     patterns, instances = bootstrap(edges, rounds)
     fresh = seen.filter(~F.col("u.seed")).join(patterns.select("pattern"), "pattern", "left_semi").join(instances.select("instance"), "instance", "left_semi")
-    added = fresh.groupBy("h").agg(F.collect_set(F.struct("u.start", "u.end", "u.value")).alias("a"))
-    whole = found.join(added, "h", "left")
-    extra = S.tagged(F.coalesce("a", F.array().cast("array<struct<start:int,end:int,value:string>>")), "context", 4)
-    return whole.select(F.col("k").alias(key), S.ordered(F.col("b"), extra).alias(out))
+    return fresh.groupBy("h").agg(F.collect_set(F.struct("u.start", "u.end", "u.value")).alias("a"))
+
+
+def _all_spans(base_spans: Column, added: Column) -> Column:
+    return S.ordered(base_spans, S.tagged(F.coalesce(added, F.array().cast(_SPANS)), "context", 4))
+
+
+def scan(df: DataFrame, key: str = "doc_id", text: str = "text", out: str = "pii", rounds: int = ROUNDS) -> DataFrame:
+    """One row per input row: ``key`` and ``out``, spans ``(start, rank, kind, end, value)`` of base kinds and of kind ``context``.
+
+    A null or empty text has no spans. Rows may repeat, and a key may stand
+    for several texts or be null; each row gets the spans of its own text.
+    Other columns of ``df`` are not looked at, so their names can't clash.
+    """
+    found = _found(df, key, text)
+    whole = found.select("k", "b", "h").join(discovered(found, rounds), "h", "left")
+    return whole.select(F.col("k").alias(key), _all_spans(F.col("b"), F.col("a")).alias(out))
+
+
+def redact(df: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+    """``df`` with every span of :func:`scan` replaced by ``<kind>``; a null text stays null, all other columns are as they were.
+
+    The texts stay where they are: base spans are found again in their rows,
+    and the discovered ones, few beside the texts, come by a join.
+    """
+    added = stage(discovered(_found(df, key, text), rounds), "pii-added").select(F.col("h").alias("__h"), F.col("a").alias("__a"))
+    wide = df.withColumns({"__t": _plain(text)}).withColumn("__k", F.sha2("__t", 256))
+    wide = wide.join(broadcast_if_small(added), F.col("__k") == F.col("__h"), "left")
+    wide = base(wide, "__t", "__b").withColumn("__s", _all_spans(F.col("__b"), F.col("__a")))
+    new = F.when(F.col(f"`{text}`").isNotNull(), S.replaced(F.col("__t"), F.col("__s"), lambda s: F.concat(F.lit("<"), s["kind"], F.lit(">"))))
+    return wide.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])
 
 
 def digest(scanned: DataFrame, key: str = "doc_id", spans: str = "pii") -> DataFrame:

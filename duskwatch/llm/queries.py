@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from ..session import stage
 from . import decontaminate, near_text, near_vectors, oracle_sql, pieces, pii, resample, secrets, sentences, tokens, toxicity
 
@@ -97,3 +99,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = decontaminate.mark(docs, table(spark, sf_dir, "benchmark"))
     items = F.array_sort(F.array_distinct("overlaps.item_id"))
     return marked.select("doc_id", (F.size("overlaps") > 0).alias("contaminated"), F.size(items).cast("long").alias("n_items"), items.alias("item_ids"), "overlaps")
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -132,7 +132,7 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def fit_thresholds(row: np.ndarray, feature: np.ndarray, value: np.ndarray, y: np.ndarray, n_features: int, penalty: float = 1e-5, steps: int = 800, rate: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+def fit_thresholds(row: np.ndarray, feature: np.ndarray, value: np.ndarray, y: np.ndarray, n_features: int, penalty: float = 1e-5, steps: int = 1500, rate: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds by full-batch Adam on the mean log-loss; thresholds are a first one plus positive steps.
 
     Every feature was chosen for standing in graded rows, so weights are not
@@ -163,20 +163,19 @@ def fit_thresholds(row: np.ndarray, feature: np.ndarray, value: np.ndarray, y: n
     return w, first + np.concatenate([[0], np.cumsum(np.log1p(np.exp(gaps)))])
 
 
-def split_by_density(rows: DataFrame, features: np.ndarray) -> DataFrame:
-    """Grades 1 and 2 in place of a yes: rows at most at, and over, the median of telling features per word."""
+def split_by_amount(rows: DataFrame, features: np.ndarray) -> DataFrame:
+    """Grades 1 and 2 in place of a yes: rows at most at, and over, the median amount of telling features."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         present = bits(features)
         for batch in W.parts(batches, 0):
             row, _, value = counted(batch.column(0), features, present)
-            words = np.diff(W.words(batch.column(0)).first)
-            density = np.bincount(row, weights=value, minlength=batch.num_rows) / np.maximum(words, 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(density, pa.float64())], names=["t", "y", "density"])
+            amount = np.bincount(row, weights=value, minlength=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(amount, pa.float64())], names=["t", "y", "amount"])
 
-    dense = rows.mapInArrow(work, "t string, y int, density double")
-    middle = dense.filter("y > 0").agg(F.percentile_approx("density", 0.5, 10_000).alias("m")).first()["m"]
-    return dense.select("t", F.when((F.col("y") > 0) & (F.col("density") > F.lit(middle)), 2).otherwise(F.col("y")).cast("int").alias("y"))
+    weighed = rows.mapInArrow(work, "t string, y int, amount double")
+    middle = weighed.filter("y > 0").agg(F.percentile_approx("amount", 0.5, 10_000).alias("m")).first()["m"]
+    return weighed.select("t", F.when((F.col("y") > 0) & (F.col("amount") > F.lit(middle)), 2).otherwise(F.col("y")).cast("int").alias("y"))
 
 
 def fit(rows: DataFrame, split: bool = False, features: int = FEATURES) -> Model:
@@ -189,7 +188,7 @@ def fit(rows: DataFrame, split: bool = False, features: int = FEATURES) -> Model
     hashes = telling_features(rows, features)
     if not len(hashes):
         return Model(hashes, np.zeros(0), np.zeros(0))
-    graded = split_by_density(rows, hashes) if split else rows
+    graded = split_by_amount(rows, hashes) if split else rows
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         present = bits(hashes)
