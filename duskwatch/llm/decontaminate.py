@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 
 from . import words as W
 
-#: Offsets of the hashed words: a solid run, and two with ignored positions.
-MASKS = ((0, 1, 2, 3, 4, 5, 6, 7), (0, 1, 3, 4, 6, 7, 9, 10), (0, 2, 3, 4, 6, 7, 9, 11))
+#: Offsets of the hashed words: a solid run, and three with ignored positions.
+MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 6, 8), (0, 1, 4, 6, 7, 9))
 #: Words that an overlap has to share with an item; of a shorter item, this share of its words.
 LEAST_WORDS, LEAST_SHARE = 13, 0.8
 #: Items of fewer words are not looked for: their words alone prove nothing.

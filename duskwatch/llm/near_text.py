@@ -242,7 +242,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", leaf
     members = members.dropDuplicates(["k", "sketch"])
     found = components(links(df, members, key, text, leaf, depth)).select(F.col("id").alias("class"), "component")
     slim = sk.select("k", "n", "copy").join(classes, "copy", "left").join(found, "class", "left")
-    component = F.coalesce("component", "class", "k")
+    component = F.when(F.col("k").isNotNull(), F.coalesce("component", "class", "k"))
     return slim.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("k") == component, F.lit(True)).alias("kept"))
 
 

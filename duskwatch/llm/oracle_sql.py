@@ -77,7 +77,7 @@ FROM copies LEFT JOIN least ON class = least.doc_id
 
 NEAR_VECTORS = """
 WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-good AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND list_sum(list_transform(e, lambda x: CASE WHEN x IS NULL OR NOT isfinite(x) THEN 1 ELSE 0 END)) = 0
+good AS MATERIALIZED (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND list_sum(list_transform(e, lambda x: CASE WHEN x IS NULL OR NOT isfinite(x) THEN 1 ELSE 0 END)) = 0
          AND list_sum(list_transform(e, lambda x: abs(x))) > 0),
 linked AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
 reach AS (SELECT DISTINCT a AS vec_id, a AS r FROM linked UNION SELECT reach.vec_id, b FROM reach JOIN linked ON r = a),

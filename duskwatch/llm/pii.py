@@ -183,11 +183,11 @@ def redact(df: DataFrame, key: str = "doc_id", text: str = "text", rounds: int =
     and the discovered ones, few beside the texts, come by a join.
     """
     added = stage(discovered(_found(df, key, text), rounds), "pii-added").select(F.col("h").alias("__h"), F.col("a").alias("__a"))
-    wide = df.withColumns({"__t": _plain(text)}).withColumn("__k", F.sha2("__t", 256))
-    wide = wide.join(broadcast_if_small(added), F.col("__k") == F.col("__h"), "left")
-    wide = base(wide, "__t", "__b").withColumn("__s", _all_spans(F.col("__b"), F.col("__a")))
-    new = F.when(F.col(f"`{text}`").isNotNull(), S.replaced(F.col("__t"), F.col("__s"), lambda s: F.concat(F.lit("<"), s["kind"], F.lit(">"))))
-    return wide.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns])
+    wide = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("r"), _plain(text).alias("t")).withColumn("k", F.sha2("t", 256))
+    wide = wide.join(broadcast_if_small(added), F.col("k") == F.col("__h"), "left")
+    wide = base(wide, "t", "b").withColumn("s", _all_spans(F.col("b"), F.col("__a")))
+    new = F.when(F.col(f"r.`{text}`").isNotNull(), S.replaced(F.col("t"), F.col("s"), lambda s: F.concat(F.lit("<"), s["kind"], F.lit(">"))))
+    return wide.select(*[new.alias(c) if c == text else F.col(f"r.`{c}`").alias(c) for c in df.columns])
 
 
 def digest(scanned: DataFrame, key: str = "doc_id", spans: str = "pii") -> DataFrame:

@@ -88,7 +88,8 @@ def scan(df: DataFrame, text: str = "text", out: str = "secrets", allow: tuple[s
     """
     limits = limits or LIMITS
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    wide = df.select(*[F.col(f"`{c}`") for c in df.columns if c != out], t.alias("_t"))
+    # One struct holds the row, so that no name of its columns can clash with one used here.
+    wide = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != out]).alias("_row"), t.alias("_t"))
     wide = wide.select(
         "*",
         S.matches(F.col("_t"), ASSIGN, F.col("_t").rlike("[:=]")).alias("_am"),
@@ -122,8 +123,7 @@ def scan(df: DataFrame, text: str = "text", out: str = "secrets", allow: tuple[s
 
     wide = wide.select("*", base.alias("_base"), F.flatten(F.transform(suspects, runs)).alias("_runs"))
     added = S.outside(S.tagged(F.col("_runs"), "entropy", 3), F.col("_base"))
-    keep = [F.col(f"`{c}`") for c in df.columns if c != out]
-    return wide.select(*keep, S.ordered(F.col("_base"), added).alias(out))
+    return wide.select("_row", S.ordered(F.col("_base"), added).alias("_all")).select("_row.*", F.col("_all").alias(out))
 
 
 def digest(scanned: DataFrame, key: str = "doc_id", spans: str = "secrets") -> DataFrame:
