@@ -54,7 +54,7 @@ def event_counts(spark, d):
 @query("user_baselines", with_(EV, CNT, WEEK) + """
 SELECT user_id, msg_id, round(mean * 1e6) / 1e6 AS mean, round(stddev * 1e6) / 1e6 AS stddev, sample_days, '2024-01-30' AS updated FROM base""")
 def user_baselines(spark, d):
-    out = B.baselines(B.event_counts(D.events(spark, d)), D.AS_OF, 7)
+    out = B.baselines(B.window_counts(D.events(spark, d), D.AS_OF, 7), D.AS_OF, 7)
     return out.select("user_id", "msg_id", r6("mean"), r6("stddev"), "sample_days", "updated")
 
 
@@ -62,14 +62,14 @@ def user_baselines(spark, d):
 SELECT user_id, msg_id, round(sum(c) / 7 * 1e6) / 1e6 AS mean, round(sqrt(greatest(sum(c * c) / 7 - (sum(c) / 7) * (sum(c) / 7), 0)) * 1e6) / 1e6 AS stddev
 FROM cnt WHERE day >= DATE '2024-01-23' AND day <= DATE '2024-01-29' GROUP BY user_id, msg_id""")
 def user_baselines_full_window(spark, d):
-    out = B.baselines(B.event_counts(D.events(spark, d)), D.AS_OF, 7, full_window=True)
+    out = B.baselines(B.window_counts(D.events(spark, d), D.AS_OF, 7), D.AS_OF, 7, full_window=True)
     return out.select("user_id", "msg_id", r6("mean"), r6("stddev"))
 
 
 @query("global_baselines", with_(EV, CNT, WEEK) + """
 SELECT msg_id, round(mean * 1e6) / 1e6 AS mean, round(stddev * 1e6) / 1e6 AS stddev, sample_days FROM world""")
 def global_baselines(spark, d):
-    users = B.baselines(B.event_counts(D.events(spark, d)), D.AS_OF, 7)
+    users = B.baselines(B.window_counts(D.events(spark, d), D.AS_OF, 7), D.AS_OF, 7)
     return B.global_baselines(users).select("msg_id", r6("mean"), r6("stddev"), "sample_days")
 
 
@@ -119,7 +119,7 @@ SELECT (SELECT count(DISTINCT user_id) FROM cnt WHERE day = DATE '2024-01-30') A
 def population_stats(spark, d):
     from duskwatch.operators.rules import active_rules, rules_frame
 
-    counts = B.event_counts(D.events(spark, d))
+    counts = B.event_counts(D.events(spark, d), first="2024-01-23", last=D.AS_OF)
     active = active_rules(rules_frame(spark, D.SCORING_RULES), "ueba")
     return reports.stats(counts.where(F.col("day") == D.AS_OF), B.all_baselines(counts, D.AS_OF, 7), active)
 

@@ -179,8 +179,8 @@ SELECT user_id, msg_id, avg(c) AS mean, stddev_pop(c) AS stddev, CAST(count(*) A
 SELECT user_id, msg_id, round(mean * 1e6) / 1e6 AS mean, round(stddev * 1e6) / 1e6 AS stddev, sample_days, '2024-01-30' AS updated FROM mb
 UNION ALL SELECT user_id, msg_id, round(mean * 1e6) / 1e6, round(stddev * 1e6) / 1e6, sample_days, '2024-01-15' FROM ma ANTI JOIN mb USING (user_id, msg_id)""")
 def baseline_upsert(spark, d):
-    counts = behaviour.event_counts(D.events(spark, d))
-    both = behaviour.upsert_baselines(behaviour.baselines(counts, "2024-01-30", 7), behaviour.baselines(counts, "2024-01-15", 7))
+    known = lambda day: behaviour.baselines(behaviour.window_counts(D.events(spark, d), day, 7), day, 7)
+    both = behaviour.upsert_baselines(known("2024-01-30"), known("2024-01-15"))
     r6 = lambda c: (F.round(F.col(c) * 1e6) / 1e6).alias(c)
     return both.select("user_id", "msg_id", r6("mean"), r6("stddev"), "sample_days", "updated")
 

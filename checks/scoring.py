@@ -76,7 +76,7 @@ SELECT p.user_id, round(sum(p.p) * coalesce(any_value(c.m), 1.0) * 100) / 100 AS
 FROM pts p LEFT JOIN ctx c ON c.user_id = p.user_id WHERE p.day = {DAY} GROUP BY p.user_id""")
 def rule_scores(spark, d):
     rules = compiled(spark, D.SCORING_RULES)
-    values = B.rule_values(D.events(spark, d), rules).where(F.col("day") == D.AS_OF)
+    values = B.rule_values(D.events(spark, d), rules, first=D.AS_OF)
     out = S.rule_scores(values, rules, D.user_profiles(spark, d), SETTINGS, D.AS_OF)
     each = F.transform(F.array_sort(F.map_entries("rule_scores")), lambda e: F.format_string("%s=%.2f", e["key"], e["value"]))
     return out.select("user_id", S.round2(F.col("rule_raw")).alias("rule_score"), F.size("rule_scores").cast("bigint").alias("rules"),
@@ -84,7 +84,7 @@ def rule_scores(spark, d):
 
 
 def _known(spark, d):
-    counts = B.event_counts(D.events(spark, d))
+    counts = B.event_counts(D.events(spark, d), first="2024-01-23", last=D.AS_OF)
     return counts, B.all_baselines(counts, D.AS_OF, 7)
 
 

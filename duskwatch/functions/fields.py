@@ -71,9 +71,11 @@ def field(name: str, tz: str = LOCAL_TZ) -> Column:
 def as_number(col: Column) -> Column:
     """Text -> double, null when it is no number.
 
-    Spark's cast also reads a trailing type letter ("12f"); such text is no number here.
+    Spark's cast also reads a trailing type letter ("12f") and the names of NaN
+    and infinity; such texts are no numbers here.
     """
-    return F.when(~F.substring(col, -1, 1).isin("d", "D", "f", "F"), col.try_cast("double"))
+    number = col.try_cast("double")
+    return F.when(~F.substring(col, -1, 1).isin("d", "D", "f", "F") & (F.abs(number) < F.lit(float("inf"))), number)
 
 
 def field_number(name: str, tz: str = LOCAL_TZ) -> Column:

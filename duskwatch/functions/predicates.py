@@ -10,7 +10,9 @@ from __future__ import annotations
 import datetime as dt
 import functools
 import json
+import math
 import operator
+import re
 from collections.abc import Callable, Iterable, Mapping
 from typing import Any
 from zoneinfo import ZoneInfo
@@ -23,6 +25,8 @@ from .fields import HOUR_FIELDS, FieldColumns, field, field_number, is_virtual
 
 #: The legal operators.
 OPERATORS = ("eq", "neq", "gt", "gte", "lt", "lte", "in", "like", "regex", "contains", "time_range")
+#: What a number looks like, in rule values as in fields (where the cast reads the same texts).
+_NUMBER = re.compile(r"^[ \t\n\r\f\v]*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?[ \t\n\r\f\v]*\Z")
 _ORDER = {"gt": operator.gt, "gte": operator.ge, "lt": operator.lt, "lte": operator.le}
 
 
@@ -30,10 +34,10 @@ def number_of(text: Any) -> float | None:
     """Rule value -> number, or None. Booleans are not numbers."""
     if isinstance(text, bool) or text is None:
         return None
-    try:
-        return float(text)
-    except (TypeError, ValueError):
+    if isinstance(text, str) and not _NUMBER.match(text):
         return None
+    number = float(text)
+    return number if math.isfinite(number) else None
 
 
 def text_of(value: Any) -> str:
@@ -197,6 +201,9 @@ def last_days(ts: Column | str, as_of: str, days: int, tz: str = LOCAL_TZ) -> Co
     return on_days(ts, first.isoformat(), as_of, tz)
 
 
+#: Parts whose conditions make one array column; a longer list is several columns of one scan, each of a size the JVM compiles.
+PARTS_PER_COLUMN = 150
+
 #: The event types a rule can match (None: any), and its row for events of a type (None: of no listed type).
 Part = tuple[Iterable[str] | None, Callable[[str | None], Column]]
 
@@ -210,6 +217,17 @@ def explode_hits(df: DataFrame, parts: Iterable[Part], fields: FieldColumns, *ke
     higher-order filter would take all conditions out of generated code.
     """
     listed = [(None if types is None else set(types), row) for types, row in parts]
+    batches = [listed[i : i + PARTS_PER_COLUMN] for i in range(0, max(len(listed), 1), PARTS_PER_COLUMN)]
+    names = [f"_hits_{i}" for i in range(len(batches))]
+    hits = [_hits(batch).alias(name) for batch, name in zip(batches, names)]  # this names the field columns
+    found = fields.add_to(df).select(*keep, *hits)
+    # An explode of a bare column makes the optimizer test its size first, and so build the array twice.
+    bounded = F.concat(*names) if len(names) > 1 else F.coalesce(names[0], F.slice(names[0], 1, 0))
+    return found.select(*keep, F.explode(bounded).alias("hit")).where("hit is not null")
+
+
+def _hits(listed: list[Part]) -> Column:
+    """The array of rows of an event's type, never null."""
     chosen = None
     for kind in sorted({t for types, _ in listed if types is not None for t in types}):
         mine = F.array(*[row(kind) for types, row in listed if types is None or kind in types])
@@ -217,10 +235,8 @@ def explode_hits(df: DataFrame, parts: Iterable[Part], fields: FieldColumns, *ke
         chosen = F.when(test, mine) if chosen is None else chosen.when(test, mine)
     free = F.array(*[row(None) for types, row in listed if types is None])
     if chosen is None:
-        chosen = free
-    elif any(types is None for types, _ in listed):
-        chosen = chosen.otherwise(free)
-    found = fields.add_to(df).select(*keep, chosen.alias("_hits"))
-    # An explode of a bare column makes the optimizer test its size first, and so build the array twice.
-    bounded = F.coalesce("_hits", F.slice("_hits", 1, 0))
-    return found.select(*keep, F.explode(bounded).alias("hit")).where("hit is not null")
+        return free
+    if any(types is None for types, _ in listed):
+        return chosen.otherwise(free)
+    types, row = listed[0]
+    return chosen.otherwise(F.array(F.when(F.lit(False), row(min(types)))))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import functools
 from collections.abc import Mapping, Sequence
 from typing import Any
@@ -10,12 +11,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fields import FieldColumns, local_day
-from ..functions.predicates import explode_hits, match
+from ..functions.predicates import explode_hits, match, on_days
 from ..session import LOCAL_TZ, stage
 
 Rule = Mapping[str, Any]
 
 
+def scorable() -> Column:
+    """Behaviour belongs to a user and a type; events without either have none."""
+    return (F.length("user_id") > 0) & (F.length("msg_id") > 0)
+
+
+def of_days(events: DataFrame, first: str | None, last: str | None = None, tz: str = LOCAL_TZ) -> DataFrame:
+    """Events of the local days ``first`` to ``last``, by bounds that reach the scan; all events without ``first``."""
+    return events if first is None else events.where(on_days("ts", first, last, tz))
+
+
+def window_counts(events: DataFrame, as_of: str, days: int, tz: str = LOCAL_TZ) -> DataFrame:
+    """Counts of the ``days`` days before ``as_of``: what a baseline of that day reads."""
+    day = dt.date.fromisoformat(as_of)
+    return event_counts(events, tz, (day - dt.timedelta(days=days)).isoformat(), (day - dt.timedelta(days=1)).isoformat())
+
+
 #: Kind of a counter row that counts events per type; other kinds are aggregate types of rules.
 TYPE = "type"
 
@@ -27,6 +44,7 @@ def observations(events: DataFrame, rules: Sequence[Rule], tz: str = LOCAL_TZ, t
     carry a text, and only sums a number.
     """
     fields, parts = FieldColumns(tz), []
+    events = events.where(scorable())
     if types:
         own = F.struct(F.lit(TYPE).alias("kind"), F.col("msg_id").alias("name"), F.lit(None).cast("string").alias("text"), F.lit(0.0).alias("number"))
         parts.append((None, lambda _: own))
@@ -79,11 +97,14 @@ def counted_values(stored: DataFrame) -> DataFrame:
     )
 
 
-def rule_values(events: DataFrame, rules: Sequence[Rule], tz: str = LOCAL_TZ, approx: bool = False) -> DataFrame:
+def rule_values(
+    events: DataFrame, rules: Sequence[Rule], tz: str = LOCAL_TZ, approx: bool = False, first: str | None = None, last: str | None = None
+) -> DataFrame:
     """``(user_id, rule_id, day, value)``: count, sum or distinct values of the events a rule matches.
 
-    ``approx`` estimates distinct counts in one aggregate, without rows per value.
+    With ``first`` (and ``last``) only those days are read. ``approx`` estimates distinct counts in one aggregate, without rows per value.
     """
+    events = of_days(events, first, last, tz)
     if not approx:
         return counted_values(counters(events, rules, tz, types=False))
     kind = F.col("kind")
@@ -94,9 +115,9 @@ def rule_values(events: DataFrame, rules: Sequence[Rule], tz: str = LOCAL_TZ, ap
     )
 
 
-def event_counts(events: DataFrame, tz: str = LOCAL_TZ) -> DataFrame:
-    """Events per user, type and local day."""
-    return events.groupBy("user_id", "msg_id", local_day("ts", tz).alias("day")).agg(F.count("*").alias("cnt"))
+def event_counts(events: DataFrame, tz: str = LOCAL_TZ, first: str | None = None, last: str | None = None) -> DataFrame:
+    """Events per user, type and local day; of the days ``first`` to ``last`` only, if given."""
+    return of_days(events, first, last, tz).where(scorable()).groupBy("user_id", "msg_id", local_day("ts", tz).alias("day")).agg(F.count("*").alias("cnt"))
 
 
 def _moments(keys: Sequence[str], counts: DataFrame, days: Column | None) -> DataFrame:

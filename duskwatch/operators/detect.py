@@ -21,9 +21,6 @@ Rule = Mapping[str, Any]
 #: Kinds answered per event, and kinds answered per window.
 ROW_KINDS = ("single", "any")
 WINDOW_KINDS = ("threshold", "all")
-#: Rules compiled into one scan. Longer lists are scanned in several passes, so that
-#: the generated expression stays within what the JVM compiles.
-RULES_PER_SCAN = 150
 #: Key columns that are columns of an alert.
 _ALERT_KEYS = {"userId": "user_id", "hostname": "hostname", "userIp": "user_ip"}
 
@@ -63,11 +60,6 @@ def matches(events: DataFrame, rules: Sequence[Rule], tz: str = LOCAL_TZ) -> Dat
     Each event builds the array of rules of its type that it satisfies and
     explodes it, so most events cost a few comparisons and emit nothing.
     """
-    batches = [rules[i : i + RULES_PER_SCAN] for i in range(0, len(rules), RULES_PER_SCAN)]
-    return functools.reduce(DataFrame.unionByName, [_matches(events, b, tz) for b in batches])
-
-
-def _matches(events: DataFrame, rules: Sequence[Rule], tz: str) -> DataFrame:
     types = _types(*rules)
     if types is not None:
         events = events.where(F.col("msg_id").isin(types))

@@ -66,9 +66,13 @@ def default_ts(df: DataFrame, now: Column, ts_col: str = "ts") -> DataFrame:
 
 
 def with_identity(df: DataFrame, map_col: str = "ext") -> DataFrame:
-    """Identity columns from the extension map."""
+    """Identity columns: the event's own value first, then the extension map's."""
     ext = F.col(map_col)
-    return df.withColumns({"user_id": ext["suid"], "user_name": ext["suser"], "user_ip": ext["src"]})
+
+    def place(name: str, key: str) -> Column:
+        return F.coalesce(non_empty(F.col(name)), ext[key]) if name in df.columns else ext[key]
+
+    return df.withColumns({"user_id": place("user_id", "suid"), "user_name": place("user_name", "suser"), "user_ip": place("user_ip", "src")})
 
 
 def resolve_user(df: DataFrame, map_col: str = "ext") -> DataFrame:

@@ -220,7 +220,7 @@ def prev_scores(scores: DataFrame, as_of: str, now: dt.datetime | None = None, t
     """
     now = now or midnight(as_of, tz)
     newest = scores.where(F.col("ts") < F.lit(midnight(as_of, tz))).groupBy("user_id").agg(
-        F.max_by(F.struct("risk_score", "ts"), "ts").alias("s")
+        F.max(F.struct("ts", "risk_score")).alias("s")
     )
     score = F.col("s.risk_score")
     elapsed = F.unix_micros(F.lit(now)) - F.unix_micros("s.ts")
@@ -314,7 +314,7 @@ def score_delta(scores: DataFrame, as_of: str) -> DataFrame:
     last = (
         scores.where(F.col("day").between(F.date_sub(day, 1), day))
         .groupBy("user_id", "day")
-        .agg(F.max_by("risk_score", "ts").alias("score"))
+        .agg(F.max(F.struct("ts", "risk_score"))["risk_score"].alias("score"))
         .groupBy("user_id")
         .agg(
             F.max(F.when(F.col("day") == day, F.col("score"))).alias("risk_score"),

@@ -97,32 +97,65 @@ def match_ends(
         runs.append(run)
         places.append(np.flatnonzero(run >= low).tolist())
     last = len(quantifiers) - 1
-
-    def stop_from(step: int, at: int, bound: int) -> int:
-        low, high = quantifiers[step]
-        room = min(int(runs[step][at]), bound - at)
-        high = room if high is None else min(high, room)
-        if high < low:
-            return -1
-        if step == last:
-            return at + high
-        # Only rows at which the next pattern can hold are worth trying, farthest first.
-        nxt = places[step + 1]
-        i = bisect.bisect_right(nxt, at + high) - 1
-        while i >= 0 and nxt[i] >= at + low:
-            found = stop_from(step + 1, nxt[i], bound)
-            if found >= 0:
-                return found
-            i -= 1
-        return -1
+    least = _least_ends(runs, places, quantifiers)
+
+    def stop_from(at: int, bound: int) -> int:
+        """Longest first, step by step; a row is taken if the rest can end within the bound from there."""
+        for step, (low, high) in enumerate(quantifiers):
+            room = min(int(runs[step][at]), bound - at)
+            high = room if high is None else min(high, room)
+            if step == last:
+                return at + high
+            nxt, ends_ = places[step + 1], least[step + 1]
+            i = bisect.bisect_right(nxt, at + high) - 1
+            while ends_[nxt[i]] > bound:
+                i -= 1
+            at = nxt[i]
+        return at
 
     for at in places[0]:
-        stop = stop_from(0, at, int(limit[at]))
-        if stop >= 0:
-            ends[at] = stop - 1
+        bound = int(limit[at])
+        if least[0][at] <= bound:
+            ends[at] = stop_from(at, bound) - 1
     return ends
 
 
+def _least_ends(runs: Sequence[np.ndarray], places: Sequence[Sequence[int]], quantifiers: Sequence[tuple[int, int | None]]) -> list[np.ndarray]:
+    """For every step and row, the earliest place at which the steps from there on can stop; beyond all rows if they can't.
+
+    Filled from the last step back. The rows at which the next step may start
+    are one range, and its minimum comes from a table of powers of two, so the
+    cost is ``steps * rows * log(rows)`` whatever the patterns.
+    """
+    n = len(runs[0])
+    never = np.iinfo(np.int64).max
+    out: list[np.ndarray] = [np.full(n, never, dtype=np.int64) for _ in runs]
+    for step in range(len(runs) - 1, -1, -1):
+        at, (low, high) = np.asarray(places[step], dtype=np.int64), quantifiers[step]
+        if step == len(runs) - 1:
+            out[step][at] = at + low
+            continue
+        nxt = np.asarray(places[step + 1], dtype=np.int64)
+        run = runs[step][at]
+        first = np.searchsorted(nxt, at + low, side="left")
+        stop = np.searchsorted(nxt, at + (run if high is None else np.minimum(run, high)), side="right")
+        some = stop > first
+        if not some.any():
+            continue
+        table = [out[step + 1][nxt]]
+        while 2 << (len(table) - 1) <= len(nxt):
+            half = 1 << (len(table) - 1)
+            table.append(np.minimum(table[-1][:-half], table[-1][half:]))
+        a, b = first[some], stop[some]
+        level = np.log2(b - a).astype(np.int64)
+        best = np.empty(len(a), dtype=np.int64)
+        for k in np.unique(level):
+            mine = level == k
+            best[mine] = np.minimum(table[k][a[mine]], table[k][b[mine] - (1 << int(k))])
+        out[step][at[some]] = best
+    return out
+
+
 def _numbered(events: DataFrame, rules: Sequence[Rule], by: Sequence[str], tz: str) -> DataFrame:
     """All rows with key columns, one bit mask per rule, and a dense position in key and time order."""
     keys = [field(name, tz).cast("string").alias(f"key_{i}") for i, name in enumerate(by)]
@@ -232,12 +265,15 @@ def _chunk_map(pdf: pd.DataFrame, chunk: int) -> pd.DataFrame:
     starts, stops = own["start"].to_numpy(), own["stop"].to_numpy()
     first, nxt = number * chunk, (number + 1) * chunk
     entries = sorted({first, *pdf.loc[pdf["incoming"], "stop"].add(1).tolist()})
+    # Walks that meet go on together: the end of a walk is found once per candidate, from the last one back.
+    follow = np.searchsorted(starts, stops + 1, side="left")
+    end = np.append(stops + 1, 0)
+    for i in range(len(starts) - 1, -1, -1):
+        if follow[i] < len(starts):
+            end[i] = end[follow[i]]
     exits = []
-    for entry in entries:
-        free = entry
-        for i in _walk(starts, stops, entry):
-            free = int(stops[i]) + 1
-        exits.append(max(free, nxt))
+    for entry, i in zip(entries, np.searchsorted(starts, np.asarray(entries), side="left")):
+        exits.append(max(int(end[i]) if i < len(starts) else int(entry), nxt))
     return pd.DataFrame({"rule_id": [rule_id], "chunk": [number], "entries": [entries], "exits": [exits]})
 
 

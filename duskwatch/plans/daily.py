@@ -34,7 +34,7 @@ class DailyJob:
         n = self.settings.baseline_window_days
         start = midnight(as_of, self.tz, -n).date().isoformat()
         end = midnight(as_of, self.tz, -1).date().isoformat()
-        counts = behaviour.event_counts(self.log(spark, start, end), self.tz)
+        counts = behaviour.window_counts(self.log(spark, start, end), as_of, n, self.tz)
         known = behaviour.all_baselines(counts, as_of, n)
         before = self.baselines(spark, as_of, strictly=True)
         if before is not None:

@@ -15,7 +15,8 @@ RAW_EVENT = T.StructType([
     T.StructField("cefExtensions", T.MapType(T.StringType(), T.StringType())),
 ])
 
-#: A normalized event, as the per-day log keeps it.
+#: A normalized event, as the per-day log keeps it. ``extra`` is the JSON text of top-level fields that the schema doesn't
+#: name; rules find their values in ``ext``, where a key of the event's own map comes first.
 EVENT = T.StructType([
     T.StructField("event_id", T.LongType()),
     T.StructField("ts", T.TimestampType()),
@@ -26,6 +27,7 @@ EVENT = T.StructType([
     T.StructField("user_name", T.StringType()),
     T.StructField("user_ip", T.StringType()),
     T.StructField("ext", T.MapType(T.StringType(), T.StringType())),
+    T.StructField("extra", T.StringType()),
 ])
 
 _CONDITION = """struct<field:string,op:string,value:string,`values`:array<string>,start:int,`end`:int>"""

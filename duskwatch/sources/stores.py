@@ -52,7 +52,9 @@ def write_alerts(alerts: DataFrame, path: str, now: Column, run: str, tz: str =
 def latest_per_key(df: DataFrame, keys: list[str], ts: str, *ties: str) -> DataFrame:
     """Newest row per key. Rows are combined before the shuffle, so a key with very many rows costs one per task."""
     rest = [c for c in df.columns if c not in keys]
-    order = F.struct(ts, *ties) if ties else F.col(ts)
+    # Without named ties the other columns decide, so that a retry can't change the result; maps have no order.
+    kinds = dict(df.dtypes)
+    order = F.struct(ts, *(ties or [c for c in rest if c != ts and "map<" not in kinds[c]]))
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_row")).select(*keys, "_row.*")
 
 

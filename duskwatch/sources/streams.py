@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..functions.fields import non_empty
 from ..schema import RAW_EVENT
 
+_KNOWN = [f.name for f in RAW_EVENT.fields]
 #: Column that keeps text which is not a JSON object.
 BAD = "_malformed"
 
@@ -50,16 +51,27 @@ def _is_bad() -> Column:
 
 
 def parse_events(df: DataFrame, col: str = "value") -> DataFrame:
-    """JSON text -> raw events under the names of the event table. Malformed text is dropped, missing fields are null."""
+    """JSON text -> raw events under the names of the event table. Malformed text is dropped, missing fields are null.
+
+    Top-level fields that no column holds are kept as JSON text in ``extra``,
+    and rules find their values in ``ext`` under names it does not have yet.
+    """
     e = F.col("_e")
-    return _decoded(df, col).where(~_is_bad()).select(
+    texts = F.map_filter(F.from_json(F.col(col), "map<string,string>"), lambda k, v: ~k.isin(_KNOWN) & v.isNotNull())
+    own = F.coalesce(e["cefExtensions"], F.create_map().cast("map<string,string>"))
+    more = F.map_filter("_texts", lambda k, v: ~F.map_contains_key(own, k))
+    ext = F.when(F.size("_texts") > 0, F.map_concat(own, more)).otherwise(e["cefExtensions"])
+    values = F.map_filter(F.from_json(F.col(col), "map<string,variant>"), lambda k, v: ~k.isin(_KNOWN))
+    extra = F.when(F.size("_texts") > 0, F.to_json(values))
+    return _decoded(df, col).where(~_is_bad()).withColumn("_texts", texts).select(
         e["event_id"].alias("event_id"),
         e["@timestamp"].try_cast("timestamp").alias("ts"),
         e["msgId"].alias("msg_id"),
         e["hostname"].alias("hostname"),
         e["appName"].alias("app_name"),
         non_empty(e["userId"]).alias("user_id"),
-        e["cefExtensions"].alias("ext"),
+        ext.alias("ext"),
+        extra.alias("extra"),
     )
 
 
@@ -69,15 +81,19 @@ def malformed(df: DataFrame, col: str = "value") -> DataFrame:
 
 
 def to_json_events(df: DataFrame) -> DataFrame:
-    """Normalized events as JSON text under the producers' names."""
-    return df.select(
-        F.to_json(F.struct(
-            "event_id",
-            F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("@timestamp"),
-            F.col("msg_id").alias("msgId"), "hostname", F.col("app_name").alias("appName"),
-            F.col("user_id").alias("userId"), F.col("ext").alias("cefExtensions"),
-        )).alias("value")
-    )
+    """Normalized events as JSON text under the producers' names; fields kept in ``extra`` stand beside them again."""
+    ext = F.col("ext")
+    extra = F.col("extra") if "extra" in df.columns else F.lit(None).cast("string")
+    copied = F.from_json(extra, "map<string,string>")
+    own = F.when(extra.isNull(), ext).otherwise(F.map_filter(ext, lambda k, v: ~F.coalesce(copied[k] == v, F.lit(False))))
+    known = F.to_json(F.struct(
+        "event_id",
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("@timestamp"),
+        F.col("msg_id").alias("msgId"), "hostname", F.col("app_name").alias("appName"),
+        F.col("user_id").alias("userId"), own.alias("cefExtensions"),
+    ))
+    whole = F.concat(F.left(known, F.length(known) - 1), F.lit(","), F.substring(extra, 2, 1 << 30))
+    return df.select(F.coalesce(whole, known).alias("value"))
 
 
 def write_events_stream(df: DataFrame, path: str, checkpoint: str, **kafka: str):

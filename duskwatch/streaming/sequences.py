@@ -95,7 +95,8 @@ def sequence_stream(events: DataFrame, rule: Mapping[str, Any], tz: str = LOCAL_
     Needs the RocksDB state store provider. A key is one task of a micro-batch;
     its state holds the rows of at most ``within`` plus the watermark delay.
     """
-    keys = [F.coalesce(field(name, tz).cast("string"), F.lit("")).alias(f"key_{i}") for i, name in enumerate(rule["by"])]
+    # A null and an empty key are two keys, as in a batch.
+    keys = [F.coalesce(F.concat(F.lit("="), field(name, tz).cast("string")), F.lit("-")).alias(f"key_{i}") for i, name in enumerate(rule["by"])]
     bits = [F.when(match(p, tz), F.lit(1 << i)).otherwise(F.lit(0)) for i, p in enumerate(rule["patterns"])]
     mask = functools.reduce(operator.add, bits).cast("bigint")
     rows = events.select(*keys, "ts", F.unix_micros("ts").alias("micros"), "event_id", mask.alias("mask"), "user_id", "hostname", "user_ip")
