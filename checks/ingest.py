@@ -197,3 +197,40 @@ def backfilled_history(spark, d):
     backfill_history(rows, path, run="first")
     return spark.read.parquet(path).withColumn("_d", local_day("ts")).where("day = _d").select(
         "log_pk", "msg_id", "hostname", "user_id", "user_ip", "action", "outcome", "day")
+
+
+def raw_json(spark, d):
+    """Raw JSON of the events: a third names its own user, a third only ``suid``, a third none; some lack a type; two unknown fields."""
+    k = F.col("ext")["k"].cast("int")
+    suid = F.when(k % 3 < 2, F.col("user_id"))
+    own = F.when(k % 3 == 0, F.concat(F.lit("own-"), F.col("user_id"))).when(k % 3 == 1, F.lit(""))
+    doc = F.struct(
+        "event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("@timestamp"),
+        F.when(k % 10 != 7, F.col("msg_id")).alias("msgId"), own.alias("userId"), k.alias("severity"),
+        F.struct(F.concat(F.lit("z"), k.cast("string")).alias("name"), (k % 2 == 0).alias("even")).alias("zone"),
+        F.map_filter(F.create_map(F.lit("suid"), suid, F.lit("act"), F.col("ext")["act"]), lambda _, v: v.isNotNull()).alias("cefExtensions"))
+    return D.events(spark, d).select(F.to_json(doc).alias("value"))
+
+
+@query("raw_to_behaviour", with_(EV) + """
+SELECT CASE WHEN k % 3 = 0 THEN 'own-' || user_id ELSE user_id END AS user_id, msg_id, strftime(day, '%Y-%m-%d') AS day,
+       count(*) AS cnt, count(*) FILTER (k >= 50) AS severe, count(DISTINCT k) AS republished
+FROM ev WHERE k % 3 < 2 AND k % 10 <> 7 GROUP BY ALL""")
+def raw_to_behaviour(spark, d):
+    """Parse, normalize, store, count and republish: events without user or type are stored, but nobody's behaviour."""
+    from duskwatch.operators.rules import collect_rules, rules_frame
+    from duskwatch.sources.streams import parse_events, to_json_events
+
+    path = stage_path(spark, "raw-log")
+    late = F.lit(dt.datetime(2024, 1, 30, 12, tzinfo=dt.timezone.utc))
+    stores.write_event_log(normalize.normalize(parse_events(raw_json(spark, d)), late), path, run="0")
+    log = spark.read.parquet(path)
+    severe = {"name": "severe", "weight": 1, "ueba": {"enabled": True}, "aggregate": {"type": "count"}}
+    docs = [severe | {"id": t, "ruleId": t, "match": {"msgId": t, "conditions": [{"field": "severity", "op": "gte", "value": "50"}]}}
+            for t in ("MESSAGE_CLICK", "MESSAGE_VIEW", "MESSAGE_PURCHASE", "MESSAGE_ERROR", "MESSAGE_SIGNUP")]
+    values = behaviour.rule_values(log, collect_rules(rules_frame(spark, docs)))
+    back = parse_events(to_json_events(log)).where(behaviour.scorable()).select("user_id", "msg_id", local_day("ts").alias("day"), F.from_json("extra", "severity int, zone struct<name:string,even:boolean>").alias("x"))
+    names = back.where("x.zone.name = concat('z', x.severity) and x.zone.even = (x.severity % 2 = 0)")
+    names = names.groupBy("user_id", "msg_id", "day").agg(F.countDistinct("x.severity").alias("republished"))
+    counts = behaviour.event_counts(log).join(values.withColumnRenamed("rule_id", "msg_id"), ["user_id", "msg_id", "day"], "left").join(names, ["user_id", "msg_id", "day"], "left")
+    return counts.select("user_id", "msg_id", "day", "cnt", F.coalesce("value", F.lit(0.0)).cast("bigint").alias("severe"), "republished")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 import datetime as dt
+import json
 from collections.abc import Mapping, Sequence
 from typing import Any
 
@@ -12,7 +13,6 @@ from pyspark.sql import functions as F
 
 from ..functions.fields import round2
 from ..functions.predicates import midnight, on_days
-from ..schema import SETTINGS_DDL
 from ..session import LOCAL_TZ, broadcast_if_small, stage
 from . import behaviour
 
@@ -20,6 +20,10 @@ from . import behaviour
 NORMAL, BLACKLIST = "normal", "blacklist"
 
 
+#: Sections of a settings document, with the fields that are named otherwise here.
+_SECTIONS = {"anomaly": {}, "decay": {}, "tiers": {}, "floor_score": {"enabled": "floor_enabled", "default": "floor_default"}}
+
+
 @dataclasses.dataclass(frozen=True)
 class Settings:
     """Scoring settings; the defaults are fixed values."""
@@ -47,9 +51,24 @@ class Settings:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Settings:
-        """Settings document (JSON); an absent field takes its default."""
-        row = spark.read.schema(SETTINGS_DDL).option("multiLine", True).json(path).first()
-        return cls.of(**(row.asDict(recursive=True) if row else {}))
+        """Settings document (JSON), grouped in sections or flat; an absent field takes its default, an unknown one is refused."""
+        rows = spark.read.text(path, wholetext=True).collect()
+        return cls.parse(json.loads(rows[0]["value"]) if rows else {})
+
+    @classmethod
+    def parse(cls, document: Mapping[str, Any]) -> Settings:
+        given: dict[str, Any] = {}
+        for name, value in document.items():
+            if name == "multipliers":
+                given[name] = {k: m.get("multiplier") if isinstance(m, Mapping) else m for k, m in (value or {}).items()}
+            elif name in _SECTIONS:
+                given |= {_SECTIONS[name].get(k, k): v for k, v in (value or {}).items()}
+            else:
+                given[name] = value
+        known = {f.name for f in dataclasses.fields(cls)} | {"lambda"}
+        if strange := sorted(set(given) - known):
+            raise ValueError(f"unknown settings: {', '.join(strange)}")
+        return cls.of(**given)
 
 
 def frequency(value: Column, mode: str) -> Column:
@@ -122,6 +141,8 @@ def unique_names(rules: Sequence[Mapping[str, Any]]) -> dict[str, str]:
 
 
 def literal_map(pairs: Mapping[str, Any]) -> Column:
+    if not pairs:  # an untyped map can't be looked up in
+        return F.create_map().cast("map<string,string>")
     return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
 
 

@@ -71,14 +71,16 @@ def daily_inputs(
 
 def risk_timeline(
     events: DataFrame, rules: Sequence[Mapping[str, Any]], profiles: DataFrame, settings: Settings,
-    first: str, last: str, tz: str = LOCAL_TZ,
+    first: str, last: str, tz: str = LOCAL_TZ, previous: DataFrame | None = None,
 ) -> DataFrame:
     """Score rows per user and day.
 
     At midnight a day's risk becomes the previous score of the next day and
     decays once. Cold start, floor and rounding make that step non-linear, so
     the days of a user are folded in order. A user has one small row per day in
-    the fold, whatever the number of their events.
+    the fold, whatever the number of their events. ``previous`` (``user_id``,
+    ``prev_score``) holds the scores of the day before ``first``; without it,
+    and for users not in it, the range starts at 0.
     """
     inputs = scoring.with_context(daily_inputs(events, rules, settings, first, last, tz), profiles, settings, F.col("day"))
     step = F.struct(
@@ -86,26 +88,28 @@ def risk_timeline(
         "whitelisted", (F.col("effective_context") == scoring.BLACKLIST).alias("listed"),
     )
     days = inputs.groupBy("user_id").agg(F.array_sort(F.collect_list(step)).alias("days"))
-    kept = "array<struct<day:date,rule_raw:double,anomaly_raw:double,best_days:int,whitelisted:boolean,prev_score:double,risk_score:double>>"
+    if previous is None:
+        days = days.withColumn("start", F.lit(0.0))
+    else:
+        days = days.join(previous.select("user_id", F.col("prev_score").alias("start")), "user_id", "left").fillna({"start": 0.0})
 
-    def advance(acc: Column, d: Column) -> Column:
-        prev = acc["prev"]
+    def risk_of(prev: Column, d: Column) -> Column:
         base = prev * F.lit(settings.decay)
         cold = ~d["whitelisted"] & scoring.is_cold(prev, d["best_days"], settings.cold_start_min_days)
         lifted = F.when(d["listed"], F.greatest(base, F.lit(settings.floor_default))).otherwise(base) if settings.floor_enabled else base
-        risk = (
+        return (
             F.when(d["whitelisted"], round2(base)).when(cold, 0.0)
             .otherwise(round2(lifted + d["rule_raw"] + d["anomaly_raw"]))
         )
-        row = F.struct(
-            d["day"].alias("day"), d["rule_raw"].alias("rule_raw"), d["anomaly_raw"].alias("anomaly_raw"),
-            d["best_days"].alias("best_days"), d["whitelisted"].alias("whitelisted"),
-            prev.alias("prev_score"), risk.alias("risk_score"),
-        )
-        return F.struct(risk.alias("prev"), F.concat(acc["rows"], F.array(row)).cast(kept).alias("rows"))
 
-    start = F.struct(F.lit(0.0).alias("prev"), F.array().cast(kept).alias("rows"))
-    rows = days.select("user_id", F.explode(F.aggregate("days", start, advance)["rows"]).alias("r")).select("user_id", "r.*")
+    # The fold carries the scores alone; the days they belong to are put beside them after it. Element 0 is the start.
+    advance = lambda scores, d: F.concat(scores, F.array(risk_of(F.element_at(scores, -1), d)))
+    scores = F.aggregate("days", F.array(F.col("start").cast("double")), advance)
+    folded = days.select("user_id", "days", scores.alias("scores")).select("user_id", "scores", F.posexplode("days").alias("i", "d"))
+    rows = folded.select(
+        "user_id", "d.day", "d.rule_raw", "d.anomaly_raw", "d.best_days", "d.whitelisted",
+        F.get("scores", F.col("i")).alias("prev_score"), F.get("scores", F.col("i") + 1).alias("risk_score"),
+    )
     listed = F.col("whitelisted")
     rule = F.when(listed, 0.0).otherwise(round2(F.col("rule_raw")))
     anomaly = F.when(listed, 0.0).otherwise(round2(F.col("anomaly_raw")))

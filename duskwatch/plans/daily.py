@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.predicates import midnight
 from ..operators import behaviour, scoring
 from ..operators.scoring import Settings
+from ..schema import BASELINE_DDL
 from ..session import LOCAL_TZ, stage
 from ..sources.stores import read_day_range, upsert_scores, write_partitions
 
@@ -44,7 +45,7 @@ class DailyJob:
 
     def baselines(self, spark: SparkSession, as_of: str, strictly: bool = False) -> DataFrame | None:
         """The newest stored baselines at ``as_of`` (before it, when ``strictly``)."""
-        stored = self._table(spark, self.baselines_path)
+        stored = self._table(spark, self.baselines_path, f"{BASELINE_DDL}, as_of date")
         if stored is None:
             return None
         day = F.lit(as_of).cast("date")
@@ -65,8 +66,11 @@ class DailyJob:
             previous = spark.createDataFrame([], "user_id string, prev_score double, days_since int")
         else:
             previous = scoring.prev_scores(stored, as_of, tz=self.tz)
+        known = self.baselines(spark, as_of)
+        if known is None:  # the first day of a log has nothing before it
+            known = spark.createDataFrame([], BASELINE_DDL)
         out = scoring.score_day(
-            self.log(spark, as_of, as_of), rules, self.baselines(spark, as_of), profiles, previous, self.settings, as_of, self.tz
+            self.log(spark, as_of, as_of), rules, known, profiles, previous, self.settings, as_of, self.tz
         )
         end = F.lit(midnight(as_of, self.tz, 1)) - F.expr("interval 1 second")
         upsert_scores(stage(out.drop("day").withColumn("ts", end), "scores"), self.scores_path, self.tz)
@@ -76,9 +80,9 @@ class DailyJob:
         self.score(spark, rules, profiles, as_of)
 
     @staticmethod
-    def _table(spark: SparkSession, path: str) -> DataFrame | None:
+    def _table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
         try:
-            return spark.read.parquet(path)
+            return (spark.read.schema(schema) if schema else spark.read).parquet(path)
         except Exception as missing:  # nothing stored yet
             if "PATH_NOT_FOUND" not in str(missing):
                 raise

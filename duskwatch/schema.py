@@ -52,13 +52,6 @@ ALERT_DDL = """
     user_id string, hostname string, user_ip string, cnt bigint, ts timestamp
 """
 
-SETTINGS_DDL = """
-    z_threshold double, beta double, sigma_floor double,
-    cold_start_min_days int, baseline_window_days int, frequency_function string,
-    lambda double, weekend_mode string, green_max double, yellow_max double,
-    floor_enabled boolean, floor_default double, multipliers map<string,double>
-"""
-
 PROFILE_DDL = "user_id string, context string, start_date date, end_date date, note string, whitelisted boolean"
 
 BASELINE_DDL = """

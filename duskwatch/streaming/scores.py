@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.predicates import midnight
 from ..operators import behaviour, scoring
 from ..operators.scoring import Settings
-from ..session import LOCAL_TZ, stage
+from ..session import LOCAL_TZ, scratch, stage
 from ..sources.stores import write_partitions
 
 Rule = Mapping[str, Any]
@@ -45,11 +45,11 @@ class ScoreStream:
 
     def on_batch(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = stage(behaviour.counters(batch, self.rules, self.tz), "counters")
-        write_partitions(fresh.withColumn("batch", F.lit(batch_id).cast("bigint")), self.counters_path, "day", "batch")
-        # Days of one micro-batch: a handful, around midnight or after an outage.
-        for (day,) in sorted(fresh.select("day").distinct().collect()):
-            self.score(spark, day.isoformat(), batch_id, fresh.where(F.col("day") == F.lit(day)).select("user_id").distinct())
+        with scratch(behaviour.counters(batch, self.rules, self.tz), "counters") as fresh:
+            write_partitions(fresh.withColumn("batch", F.lit(batch_id).cast("bigint")), self.counters_path, "day", "batch")
+            # Days of one micro-batch: a handful, around midnight or after an outage.
+            for (day,) in sorted(fresh.select("day").distinct().collect()):
+                self.score(spark, day.isoformat(), batch_id, fresh.where(F.col("day") == F.lit(day)).select("user_id").distinct())
 
     def score(self, spark: SparkSession, day: str, batch_id: int, users: DataFrame | None = None) -> None:
         stored = spark.read.schema(COUNTERS_DDL).parquet(self.counters_path).where(F.col("day") == F.lit(day).cast("date"))
@@ -59,6 +59,8 @@ class ScoreStream:
         stored = behaviour.merged(stored)
         if users is not None:
             stored = stored.join(users, "user_id", "left_semi")
+            # The population's baselines have no user; of the others only those of the batch are needed.
+            known = known.where("scope = 'global'").unionByName(known.where("scope = 'user'").join(users, "user_id", "left_semi").select(*known.columns))
             previous = previous.join(users, "user_id", "left_semi")
         out = scoring.daily_risk(behaviour.counted_types(stored), behaviour.counted_values(stored), self.rules, known, profiles, previous, self.settings, day)
         write_partitions(out.withColumn("batch", F.lit(batch_id).cast("bigint")), self.scores_path, "day", "batch")
