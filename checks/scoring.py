@@ -23,7 +23,7 @@ def effective(day: str) -> str:
 
 
 def factor(context: str) -> str:
-    return f"CAST(CASE {context} WHEN 'departing' THEN 2.0 WHEN 'vacation' THEN 1.5 WHEN 'blacklist' THEN 3.0 WHEN 'vip' THEN 0.5 ELSE 1.0 END AS DOUBLE)"
+    return f"CAST(CASE {context} WHEN 'departing' THEN 1.75 WHEN 'vacation' THEN 1.25 WHEN 'blacklist' THEN 2.5 WHEN 'vip' THEN 0.4 ELSE 1.0 END AS DOUBLE)"
 
 
 CTX = f"ctx AS (SELECT user_id, ec, {factor('ec')} AS m, whitelisted FROM (SELECT *, {effective(DAY)} AS ec FROM prof))"
@@ -165,7 +165,7 @@ inp AS (SELECT w.user_id, coalesce(a, 0) AS a, coalesce(r, 0) * coalesce(m, 1.0)
         FROM who w LEFT JOIN an USING (user_id) LEFT JOIN ru USING (user_id) LEFT JOIN best USING (user_id) LEFT JOIN prev USING (user_id) LEFT JOIN ctx USING (user_id)),
 dec AS (SELECT *, prev_score * pow(0.9, {away('ds', DAY)}) AS base_score, NOT wl AND prev_score <= 0 AND coalesce(bd, 0) < 3 AS cold FROM inp),
 fin AS (SELECT *, CASE WHEN wl THEN round(base_score * 100) / 100 WHEN cold THEN 0
-                       ELSE round((CASE WHEN ec = 'blacklist' THEN greatest(base_score, 30) ELSE base_score END + r + a) * 100) / 100 END AS risk,
+                       ELSE round((CASE WHEN ec = 'blacklist' THEN greatest(base_score, 25) ELSE base_score END + r + a) * 100) / 100 END AS risk,
                CASE WHEN wl THEN 0 ELSE round(r * 100) / 100 END AS rs, CASE WHEN wl THEN 0 ELSE round(a * 100) / 100 END AS sc FROM dec)
 """
 
@@ -206,11 +206,11 @@ inp AS (SELECT gr.user_id, gr.day, coalesce(r, 0) * {factor('ec')} AS r, coalesc
         LEFT JOIN ru ON ru.user_id = gr.user_id AND ru.day = gr.day LEFT JOIN an ON an.user_id = gr.user_id AND an.day = gr.day
         LEFT JOIN best ON best.user_id = gr.user_id AND best.day = gr.day),
 fold AS (
-  SELECT user_id, day, CAST(0 AS DOUBLE) AS prev, CASE WHEN wl THEN 0 WHEN bd < 3 THEN 0 ELSE round((CASE WHEN ec = 'blacklist' THEN 30 ELSE 0 END + r + a) * 100) / 100 END AS risk
+  SELECT user_id, day, CAST(0 AS DOUBLE) AS prev, CASE WHEN wl THEN 0 WHEN bd < 3 THEN 0 ELSE round((CASE WHEN ec = 'blacklist' THEN 25 ELSE 0 END + r + a) * 100) / 100 END AS risk
   FROM inp WHERE (user_id, day) IN (SELECT user_id, min(day) FROM inp GROUP BY user_id)
   UNION ALL
   SELECT i.user_id, i.day, f.risk, CASE WHEN i.wl THEN round(f.risk * 0.9 * 100) / 100 WHEN f.risk <= 0 AND i.bd < 3 THEN 0
-         ELSE round((CASE WHEN i.ec = 'blacklist' THEN greatest(f.risk * 0.9, 30) ELSE f.risk * 0.9 END + i.r + i.a) * 100) / 100 END
+         ELSE round((CASE WHEN i.ec = 'blacklist' THEN greatest(f.risk * 0.9, 25) ELSE f.risk * 0.9 END + i.r + i.a) * 100) / 100 END
   FROM fold f JOIN inp i ON i.user_id = f.user_id AND i.day = f.day + 1)
 """
 

@@ -191,6 +191,6 @@ SETTINGS = {
     "z_threshold": 1.0,
     "weekend_mode": "skip",
     "floor_enabled": True,
-    "floor_default": 30.0,
-    "multipliers": {"departing": 2.0, "vacation": 1.5, "blacklist": 3.0, "vip": 0.5},
+    "floor_default": 25.0,
+    "multipliers": {"departing": 1.75, "vacation": 1.25, "blacklist": 2.5, "vip": 0.4},
 }
