@@ -53,7 +53,7 @@ def stream_sequence(spark, d):
 ru AS (SELECT user_id, sum(p) AS r FROM pts WHERE day = DATE '2024-01-30' GROUP BY user_id),
 best AS (SELECT user_id, max(sample_days) AS bd FROM base GROUP BY user_id)
 SELECT an.user_id, CASE WHEN coalesce(whitelisted, false) THEN 0 WHEN coalesce(bd, 0) < 3 THEN 0
-       ELSE round((CASE WHEN ec = 'blacklist' THEN 30 ELSE 0 END + coalesce(r, 0) * coalesce(m, 1.0) + a) * 100) / 100 END AS risk_score
+       ELSE round((CASE WHEN ec = 'blacklist' THEN 25 ELSE 0 END + coalesce(r, 0) * coalesce(m, 1.0) + a) * 100) / 100 END AS risk_score
 FROM an LEFT JOIN ru USING (user_id) LEFT JOIN best USING (user_id) LEFT JOIN ctx USING (user_id)""")
 def stream_scores(spark, d):
     rules = compiled(spark, D.SCORING_RULES)
