@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duskwatch.llm import decontaminate, near_text, pieces, pii, resample
+from duskwatch.llm.words import small_batches
 from duskwatch.session import stage
 
 #: The vocabulary file, at the same place on every machine.
@@ -21,18 +22,19 @@ MODEL = os.path.join(os.environ.get("DUSKWATCH_TOKENIZERS", "/opt/tokenizers"),
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents drawn by importance resampling towards those labelled good."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    labels = small_batches(spark).read.parquet(f"{sf_dir}/labels.parquet")
     return resample.keep(docs, labels, F.col("quality") == 1, seed=6)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one of the smallest id."""
+    small_batches(spark)
     return near_text.deduplicate(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without a benchmark passage."""
-    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.clean(docs, small_batches(spark).read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,6 +44,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with a sampled segmentation into vocabulary pieces."""
+    small_batches(spark)
     coded = pieces.encode(docs, MODEL, alpha=0.9, seed=1)
     return coded.withColumn("n_pieces", F.size("piece_ids").cast("long"))
 

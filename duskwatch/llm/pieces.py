@@ -29,7 +29,7 @@ LITERAL = "\ud800"
 #: A longer word is cut after every so many characters, and no piece reaches over a cut.
 WORD_CHARS = 256
 #: Words worked on together; bounds the arrays of a batch or of a very long text.
-PART_WORDS = 400_000
+PART_WORDS = 150_000
 
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -284,7 +284,7 @@ def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", o
         v = read_vocabulary(model)
         byte = _bytes_by_id(v)
         lengths = None
-        for batch in parts(batches, at_text):
+        for batch in parts(batches, at_text, 1 << 20):
             texts = batch.column(at_text).to_pylist()
             keys = batch.column(len(names)).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             ids, offsets = sample(texts, keys, v, alpha)

@@ -12,6 +12,7 @@ import corpus_pipeline
 
 from ..session import stage
 from . import decontaminate, near_text, near_vectors, oracle_sql, pieces, pii, resample, secrets, sentences, tokens, toxicity
+from .words import small_batches
 
 #: Vocabulary files, at the same place on every machine.
 TOKENIZERS = os.environ.get("DUSKWATCH_TOKENIZERS", "/opt/tokenizers")
@@ -31,7 +32,7 @@ def query(fn: Query) -> Query:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 @query

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import stage
 from . import words as W
 
 #: Bytes of a run, ascending; and the buckets in which runs are counted before the telling ones are counted exactly.
@@ -105,6 +106,7 @@ def telling_features(rows: DataFrame, features: int = FEATURES) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.append(bad, -1), pa.int32()), pa.array(np.append(seen[1][bad], n[1]), pa.int64()), pa.array(np.append(seen[0][bad], n[0]), pa.int64())], names=["bucket", "bad", "good"])
 
     sums = rows.mapInArrow(tally, "bucket int, bad long, good long").groupBy("bucket").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    sums = stage(sums, "gram-counts")
     total = {r["bucket"]: r for r in sums.filter("bucket < 0").collect()}.get(-1)
     if not total or not total["bad"] or not total["good"]:
         return np.zeros(0, np.uint64)

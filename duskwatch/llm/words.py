@@ -12,6 +12,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -32,6 +33,12 @@ class Words(NamedTuple):
     first: np.ndarray  # first word of each row, and one past the last word
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> SparkSession:
+    """Batches handed to Python hold ``rows`` rows at most: long texts in them stay bounded on both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    return spark
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     x = x ^ (x >> np.uint64(30))
@@ -62,7 +69,7 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Bytes of text worked on together; the arrays of a part are some twenty times as large.
-PART = 4 << 20
+PART = 2 << 20
 
 
 def parts(batches: Iterator[pa.RecordBatch], text: int, most: int = PART) -> Iterator[pa.RecordBatch]:
