@@ -26,6 +26,8 @@ GRAMS, BUCKETS = (5, 8), 1 << 22
 FIT_ROWS = 20_000
 #: Features of the model, the graded rows a feature must stand in (by number and by share), and how many times likelier it must be there.
 FEATURES, LEAST_ROWS, LEAST_SHARE, LEAST_RATIO = 1024, 4, 0.02, 8.0
+#: Bytes of text whose runs are held at a time: each byte starts two runs of some forty bytes in arrays.
+PART = 1 << 20
 _STEP = np.uint64(0xFF51AFD7ED558CCD)
 
 
@@ -95,7 +97,7 @@ def telling_features(rows: DataFrame, features: int = FEATURES) -> np.ndarray:
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = np.zeros((2, BUCKETS), np.int32), np.zeros(2, np.int64)
-        for batch in W.parts(batches, 0):
+        for batch in W.parts(batches, 0, PART):
             y = (batch.column(1).to_numpy(zero_copy_only=False) > 0).astype(np.int64)
             row, h = grams(batch.column(0))
             key = np.unique(row.astype(np.int64) * BUCKETS + (h >> np.uint64(42)).astype(np.int64))
@@ -118,7 +120,7 @@ def telling_features(rows: DataFrame, features: int = FEATURES) -> np.ndarray:
     wanted[[r["bucket"] for r in maybe.select("bucket").collect()]] = True
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.parts(batches, 0):
+        for batch in W.parts(batches, 0, PART):
             y = batch.column(1).to_numpy(zero_copy_only=False) > 0
             row, h = grams(batch.column(0))
             some = np.flatnonzero(wanted[(h >> np.uint64(42)).astype(np.int64)])
@@ -170,7 +172,7 @@ def split_by_amount(rows: DataFrame, features: np.ndarray) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         present = bits(features)
-        for batch in W.parts(batches, 0):
+        for batch in W.parts(batches, 0, PART):
             row, _, value = counted(batch.column(0), features, present)
             amount = np.bincount(row, weights=value, minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(amount, pa.float64())], names=["t", "y", "amount"])
@@ -194,7 +196,7 @@ def fit(rows: DataFrame, split: bool = False, features: int = FEATURES) -> Model
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         present = bits(hashes)
-        for batch in W.parts(batches, 0):
+        for batch in W.parts(batches, 0, PART):
             row, feature, value = counted(batch.column(0), hashes, present)
             at = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x)) for x in (feature.astype(np.int32), value.astype(np.float32))]
@@ -219,7 +221,7 @@ def score(df: DataFrame, model: Model, text: str = "text", prefix: str = "toxici
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         present = bits(model.features)
-        for batch in W.parts(batches, at_text):
+        for batch in W.parts(batches, at_text, PART):
             row, feature, value = counted(batch.column(at_text), model.features, present)
             eta = np.bincount(row, weights=value * model.weights[feature], minlength=batch.num_rows)
             over = np.stack([np.ones(batch.num_rows), *[1 - _sigmoid(c - eta) for c in model.thresholds], np.zeros(batch.num_rows)], axis=1)
