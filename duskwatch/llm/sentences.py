@@ -1,6 +1,6 @@
 """Repeated passages: runs of consecutive sentences that occur before, in this document or in another.
 
-Each run of :data:`RUN` sentences becomes one small row of hashes and a span.
+Each run of :data:`RUN` sentences (more where they are short) becomes one small row of hashes and a span.
 Equal runs are grouped to their first document before anything is joined, so a
 passage that a third of all documents share is one row on the grouped side,
 and its occurrences are the splittable side of a plain join.
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 
-#: Sentences of a run, and the words a run needs to count as a passage.
+#: Sentences of a run, and the words a run needs to count as a passage; shorter runs take in further sentences.
 RUN, LEAST_WORDS = 3, 8
 #: A longer sentence is cut after words chosen by their hash, one in ``CUT``, so that a passage is cut alike wherever it stands.
 LONG, CUT = 20, 4
@@ -82,13 +82,19 @@ class Runs(NamedTuple):
 
 
 def runs(w: W.Words, s: Sentences, run: int = RUN, least_words: int = LEAST_WORDS) -> Runs:
-    """All runs of ``run`` sentences; a row with fewer sentences is one run. Spans reach to the start of the next sentence."""
-    count = np.diff(s.by_row)
-    starts = np.flatnonzero((np.arange(len(s.row)) + np.minimum(run, count[s.row])) <= s.by_row[s.row + 1])
-    ends = starts + np.minimum(run, count[s.row[starts]]) - 1
+    """The shortest runs of at least ``run`` sentences and ``least_words`` words from each sentence on and up to each sentence.
+
+    A row with fewer sentences is one run. Of a stretch with as many sentences
+    and words, every sentence lies in a run that lies in the stretch. Spans
+    reach to the start of the next sentence.
+    """
+    least_sentences = np.minimum(run, np.diff(s.by_row))[s.row]
+    at = np.arange(len(s.row))
+    to = np.maximum(at + least_sentences, np.searchsorted(s.last, s.first + least_words) + 1)
+    since = np.minimum(at + 1 - least_sentences, np.searchsorted(s.first, s.last - least_words, side="right") - 1)
+    on, up = to <= s.by_row[s.row + 1], since >= s.by_row[s.row]
+    starts, ends = np.unique(np.stack([np.concatenate([at[on], since[up]]), np.concatenate([to[on] - 1, at[up]])]), axis=1).astype(np.int64)
     a, b = s.first[starts], s.last[ends]
-    keep = b - a >= least_words
-    starts, ends, a, b = starts[keep], ends[keep], a[keep], b[keep]
     out = []
     for base in (np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)):
         sums, backs = _prefix(w.hash, base)

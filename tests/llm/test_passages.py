@@ -69,6 +69,19 @@ def test_a_long_sentence_is_cut_alike_in_other_surroundings(spark):
     assert got[1]["removed"] == [] and got[3]["removed"] == [] and len(left) < 20 and "q39" in got[2]["text"]
 
 
+def test_copies_of_short_sentences_are_removed(spark):
+    rng = random.Random(4)
+    short = lambda n, end: "".join(f"s{rng.randint(0, 10**6)}{end}" for _ in range(n))
+    marks, lines = short(40, "! "), short(30, "\n")
+    tail = "One sentence of ten words stands here before the tail. " + short(4, ". ")
+    rows = [(1, marks), (2, marks), (3, lines), (4, f"Own words of four stand before. {lines}Own words of four stand behind."), (5, tail), (6, tail), (7, f"Not {tail}shared at all."), (8, "Too. Short. It. Is."), (9, "Too. Short. It. Is.")]
+    got = {r["doc_id"]: r["text"] for r in S.remove_repeats(documents(spark, rows)).collect()}
+    assert [got[k] for k in (1, 3, 5, 8, 9)] == [t for k, t in rows if k in (1, 3, 5, 8, 9)]
+    assert got[2] == "" and got[4] == "Own words of four stand before. Own words of four stand behind." and got[6] == ""
+    # The sentence before the four short ones begins otherwise in 7, and they alone are too few words.
+    assert got[7] == rows[6][1]
+
+
 def test_odd_rows_for_passages(spark):
     text = "One two three. Four five six. Seven eight nine ten."
     df = documents(spark, [(None, text), (None, text), (4, text), (4, text), (9, None), (9, text)]).withColumnRenamed("lang", "removed")
