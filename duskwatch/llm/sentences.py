@@ -4,6 +4,9 @@ Each run of :data:`RUN` sentences (more where they are short) becomes one small
 Equal runs are grouped to their first document before anything is joined, so a
 passage that a third of all documents share is one row on the grouped side,
 and its occurrences are the splittable side of a plain join.
+
+Passages that begin and end within sentences are found by windows of
+:data:`WINDOW` words, chosen by their hashes alone: any 50 equal words hold one.
 """
 
 from __future__ import annotations
@@ -22,6 +25,10 @@ from . import words as W
 RUN, LEAST_WORDS = 3, 8
 #: A longer sentence is cut after words chosen by their hash, one in ``CUT``, so that a passage is cut alike wherever it stands.
 LONG, CUT = 20, 4
+#: Words of a window, and the positions of which the window with the least hash is chosen: any WINDOW + REACH - 1 = 50 equal words hold one.
+WINDOW, REACH = 28, 23
+#: The same where the runs of sentences sure to lie in a window leave more than EDGE of its words at either end.
+CLOSE, EDGE = 6, 5
 _TAIL = 6
 
 _PUNCTUATION = np.zeros(256, bool)
@@ -35,6 +42,8 @@ class Sentences(NamedTuple):
     first: np.ndarray  # first word
     last: np.ndarray  # one past the last word
     by_row: np.ndarray  # first sentence of each row, and one past the last
+    natural: np.ndarray  # for each word, whether a sentence ends at it by a mark or line
+    cut: np.ndarray  # for each word, whether a long sentence is cut after it
 
 
 def sentences(w: W.Words, long: int = LONG, cut: int = CUT) -> Sentences:
@@ -56,12 +65,15 @@ def sentences(w: W.Words, long: int = LONG, cut: int = CUT) -> Sentences:
         # Long sentences are cut in the same places whatever stands around them.
         last = np.flatnonzero(ends) + 1
         size = np.diff(np.concatenate([[0], last]))
+        natural = ends.copy()
         in_long = np.repeat(size > long, size)
-        ends |= in_long & (W.mix(w.hash) % np.uint64(cut) == 0)
+        ends |= in_long & (cuts := W.mix(w.hash) % np.uint64(cut) == 0)
+    else:
+        natural = cuts = ends
     last = np.flatnonzero(ends) + 1
     first = np.concatenate([[0], last[:-1]]) if len(last) else last
     row = w.row[first] if n else first
-    return Sentences(row, first, last, np.searchsorted(row, np.arange(len(w.first))))
+    return Sentences(row, first, last, np.searchsorted(row, np.arange(len(w.first))), natural, cuts)
 
 
 def _prefix(values: np.ndarray, base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
@@ -72,6 +84,49 @@ def _prefix(values: np.ndarray, base: np.uint64) -> tuple[np.ndarray, np.ndarray
     return np.concatenate([[np.uint64(0)], np.cumsum(values * powers)]), backs
 
 
+_BASES = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+
+
+def _hashes(w: W.Words, a: np.ndarray, b: np.ndarray, base: np.uint64) -> np.ndarray:
+    sums, backs = _prefix(w.hash, base)
+    return W.mix((sums[b] - sums[a]) * backs[a] + (b - a).astype(np.uint64))
+
+
+def _least(row: np.ndarray, h: np.ndarray, reach: int) -> np.ndarray:
+    """Marks the least of each ``reach`` neighbours of one row."""
+    chosen = np.zeros(len(h), bool)
+    if len(h) >= reach:
+        inside = np.flatnonzero(row[: len(h) - reach + 1] == row[reach - 1 :])
+        chosen[inside + np.lib.stride_tricks.sliding_window_view(h, reach)[inside].argmin(axis=1)] = True
+    return chosen
+
+
+def windows(w: W.Words, s: Sentences, size: int = WINDOW) -> np.ndarray:
+    """First words of the chosen windows. The choice looks at the words and breaks within a few windows, not at what stands around them."""
+    n = len(w.hash)
+    if n < size:
+        return np.zeros(0, np.int64)
+    at = np.flatnonzero(w.row[: n - size + 1] == w.row[size - 1 :])
+    h, row, to = _hashes(w, at, at + size, _BASES[0]), w.row[at], at + size - 2
+    # The outermost ends of sentences that are the same wherever the window stands; of the last word it isn't known.
+    here = np.arange(n)
+
+    def after(marks):
+        return np.minimum.accumulate(np.where(marks, here, n)[::-1])[::-1]
+
+    def before(marks):
+        return np.maximum.accumulate(np.where(marks, here, -1))
+
+    first, last = after(s.natural)[at], before(s.natural)[to]
+    first = np.where(np.minimum(first, to + 1) - at >= LONG, np.minimum(after(s.cut)[at], first), first)
+    last = np.where(to + 1 - np.maximum(last, at - 1) > LONG, np.maximum(before(s.cut)[to], last), last)
+    count = np.concatenate([[0], np.cumsum(np.isin(here, s.last - 1))])
+    some = (first < last) & (last <= to)
+    held = count[np.where(some, last, 0) + 1] - count[np.where(some, first, 0) + 1]
+    covered = some & (held >= RUN) & (last - first >= LEAST_WORDS) & (first - at < EDGE) & (to + 1 - last <= EDGE)
+    return at[_least(row, h, REACH) | (_least(row, h, CLOSE) & ~covered)]
+
+
 class Runs(NamedTuple):
     row: np.ndarray
     hash: np.ndarray
@@ -95,18 +150,20 @@ def runs(w: W.Words, s: Sentences, run: int = RUN, least_words: int = LEAST_WORD
     on, up = to <= s.by_row[s.row + 1], since >= s.by_row[s.row]
     starts, ends = np.unique(np.stack([np.concatenate([at[on], since[up]]), np.concatenate([to[on] - 1, at[up]])]), axis=1).astype(np.int64)
     a, b = s.first[starts], s.last[ends]
-    out = []
-    for base in (np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)):
-        sums, backs = _prefix(w.hash, base)
-        out.append(W.mix((sums[b] - sums[a]) * backs[a] + (b - a).astype(np.uint64)))
-    row = s.row[starts]
+    at = windows(w, s)
+    a, b = np.unique(np.stack([np.concatenate([a, at]), np.concatenate([b, at + WINDOW])]), axis=1).astype(np.int64)
+    out = [_hashes(w, a, b, base) for base in _BASES]
+    row = w.row[a]
     heads = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80, dtype=np.int64)])
-    begin = np.where(starts == s.by_row[row], w.row_start[row], w.start[a])
-    following = np.append(s.first, 0)[ends + 1]
-    finish = np.where(ends + 1 == s.by_row[row + 1], w.row_start[row + 1], np.append(w.start, 0)[following]) if len(ends) else ends
-    order = np.lexsort((starts, out[0], row))
+    begin = np.where(a == w.first[row], w.row_start[row], np.append(w.start, 0)[a])
+    finish = np.where(b == w.first[row + 1], w.row_start[row + 1], np.append(w.start, 0)[b])
+    order = np.lexsort((a, out[0], row))
     repeat = np.zeros(len(row), bool)
     repeat[order[1:]] = (row[order[1:]] == row[order[:-1]]) & (out[0][order[1:]] == out[0][order[:-1]])
+    # A repeat that overlaps the first of its kind leaves that whole.
+    if len(order):
+        of = order[np.maximum.accumulate(np.where(repeat[order], 0, np.arange(len(order))))]
+        begin[order] = np.where(repeat[order], np.minimum(np.maximum(begin[order], finish[of]), finish[order]), begin[order])
     return Runs(row, out[0].view(np.int64), (out[1] >> np.uint64(32)).astype(np.uint32).view(np.int32), heads[begin] - heads[w.row_start[row]], heads[finish] - heads[w.row_start[row]], repeat)
 
 

@@ -82,6 +82,50 @@ def test_copies_of_short_sentences_are_removed(spark):
     assert got[7] == rows[6][1]
 
 
+def test_fifty_equal_words_are_removed_wherever_they_begin():
+    """Passages placed within sentences, in texts of sentences of every length, without marks, of few words and with other line breaks."""
+    rng = random.Random(17)
+
+    def text(n, longest):
+        words = []
+        while len(words) < n:
+            words += [f"m{rng.randint(0, 10**6)}" for _ in range(rng.randint(1, longest))]
+            words[-1] += "."
+        return words[:n]
+
+    shares, missed = [], 0
+    for longest in (6, 14, 20, 20, 30, 10**4) * 30:
+        source = text(200, longest)
+        at = rng.randint(0, 150)
+        passage = source[at : at + 50]
+        ahead, behind = text(rng.randint(0, 60), longest), text(rng.randint(0, 60), longest)
+        breaks = rng.choice([" ", " ", "\n"])
+        w = W.words(pa.array([" ".join(source), " ".join(ahead) + " " + breaks.join(passage) + " " + " ".join(behind)]))
+        r = S.runs(w, S.sentences(w))
+        known = set(r.hash[r.row == 0].tolist())
+        whole = " ".join(ahead) + " " + breaks.join(passage) + " "
+        covered = np.zeros(4000, bool)
+        for h, a, b in zip(r.hash[r.row == 1].tolist(), r.start[r.row == 1], r.end[r.row == 1], strict=True):
+            if h in known:
+                covered[a:b] = True
+        begin = len(whole) - len(breaks.join(passage)) - 1
+        assert not covered[: max(begin - 1, 0)].any() and not covered[len(whole) :].any()
+        share = covered[begin : len(whole)].mean()
+        missed += share == 0
+        if breaks == " ":
+            shares.append(share)
+    assert missed == 0 and np.mean(np.array(shares) < 0.75) < 0.02 and np.mean(shares) > 0.88
+
+
+def test_a_word_repeated_keeps_its_first_run():
+    w = W.words(pa.array([" ".join(["same"] * 300)]))
+    r = S.runs(w, S.sentences(w))
+    gone = np.zeros(1500, bool)
+    for a, b in zip(r.start[r.repeat], r.end[r.repeat], strict=True):
+        gone[a:b] = True
+    assert not gone[: 5 * S.WINDOW].any() and gone[5 * S.WINDOW : 5 * 294].all()
+
+
 def test_odd_rows_for_passages(spark):
     text = "One two three. Four five six. Seven eight nine ten."
     df = documents(spark, [(None, text), (None, text), (4, text), (4, text), (9, None), (9, text)]).withColumnRenamed("lang", "removed")
