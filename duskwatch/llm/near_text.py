@@ -3,8 +3,8 @@
 A document's shingles are embedded into :data:`COORDINATES` minwise tokens. A
 tree branches at its root, and wherever a node is still large, on the tokens
 of two chosen coordinates; small nodes are compared exhaustively; independent
-trees repeat this. A pair at the threshold meets in one root node of eight with
-probability ``1 - 0.15 ** 8``. Every link is confirmed on the full sets.
+trees repeat this. A pair at a threshold of 80 (85) meets in one root node of
+eight with probability ``1 - 0.2 ** 8`` (``1 - 0.15 ** 8``). Every link is confirmed on the full sets.
 
 Exact copies are one class before anything is compared. Nodes hand on only the
 links that join different components, so a group of many copies costs as many
@@ -14,6 +14,7 @@ links as it has members.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,12 +28,10 @@ from .components import components
 from .groups import pairs, whole_groups
 
 SHINGLE = 5
-#: Fixed value: linked are sets with ``100 * intersection >= THRESHOLD * union``.
-THRESHOLD = 85
+#: Linked are sets with ``100 * intersection >= threshold * union``: by default, and where a corpus is deduplicated.
+THRESHOLD, CORPUS_THRESHOLD = 85, 80
 #: Root coordinates (four trees with two branches each) keep 32 bits of their tokens, the others 16.
 ROOTS, COORDINATES = 8, 64
-#: Equal coordinates from which a pair is compared on its sets. At the threshold about one pair in a million has fewer.
-LEAST_EQUAL = 41
 #: Members of a node that is compared exhaustively, and the levels of branching below a root.
 LEAF, DEPTH = 1000, 3
 _SKETCH_BYTES = 4 * ROOTS + 2 * (COORDINATES - ROOTS)
@@ -42,6 +41,16 @@ _MULTIPLY = _random.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint
 _ADD = _random.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
 
 
+def least_equal(threshold: int) -> int:
+    """Equal coordinates from which a pair is compared on its sets: at the threshold at most about one pair in a hundred thousand has fewer."""
+    p, fewer = threshold / 100, 0.0
+    for m in range(COORDINATES + 1):
+        fewer += math.comb(COORDINATES, m) * p**m * (1 - p) ** (COORDINATES - m)
+        if fewer > 1e-5:
+            return m
+    return COORDINATES
+
+
 def shingle_sets(column: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text; of a text with fewer words, the hash of all of them."""
     w = W.words(column)
@@ -139,12 +148,13 @@ def _columns(table: pa.Table) -> tuple[np.ndarray, ...]:
     return heads, rest, table.column("n").to_numpy(), table.column("k").to_numpy(), table.column("root").to_numpy(), table.column("direct").to_numpy()
 
 
-def candidates(table: pa.Table, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def candidates(table: pa.Table, offsets: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions of the pairs that are this node's to compare, and their equal coordinates."""
     heads, rest, n, k, root, direct = _columns(table)
     left, right, equal = [], [], []
+    least = least_equal(threshold)
     for a, b in pairs(offsets):
-        near = (100 * np.minimum(n[a], n[b]) >= THRESHOLD * np.maximum(n[a], n[b])) & (k[a] != k[b])
+        near = (100 * np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b])) & (k[a] != k[b])
         a, b = a[near], b[near]
         same = heads[a] == heads[b]
         bits = (same * (1 << np.arange(ROOTS))).sum(axis=1) & direct[a]
@@ -152,7 +162,7 @@ def candidates(table: pa.Table, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         mine = first == root[a]
         a, b = a[mine], b[mine]
         count = same[mine].sum(axis=1) + (rest[a] == rest[b]).sum(axis=1)
-        close = count >= LEAST_EQUAL
+        close = count >= least
         left.append(a[close])
         right.append(b[close])
         equal.append(count[close])
@@ -160,17 +170,17 @@ def candidates(table: pa.Table, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return (np.concatenate(left), np.concatenate(right), np.concatenate(equal)) if left else (none, none, none)
 
 
-def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _suspects(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
     for table, offsets in whole_groups(batches):
-        a, b, _ = candidates(table, offsets)
+        a, b, _ = candidates(table, offsets, threshold)
         if len(a):
             yield from table.take(pa.array(np.unique(np.concatenate([a, b])))).combine_chunks().to_batches()
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirmed(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
     """Links that join two parts of a node, the likeliest pairs first; pairs already connected within the node need no look."""
     for table, offsets in whole_groups(batches):
-        a, b, equal = candidates(table, offsets)
+        a, b, equal = candidates(table, offsets, threshold)
         order = np.argsort(-equal, kind="stable")
         keys, raw = table.column("k").to_numpy(), table.column("shingles")
         sets: dict[int, np.ndarray] = {}
@@ -190,7 +200,7 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
         for i, j in zip(a[order].tolist(), b[order].tolist(), strict=True):
             x, y = top(i), top(j)
-            if x != y and similar(shingles(i), shingles(j)):
+            if x != y and similar(shingles(i), shingles(j), threshold):
                 parent[max(x, y)] = min(x, y)
                 found.append((i, j))
         if found:
@@ -198,20 +208,20 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys[i]), pa.array(keys[j])], names=["a", "b"])
 
 
-def similar(x: np.ndarray, y: np.ndarray) -> bool:
+def similar(x: np.ndarray, y: np.ndarray, threshold: int = THRESHOLD) -> bool:
     """Whether two sorted sets are linked."""
-    if 100 * min(len(x), len(y)) < THRESHOLD * max(len(x), len(y)):
+    if 100 * min(len(x), len(y)) < threshold * max(len(x), len(y)):
         return False
     both = np.sort(np.concatenate([x, y]), kind="stable")
     common = int(np.count_nonzero(both[1:] == both[:-1]))
-    return 100 * common >= THRESHOLD * (len(both) - common)
+    return 100 * common >= threshold * (len(both) - common)
 
 
-def links(df: DataFrame, members: DataFrame, key: str, text: str, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
+def links(df: DataFrame, members: DataFrame, key: str, text: str, leaf: int = LEAF, depth: int = DEPTH, threshold: int = THRESHOLD) -> DataFrame:
     """Confirmed links ``(a, b)`` of class representatives ``members``, enough to connect whatever is linked."""
     nodes = leaves(members, leaf, depth)
     sorted_ = nodes.repartition("node").sortWithinPartitions("node")
-    suspects = stage(sorted_.mapInArrow(_suspects, sorted_.schema), "suspects")
+    suspects = stage(sorted_.mapInArrow(lambda batches: _suspects(batches, threshold), sorted_.schema), "suspects")
     needed = suspects.select(F.col("k").alias("__needed")).distinct()
     fed = df.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").alias("t"))
     fed = fed.join(broadcast_if_small(needed, 300_000), F.col("k") == F.col("__needed"), "left_semi")
@@ -222,10 +232,10 @@ def links(df: DataFrame, members: DataFrame, key: str, text: str, leaf: int = LE
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["k", "shingles"])
 
     full = suspects.join(fed.mapInArrow(sets, "k long, shingles binary"), "k").select("node", "k", "n", "sketch", "root", "direct", "shingles")
-    return full.repartition("node").sortWithinPartitions("node").mapInArrow(_confirmed, "a long, b long")
+    return full.repartition("node").sortWithinPartitions("node").mapInArrow(lambda batches: _confirmed(batches, threshold), "a long, b long")
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", leaf: int = LEAF, depth: int = DEPTH, threshold: int = THRESHOLD) -> DataFrame:
     """``key``, ``n_shingles``, ``component_id`` (the smallest key reachable by links) and ``kept`` for every row.
 
     Words are lower-cased in ``A-Z`` and split at space and 0x09-0x0D. A text
@@ -240,14 +250,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", leaf
     classes = stage(classes, "classes")
     members = sk.join(classes, (sk["copy"] == classes["copy"]) & (sk["k"] == classes["class"])).select(sk["k"], "n", "roots", "sketch")
     members = members.dropDuplicates(["k", "sketch"])
-    found = components(links(df, members, key, text, leaf, depth)).select(F.col("id").alias("class"), "component")
+    found = components(links(df, members, key, text, leaf, depth, threshold)).select(F.col("id").alias("class"), "component")
     slim = sk.select("k", "n", "copy").join(classes, "copy", "left").join(found, "class", "left")
     component = F.when(F.col("k").isNotNull(), F.coalesce("component", "class", "k"))
     return slim.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("k") == component, F.lit(True)).alias("kept"))
 
 
-def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = CORPUS_THRESHOLD) -> DataFrame:
     """One document of each group of near-duplicates: the one of the smallest key; all columns as they were."""
-    dropped = near_duplicates(df, key, text).filter(~F.col("kept")).select(F.col(key).alias("__dropped"))
+    dropped = near_duplicates(df, key, text, threshold=threshold).filter(~F.col("kept")).select(F.col(key).alias("__dropped"))
     dropped = broadcast_if_small(stage(dropped, "dropped"), 300_000)
     return df.join(dropped, F.col(f"`{key}`").cast("long") == F.col("__dropped"), "left_anti")

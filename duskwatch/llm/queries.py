@@ -58,7 +58,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_text.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_text.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), threshold=85)
 
 
 @query

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -5,6 +6,7 @@ import numpy as np
 import pytest
 from fixtures import Sets, documents, same_as_sql
 
+import corpus_pipeline
 from duskwatch.llm import near_text, near_vectors, oracle_sql
 from duskwatch.llm.components import components
 
@@ -74,6 +76,30 @@ def test_agrees_with_sql(spark, texts):
     same_as_sql(near_text.near_duplicates(df), oracle_sql.NEAR_TEXT, documents=df)
 
 
+def test_stage_links_from_eighty_percent(spark, small):
+    """Pairs alike by about 0.7 to 0.97, against brute force at 0.8."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(120):
+        base = [f"b{i}-{j}" for j in range(rng.randint(60, 200))]
+        other = list(base)
+        # Words changed at the end alone make the similarity as fine as needed.
+        other[len(base) - 1 - int(len(base) * rng.uniform(0.02, 0.3)) :] = [f"o{i}"]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+    alike = [len(shingles(rows[i][1]) & shingles(rows[i + 1][1])) / len(shingles(rows[i][1]) | shingles(rows[i + 1][1])) for i in range(0, 240, 2)]
+    want = {k for k, _ in rows} - {2 * i + 1 for i, a in enumerate(alike) if a >= 0.8}
+    assert sum(0.8 <= a < 0.85 for a in alike) > 10 and sum(a < 0.8 for a in alike) > 5
+    got = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, documents(spark, rows), small).select("doc_id").collect()}
+    assert got == want
+
+
+def test_a_pair_at_the_threshold_has_enough_equal_coordinates():
+    for threshold in (80, 85, 90):
+        m, p = near_text.least_equal(threshold), threshold / 100
+        assert sum(math.comb(64, x) * p**x * (1 - p) ** (64 - x) for x in range(m)) <= 1e-5
+    assert near_text.least_equal(85) == 41
+
+
 def test_threshold_is_met_exactly():
     x = np.arange(1000, dtype=np.uint64)
     assert near_text.similar(x[:85], x[:100]) and not near_text.similar(x[:84], x[:100])
