@@ -124,3 +124,24 @@ def backtest_rules(spark, d):
 def alert_ids(spark, d):
     alerts = DT.detect(D.events(spark, d), compiled(spark, D.DETECTION_RULES))
     return alerts.groupBy("rule_id").agg(F.count("*").alias("alerts"), F.count_distinct("alert_id").alias("ids"))
+
+
+def every_alert(spark, d):
+    """Alerts of all rules, the ordered ones too."""
+    return DT.detect(D.events(spark, d), compiled(spark, D.DETECTION_RULES + D.SEQUENCE_RULES))
+
+
+# Over every rule there is no SQL: the open-ended repeat has none. tests/test_every_rule.py holds them against queries that have.
+@query("detect_every_rule")
+def detect_every_rule(spark, d):
+    return every_alert(spark, d).select(*SHOWN)
+
+
+@query("backtest_every_rule")
+def backtest_every_rule(spark, d):
+    return DT.backtest(D.events(spark, d), compiled(spark, D.DETECTION_RULES + D.SEQUENCE_RULES))
+
+
+@query("alert_ids_every_rule")
+def alert_ids_every_rule(spark, d):
+    return every_alert(spark, d).groupBy("rule_id").agg(F.count("*").alias("alerts"), F.count_distinct("alert_id").alias("ids"))

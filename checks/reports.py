@@ -11,7 +11,7 @@ from duskwatch.operators.normalize import alert_report_columns
 from duskwatch.sources.stores import latest_per_key
 
 from . import EV, PROFILES, SNAP, query, with_
-from .detection import EITHER, SINGLE, UNORDERED, compiled
+from .detection import EITHER, SINGLE, UNORDERED, compiled, every_alert
 from .scoring import DAY, SETTINGS, effective, factor
 
 ROW_ALERTS = f"al AS (SELECT *, CAST(ts + INTERVAL 9 HOUR AS DATE) AS day FROM ({SINGLE} UNION ALL {EITHER}))"
@@ -155,3 +155,26 @@ SELECT user_id, context, ec AS effective_context, {factor('ec')} AS multiplier,
 FROM (SELECT *, {effective(DAY)} AS ec FROM prof)""")
 def profile_report(spark, d):
     return R.profile_report(D.user_profiles(spark, d), SETTINGS, D.AS_OF)
+
+
+@query("alert_report_every_rule")
+def alert_report_every_rule(spark, d):
+    rows = R.alert_report(every_alert(spark, d), "2024-01-24", D.AS_OF, search="1", severity="MEDIUM", length=20).rows
+    return alert_report_columns(rows).select("rule_id", "severity", "user_id", "hostname", "ts")
+
+
+@query("alert_report_total_every_rule")
+def alert_report_total_every_rule(spark, d):
+    return R.alert_report(every_alert(spark, d), "2024-01-01", D.AS_OF).total
+
+
+@query("user_detail_alerts_every_rule")
+def user_detail_alerts_every_rule(spark, d):
+    snaps = D.snapshots(spark, d).withColumn("event_values", F.create_map(F.lit("rule"), F.col("rule_score")))
+    return R.user_detail(D.events(spark, d), every_alert(spark, d), snaps, "116", D.AS_OF)["alerts"].select("rule_id", "ts")
+
+
+@query("dashboard_recent_every_rule")
+def dashboard_recent_every_rule(spark, d):
+    out = R.dashboard(D.events(spark, d), every_alert(spark, d), D.snapshots(spark, d), D.AS_OF)
+    return out["recent"].select("rule_id", "user_id", "ts")
