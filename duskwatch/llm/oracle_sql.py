@@ -86,3 +86,90 @@ counts AS (SELECT a AS vec_id, count(*) AS n FROM linked GROUP BY a)
 SELECT v.vec_id, coalesce(n, 0) AS n_links, coalesce(r, v.vec_id) AS component_id, v.vec_id = coalesce(r, v.vec_id) AS kept
 FROM v LEFT JOIN counts ON v.vec_id = counts.vec_id LEFT JOIN least ON v.vec_id = least.vec_id
 """
+
+# Fixed values of the rules: 2 of 100 over 5 rules, 5 of 100 over strata and rules.
+QUALITY_RULES = """
+WITH docs AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+lines AS (SELECT doc_id, l, count(*) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM docs) WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id, l),
+dups AS (SELECT doc_id, sum(n) AS n_lines, sum(n - 1) AS n_dup FROM lines GROUP BY doc_id),
+win AS (SELECT doc_id, i, w[i:i + 4] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM docs)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
+reps AS (SELECT doc_id, count(DISTINCT i + d) AS n_rep FROM again, (SELECT unnest(range(5)) AS d) GROUP BY doc_id),
+counts AS (
+  SELECT doc_id, lang, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_rep, 0) AS BIGINT) AS n_repeat_words,
+         CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(len(regexp_extract_all(t, '[A-Z]')) AS BIGINT) AS n_upper, CAST(len(regexp_extract_all(t, '!')) AS BIGINT) AS n_shouts
+  FROM docs LEFT JOIN dups USING (doc_id) LEFT JOIN reps USING (doc_id)),
+marks AS (SELECT doc_id, min(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+cuts AS (SELECT unnest([900, 700, 500, 400, 300, 200, 150, 100, 70, 50]) AS cut),
+ratios AS (
+  SELECT doc_id, lang, unnest([1, 2, 3, 4, 5]) AS rule, unnest([n_symbols, n_dup_lines, n_repeat_words, n_upper, n_shouts]) AS a,
+         unnest([word_chars, n_lines, n_words, word_chars, n_words]) AS b FROM counts),
+tests AS (
+  SELECT lang, rule, cut, count(*) AS n, count(*) FILTER (1000 * a > cut * b) AS k
+  FROM ratios JOIN marks USING (doc_id), cuts WHERE good = 1 GROUP BY lang, rule, cut),
+tails AS (
+  SELECT *, CASE WHEN k >= n * 0.004 THEN 1 ELSE list_sum(list_transform(range(0, k + 1),
+           lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.004) + (n - i) * ln(0.996)))) END AS p FROM tests),
+allowed AS (SELECT 0.05 / (5 * greatest(count(DISTINCT coalesce(lang, ' null')), 1)) AS e FROM tails),
+proven AS (SELECT lang, rule, min(cut) FILTER (ok) AS cut FROM (
+  SELECT lang, rule, cut, bool_and(p <= e) OVER (PARTITION BY lang, rule ORDER BY cut DESC) AS ok FROM tails, allowed) GROUP BY lang, rule),
+rejected AS (SELECT DISTINCT doc_id FROM ratios r JOIN proven p ON r.lang IS NOT DISTINCT FROM p.lang AND r.rule = p.rule WHERE 1000 * a > cut * b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND doc_id NOT IN (SELECT doc_id FROM rejected) AS kept
+FROM counts
+"""
+
+# Every two equal words of a text at most a third of it apart; stretches of such pairs are islands of their lag. 3988292384 is the fixed polynomial of CRC-32.
+PERIODIC = """
+WITH sums AS (
+  SELECT doc_id, coalesce(text, '') AS t, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
+    lambda acc, b: list_reduce(list_prepend(xor(acc, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END)), 4294967295::BIGINT) AS h
+  FROM documents),
+docs AS (SELECT doc_id, h, h // 10 AS g, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w FROM sums),
+places AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN g % len(w) END AS a FROM docs),
+periods AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM places),
+words AS MATERIALIZED (
+  SELECT doc_id, n, i, CASE WHEN i >= a THEN w[a + (i - a) % p + 1] ELSE w[i + 1] END AS w FROM (SELECT *, unnest(range(n)) AS i FROM periods)),
+pairs AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.w = y.w AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+islands AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs),
+stretches AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM islands GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(24, 3 * q)),
+runs AS MATERIALIZED (SELECT doc_id, start, length, min(q) AS period FROM stretches GROUP BY doc_id, start, length),
+best AS (
+  SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) = 1),
+lines AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS l FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, unnest(range(start + period, start + length)) AS i FROM runs)),
+rest AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT docs.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+       sha256(coalesce(l, '')) AS runs_sha256, sha256(coalesce(rest.t, '')) AS collapsed_sha256
+FROM docs LEFT JOIN lines USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN rest USING (doc_id)
+"""
+
+
+def centroids(rounds: int) -> str:
+    """Plain rounds, one after the other: assign all vectors, then move all centroids."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT vec_id, any_value(x) AS x, min(struct_pack(d := d, c := c)) AS best FROM (
+    SELECT v.vec_id, v.x, c.c, CAST(list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i]))) AS BIGINT) AS d FROM v, c{r} c) GROUP BY vec_id),""")
+        if r < rounds:
+            steps.append(f"""
+m{r} AS (
+  SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM (
+    SELECT best.c AS c, i, CAST(sum(x[i]) AS BIGINT) AS s, count(*) AS n FROM a{r}, (SELECT unnest(range(1, 65)) AS i) GROUP BY best.c, i) GROUP BY c),
+c{r + 1} AS MATERIALIZED (SELECT c{r}.c, coalesce(m{r}.x, c{r}.x) AS x FROM c{r} LEFT JOIN m{r} ON c{r}.c = m{r}.c),""")
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, x FROM (SELECT sha256('3:' || vec_id) AS h, x FROM v ORDER BY h LIMIT 8)),{"".join(steps)}
+done AS (SELECT vec_id, best.c AS c, best.d AS d FROM a{rounds})
+SELECT vec_id, CAST(done.c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY done.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c{rounds}.x, ',')) AS centroid_sha256
+FROM done JOIN c{rounds} ON done.c = c{rounds}.c
+"""
+
+
+CENTROIDS = centroids(10)

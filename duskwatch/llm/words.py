@@ -84,11 +84,13 @@ def parts(batches: Iterator[pa.RecordBatch], text: int, most: int = PART) -> Ite
                 yield batch.slice(a, b - a)
 
 
-def words(column: pa.Array | pa.ChunkedArray) -> Words:
+def words(column: pa.Array | pa.ChunkedArray, fold: bool = True) -> Words:
+    """The words of a text column, ``A-Z`` lower-cased if ``fold``."""
     data, offsets = utf8(column)
     n = len(data)
-    upper = (data >= 65) & (data <= 90)
-    data = np.where(upper, data + 32, data).astype(np.uint8)
+    if fold:
+        upper = (data >= 65) & (data <= 90)
+        data = np.where(upper, data + 32, data).astype(np.uint8)
     gap = (data == 32) | ((data >= 9) & (data <= 13))
     # A word starts where a word byte follows a gap or the start of a row.
     inside = ~gap

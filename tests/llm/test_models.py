@@ -117,7 +117,7 @@ def test_pipeline_stages_take_effect(spark, small):
         assert name == "encoding" or kept.columns == columns
     ids = lambda df: {r["doc_id"] for r in df.select("doc_id").collect()}
     before, after = results["near_dedup"]
-    assert ids(after) == ids(near_text.near_duplicates(before).filter("kept")) < ids(before)
+    assert ids(after) == ids(near_text.near_duplicates(before, threshold=80).filter("kept")) < ids(before)
     before, after = results["decontamination"]
     bench = spark.read.parquet(f"{small}/benchmark.parquet")
     assert ids(after) == ids(decontaminate.mark(before, bench).filter("size(overlaps) = 0"))
