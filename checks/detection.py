@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from duskwatch import datasets as D
 from duskwatch.operators import detect as DT
+from duskwatch.operators import ruleindex as X
 from duskwatch.operators import rules as R
 from duskwatch.operators import sequence as SQ
 
@@ -145,3 +146,24 @@ def backtest_every_rule(spark, d):
 @query("alert_ids_every_rule")
 def alert_ids_every_rule(spark, d):
     return every_alert(spark, d).groupBy("rule_id").agg(F.count("*").alias("alerts"), F.count_distinct("alert_id").alias("ids"))
+
+
+@query("detect_indexed_rules", with_(EV) + UNORDERED)
+def detect_indexed_rules(spark, d):
+    """All rules without order, looked up in an index instead of compiled into the plan."""
+    return X.detect(D.events(spark, d), R.rules_frame(spark, D.DETECTION_RULES)).select(*SHOWN)
+
+
+# A rule for every user and type, and one for every host: the list grows with the table.
+OWN = """
+SELECT user_id || ' ' || msg_id AS rule_id, 'Own limit of ' || user_id AS rule_name, 'MEDIUM' AS severity, user_id, hostname, user_ip, CAST(1 AS BIGINT) AS cnt, ts
+FROM ev WHERE fsize >= 50 + uid % 50
+UNION ALL
+SELECT hostname || ' burst', 'Burst on ' || hostname, 'HIGH', CAST(NULL AS VARCHAR), hostname, user_ip, count(*), time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') + INTERVAL 6 HOUR
+FROM ev WHERE act <> 'view' GROUP BY hostname, user_ip, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') HAVING count(*) >= 2
+"""
+
+
+@query("detect_many_rules", with_(EV) + OWN)
+def detect_many_rules(spark, d):
+    return X.detect(D.events(spark, d), D.own_rules(spark, d)).select(*SHOWN)

@@ -5,10 +5,11 @@ Everything here is derived from ``events.parquet`` by Spark, or is a rule litera
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.fields import local_day, local_hour, round2
+from .operators.rules import parse_rules
 from .session import LOCAL_TZ
 
 #: Fixed value: the day one-day reports look at.
@@ -134,6 +135,30 @@ def rule_revisions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     )
 
 
+def own_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule documents as a table: a limit of their own for every user and type, and a burst on every host."""
+
+    def condition(name: str, op: str, value: Column) -> Column:
+        return F.struct(F.lit(name).alias("field"), F.lit(op).alias("op"), value.cast("string").alias("value"))
+
+    seen = events(spark, sf_dir).select("user_id", "msg_id", "hostname")
+    user, host = F.col("user_id"), F.col("hostname")
+    own = seen.select("user_id", "msg_id").distinct().select(
+        F.concat_ws(" ", user, "msg_id").alias("id"),
+        F.concat(F.lit("Own limit of "), user).alias("name"),
+        F.struct(F.col("msg_id").alias("msgId"), F.array(condition("fsize", "gte", 50 + user.cast("int") % 50), condition("userId", "eq", user)).alias("conditions")).alias("match"),
+    )
+    burst = seen.select("hostname").distinct().select(
+        F.concat(host, F.lit(" burst")).alias("id"),
+        F.concat(F.lit("Burst on "), host).alias("name"),
+        F.lit("HIGH").alias("severity"),
+        F.array(F.lit("hostname")).alias("by"),
+        F.struct(F.array(condition("hostname", "eq", host), condition("action", "neq", F.lit("view"))).alias("conditions")).alias("match"),
+        F.struct(F.lit("6h").alias("within"), F.lit(2).alias("minCount")).alias("aggregate"),
+    )
+    return parse_rules(own.select(F.to_json(F.struct("*")).alias("value")).unionByName(burst.select(F.to_json(F.struct("*")).alias("value"))))
+
+
 #: Detection rules in the document form users write.
 DETECTION_RULES = [
     {"id": "blocked_error", "name": "Blocked error", "enabled": True, "cep": {"enabled": True, "severity": "HIGH"},
