@@ -5,29 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from duskwatch import datasets as D
-from duskwatch.operators import detect as DT
 from duskwatch.operators import reports as R
 from duskwatch.operators.normalize import alert_report_columns
+from duskwatch.schema import ALERT_DDL
 from duskwatch.sources.stores import latest_per_key
 
 from . import EV, PROFILES, SNAP, query, with_
-from .detection import EITHER, SINGLE, UNORDERED, compiled, every_alert
+from .detection import ALERTS, EVERY, every_alert
 from .scoring import DAY, SETTINGS, effective, factor
 
-ROW_ALERTS = f"al AS (SELECT *, CAST(ts + INTERVAL 9 HOUR AS DATE) AS day FROM ({SINGLE} UNION ALL {EITHER}))"
-ALL_ALERTS = f"al AS (SELECT *, CAST(ts + INTERVAL 9 HOUR AS DATE) AS day FROM ({UNORDERED}))"
 LATEST = "latest AS (SELECT user_id, arg_max(risk_score, ts) AS risk_score, arg_max(risk_level, ts) AS risk_level, arg_max(prev_score, ts) AS prev_score, arg_max(status, ts) AS status, max(ts) AS ts FROM snap GROUP BY user_id)"
 
 
-def row_alerts(spark, d):
-    rules = compiled(spark, D.DETECTION_RULES, "blocked_error", "odd_purchase", "odd_signup_or_view")
-    return DT.detect(D.events(spark, d), rules)
-
-
-def all_alerts(spark, d):
-    return DT.detect(D.events(spark, d), compiled(spark, D.DETECTION_RULES))
-
-
 @query("latest_per_key", with_(EV, SNAP, LATEST) + "SELECT * FROM latest")
 def latest(spark, d):
     slim = D.snapshots(spark, d).select("user_id", "risk_score", "risk_level", "prev_score", "status", "ts")
@@ -45,17 +34,27 @@ def event_page_total(spark, d):
     return R.page(D.events(spark, d), "ts").total
 
 
-@query("alert_report", with_(EV, ROW_ALERTS) + f"""
+_FOUND = with_(*EVERY, ALERTS) + f"""
 SELECT rule_id, severity, user_id, hostname, ts FROM al WHERE day BETWEEN {DAY} - 6 AND {DAY}
-  AND (contains(user_id, '1') OR contains(lower(rule_name), '1') OR contains(hostname, '1')) AND severity = 'MEDIUM' ORDER BY ts DESC LIMIT 20""")
+  AND (contains(user_id, '1') OR contains(lower(rule_name), '1') OR contains(hostname, '1')) AND severity = 'MEDIUM' ORDER BY ts DESC, alert_id LIMIT 20"""
+
+
+# Queries of two names: the second is from when the first saw part of the rules.
+@query("alert_report", _FOUND)
+@query("alert_report_every_rule", _FOUND)
 def alert_report(spark, d):
-    rows = R.alert_report(row_alerts(spark, d), "2024-01-24", D.AS_OF, search="1", severity="MEDIUM", length=20).rows
+    rows = R.alert_report(every_alert(spark, d), "2024-01-24", D.AS_OF, search="1", severity="MEDIUM", length=20).rows
     return alert_report_columns(rows).select("rule_id", "severity", "user_id", "hostname", "ts")
 
 
-@query("alert_report_total", with_(EV, ROW_ALERTS) + "SELECT count(*) AS total FROM al WHERE day BETWEEN DATE '2024-01-01' AND DATE '2024-01-30' AND rule_id = 'odd_purchase'")
+@query("alert_report_total", with_(*EVERY, ALERTS) + "SELECT count(*) AS total FROM al WHERE day BETWEEN DATE '2024-01-01' AND DATE '2024-01-30' AND rule_id = 'long_allowed_run'")
 def alert_report_total(spark, d):
-    return R.alert_report(row_alerts(spark, d), "2024-01-01", D.AS_OF, rule="odd_purchase").total
+    return R.alert_report(every_alert(spark, d), "2024-01-01", D.AS_OF, rule="long_allowed_run").total
+
+
+@query("alert_report_total_every_rule", with_(*EVERY, ALERTS) + "SELECT count(*) AS total FROM al WHERE day BETWEEN DATE '2024-01-01' AND DATE '2024-01-30'")
+def alert_report_total_every_rule(spark, d):
+    return R.alert_report(every_alert(spark, d), "2024-01-01", D.AS_OF).total
 
 
 @query("log_report", with_(EV) + f"""
@@ -81,7 +80,7 @@ def user_report_level(spark, d):
 def _detail(spark, d):
     snaps = D.snapshots(spark, d).withColumn("event_values", F.create_map(
         F.lit("rule"), F.col("rule_score"), F.lit("anomaly"), F.col("anomaly_score"), F.lit("none"), F.lit(0.0)))
-    return R.user_detail(D.events(spark, d), row_alerts(spark, d), snaps, "116", D.AS_OF)
+    return R.user_detail(D.events(spark, d), every_alert(spark, d), snaps, "116", D.AS_OF)
 
 
 @query("user_detail_logs", with_(EV) + f"SELECT event_id, ts, msg_id FROM ev WHERE user_id = '116' AND day = {DAY} ORDER BY ts DESC, event_id LIMIT 50")
@@ -89,7 +88,11 @@ def user_detail_logs(spark, d):
     return _detail(spark, d)["logs"].select("event_id", "ts", "msg_id")
 
 
-@query("user_detail_alerts", with_(EV, ROW_ALERTS) + f"SELECT rule_id, ts FROM al WHERE user_id = '116' AND day = {DAY} ORDER BY ts DESC LIMIT 50")
+_NEWEST = with_(*EVERY, ALERTS) + f"SELECT rule_id, ts FROM al WHERE user_id = '116' AND day = {DAY} ORDER BY ts DESC, alert_id LIMIT 50"
+
+
+@query("user_detail_alerts", _NEWEST)
+@query("user_detail_alerts_every_rule", _NEWEST)
 def user_detail_alerts(spark, d):
     return _detail(spark, d)["alerts"].select("rule_id", "ts")
 
@@ -102,17 +105,20 @@ def user_detail_values(spark, d):
 
 
 def _dashboard(spark, d, part):
-    # Parts without alerts need no detection; the rules per event are only planned, not run, for them.
-    alerts = all_alerts(spark, d) if part in ("severities", "rules") else row_alerts(spark, d)
-    return R.dashboard(D.events(spark, d), alerts, D.snapshots(spark, d), D.AS_OF)[part]
+    return R.dashboard(D.events(spark, d), every_alert(spark, d) if part in ("severities", "rules", "recent") else _no_alerts(spark), D.snapshots(spark, d), D.AS_OF)[part]
+
+
+def _no_alerts(spark):
+    """Parts without alerts need no detection."""
+    return spark.createDataFrame([], ALERT_DDL)
 
 
-@query("dashboard_severities", with_(EV, ALL_ALERTS) + f"SELECT severity, count(*) AS cnt FROM al WHERE day = {DAY} GROUP BY severity")
+@query("dashboard_severities", with_(*EVERY, ALERTS) + f"SELECT severity, count(*) AS cnt FROM al WHERE day = {DAY} GROUP BY severity")
 def dashboard_severities(spark, d):
     return _dashboard(spark, d, "severities")
 
 
-@query("dashboard_rules", with_(EV, ALL_ALERTS) + f"SELECT rule_name, count(*) AS cnt FROM al WHERE day = {DAY} GROUP BY rule_name ORDER BY cnt DESC, rule_name LIMIT 10")
+@query("dashboard_rules", with_(*EVERY, ALERTS) + f"SELECT rule_name, count(*) AS cnt FROM al WHERE day = {DAY} GROUP BY rule_name ORDER BY cnt DESC, rule_name LIMIT 10")
 def dashboard_rules(spark, d):
     return _dashboard(spark, d, "rules")
 
@@ -139,10 +145,13 @@ def dashboard_total(spark, d):
     return _dashboard(spark, d, "total")
 
 
-@query("dashboard_recent", with_(EV, ROW_ALERTS) + "SELECT rule_id, user_id, ts FROM al ORDER BY ts DESC LIMIT 10")
+_RECENT = with_(*EVERY, ALERTS) + "SELECT rule_id, user_id, ts FROM al ORDER BY ts DESC, alert_id LIMIT 10"
+
+
+@query("dashboard_recent", _RECENT)
+@query("dashboard_recent_every_rule", _RECENT)
 def dashboard_recent(spark, d):
-    out = R.dashboard(D.events(spark, d), row_alerts(spark, d), D.snapshots(spark, d), D.AS_OF)
-    return out["recent"].select("rule_id", "user_id", "ts")
+    return _dashboard(spark, d, "recent").select("rule_id", "user_id", "ts")
 
 
 @query("type_totals", with_(EV) + f"SELECT upper(act) AS type, count(*) AS cnt FROM ev WHERE day = {DAY} GROUP BY act ORDER BY cnt DESC, type LIMIT 6")
@@ -155,26 +164,3 @@ SELECT user_id, context, ec AS effective_context, {factor('ec')} AS multiplier,
 FROM (SELECT *, {effective(DAY)} AS ec FROM prof)""")
 def profile_report(spark, d):
     return R.profile_report(D.user_profiles(spark, d), SETTINGS, D.AS_OF)
-
-
-@query("alert_report_every_rule")
-def alert_report_every_rule(spark, d):
-    rows = R.alert_report(every_alert(spark, d), "2024-01-24", D.AS_OF, search="1", severity="MEDIUM", length=20).rows
-    return alert_report_columns(rows).select("rule_id", "severity", "user_id", "hostname", "ts")
-
-
-@query("alert_report_total_every_rule")
-def alert_report_total_every_rule(spark, d):
-    return R.alert_report(every_alert(spark, d), "2024-01-01", D.AS_OF).total
-
-
-@query("user_detail_alerts_every_rule")
-def user_detail_alerts_every_rule(spark, d):
-    snaps = D.snapshots(spark, d).withColumn("event_values", F.create_map(F.lit("rule"), F.col("rule_score")))
-    return R.user_detail(D.events(spark, d), every_alert(spark, d), snaps, "116", D.AS_OF)["alerts"].select("rule_id", "ts")
-
-
-@query("dashboard_recent_every_rule")
-def dashboard_recent_every_rule(spark, d):
-    out = R.dashboard(D.events(spark, d), every_alert(spark, d), D.snapshots(spark, d), D.AS_OF)
-    return out["recent"].select("rule_id", "user_id", "ts")

@@ -10,7 +10,7 @@ from duskwatch.streaming.scores import ScoreStream, current_scores
 
 from . import EV, PROFILES, query, with_
 from .behaviour import CNT, VALUES, WEEK
-from .detection import BOTH, BURST, EITHER, HOSTS, REPEAT, SHOWN, SINGLE, compiled
+from .detection import BOTH, BURST, EITHER, HOSTS, REPEAT, SHOWN, SINGLE, compiled, shown
 from .scoring import ANOM, CTX, LOOKED, SETTINGS, WEIGHTED, _known
 
 #: The last windows stay open until the watermark, ten minutes behind the newest event, has passed them.
@@ -29,13 +29,13 @@ def drained(spark, out, name):
     return spark.read.schema(out.schema).parquet(path)
 
 
-@query("stream_row_rules", with_(EV) + SINGLE + " UNION ALL " + EITHER)
+@query("stream_row_rules", with_(EV) + shown(SINGLE + " UNION ALL " + EITHER))
 def stream_row_rules(spark, d):
     rules = compiled(spark, D.DETECTION_RULES, "blocked_error", "odd_purchase", "odd_signup_or_view")
     return drained(spark, SD.detect_stream(stream(spark, d), rules), "alerts").select(*SHOWN)
 
 
-@query("stream_window_rules", with_(EV) + f"SELECT * FROM ({' UNION ALL '.join([BURST, HOSTS, REPEAT, BOTH])}) WHERE {CLOSED}")
+@query("stream_window_rules", with_(EV) + shown(f"SELECT * FROM ({' UNION ALL '.join([BURST, HOSTS, REPEAT, BOTH])}) WHERE {CLOSED}"))
 def stream_window_rules(spark, d):
     rules = compiled(spark, D.DETECTION_RULES, "error_burst", "host_signups", "repeat_click", "error_and_purchase")
     return drained(spark, SD.detect_stream(stream(spark, d), rules), "alerts").select(*SHOWN)
