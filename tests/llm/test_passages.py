@@ -11,7 +11,7 @@ from duskwatch.llm import words as W
 
 
 def split(text):
-    """Sentences with the spaces after them, by brute force; texts here have no long sentences."""
+    """Sentences with the spaces after them, by brute force; for runs of whole sentences."""
     pieces, start = [], 0
     for m in re.finditer(r"\S+(\s*)", text or ""):
         word = m[0].strip()
@@ -55,7 +55,7 @@ def corpus():
 
 def test_removed_sentences_agree_with_brute_force(spark):
     rows = corpus()
-    got = {r["doc_id"]: r["text"] for r in S.remove_repeats(documents(spark, rows)).collect()}
+    got = {r["doc_id"]: r["text"] for r in S.remove_repeats(documents(spark, rows), reach=None).collect()}
     want = brute(rows)
     assert got == want and sum(want[k] != t for k, t in rows) > 70
 
@@ -73,7 +73,7 @@ def test_copies_of_short_sentences_are_removed(spark):
     rng = random.Random(4)
     short = lambda n, end: "".join(f"s{rng.randint(0, 10**6)}{end}" for _ in range(n))
     marks, lines = short(40, "! "), short(30, "\n")
-    tail = "One sentence of ten words stands here before the tail. " + short(4, ". ")
+    tail = "Six plain words stand in front. " + short(4, ". ")
     rows = [(1, marks), (2, marks), (3, lines), (4, f"Own words of four stand before. {lines}Own words of four stand behind."), (5, tail), (6, tail), (7, f"Not {tail}shared at all."), (8, "Too. Short. It. Is."), (9, "Too. Short. It. Is.")]
     got = {r["doc_id"]: r["text"] for r in S.remove_repeats(documents(spark, rows)).collect()}
     assert [got[k] for k in (1, 3, 5, 8, 9)] == [t for k, t in rows if k in (1, 3, 5, 8, 9)]
@@ -101,7 +101,7 @@ def test_fifty_equal_words_are_removed_wherever_they_begin():
         ahead, behind = text(rng.randint(0, 60), longest), text(rng.randint(0, 60), longest)
         breaks = rng.choice([" ", " ", "\n"])
         w = W.words(pa.array([" ".join(source), " ".join(ahead) + " " + breaks.join(passage) + " " + " ".join(behind)]))
-        r = S.runs(w, S.sentences(w))
+        r = S.runs(w)
         known = set(r.hash[r.row == 0].tolist())
         whole = " ".join(ahead) + " " + breaks.join(passage) + " "
         covered = np.zeros(4000, bool)
@@ -119,11 +119,11 @@ def test_fifty_equal_words_are_removed_wherever_they_begin():
 
 def test_a_word_repeated_keeps_its_first_run():
     w = W.words(pa.array([" ".join(["same"] * 300)]))
-    r = S.runs(w, S.sentences(w))
+    r = S.runs(w)
     gone = np.zeros(1500, bool)
     for a, b in zip(r.start[r.repeat], r.end[r.repeat], strict=True):
         gone[a:b] = True
-    assert not gone[: 5 * S.WINDOW].any() and gone[5 * S.WINDOW : 5 * 294].all()
+    assert not gone[: 5 * S.LEAST_WORDS].any() and gone[5 * S.LEAST_WORDS : 5 * 292].all()
 
 
 def test_odd_rows_for_passages(spark):
@@ -214,10 +214,38 @@ def test_clean_and_empty_tables(spark):
 
 def test_sentences_of_a_batch_are_those_of_single_rows():
     texts = [t for _, t in corpus()]
-    whole = S.runs(W.words(pa.array(texts)), S.sentences(W.words(pa.array(texts))))
+    whole = S.runs(W.words(pa.array(texts)))
     for i in range(0, len(texts), 17):
         w = W.words(pa.array([texts[i]]))
-        one = S.runs(w, S.sentences(w))
+        one = S.runs(w)
         mine = whole.row == i
         for a, b in zip(whole[1:], one[1:], strict=True):
             assert np.array_equal(a[mine], b)
+
+
+def test_bitmap_lets_all_repeated_runs_pass(spark):
+    rng = np.random.default_rng(1)
+    h = rng.integers(-(1 << 63), (1 << 63) - 1, 5000)
+    bits = S.bitmap(spark.createDataFrame([(int(x),) for x in h], "hash long"))
+    others = rng.integers(-(1 << 63), (1 << 63) - 1, 50_000)
+    assert S._marked(bits, h).all() and S._marked(bits, others).mean() < 0.1
+    small = S.bitmap(spark.createDataFrame([(int(x),) for x in h], "hash long"), most_bits=1024)
+    assert len(small) == 16 and S._marked(small, h).all()
+
+
+def test_merged_spans():
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    span = lambda *p: [{"start": a, "end": b} for a, b in p]
+    lists = pa.array([span((0, 5), (1, 2), (5, 7), (9, 10)), [], span((3, 4)), span((0, 9), (2, 3), (8, 12), (13, 14))], kind)
+    assert S.merged(lists).to_pylist() == [span((0, 7), (9, 10)), [], span((3, 4)), span((0, 12), (13, 14))]
+    assert S.merged(pa.array([], kind)).to_pylist() == []
+
+
+def test_many_spans_and_clashing_names(spark):
+    """Thousands of repeats in one text, and columns called as those used inside."""
+    line = lambda i: f"This line number {i} has some nine words in it. "
+    text = "".join(line(i) + f"own{i}a own{i}b own{i}c. " for i in range(8000))
+    df = spark.createDataFrame([(1, "".join(line(i) for i in range(8000)), 7, "a"), (2, text, 8, "b"), (3, None, 9, "c")], "doc_id long, t string, k long, row string")
+    got = {r["doc_id"]: r for r in S.remove_repeats(df, text="t", run=1, reach=None).collect()}
+    assert got[2]["row"] == "b" and got[2]["k"] == 8 and len(got[2]["removed"]) == 8000 and got[2]["t"].startswith("own0a") and "line" not in got[2]["t"]
+    assert got[1]["removed"] == [] and got[3]["t"] is None and got[3]["removed"] == []
