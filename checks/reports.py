@@ -71,6 +71,18 @@ def user_report(spark, d):
     return R.user_report(D.snapshots(spark, d), search="1", start=5).rows
 
 
+@query("user_list", with_(EV, SNAP, PROFILES, LATEST) + f"""
+SELECT l.user_id, l.risk_score, l.risk_level, l.prev_score, s.rule_score, l.status, l.risk_score - l.prev_score AS score_diff,
+       CASE WHEN p.user_id IS NULL THEN '' ELSE coalesce(ec, 'normal') END AS context, CASE WHEN p.user_id IS NULL THEN 1.0 ELSE {factor('ec')} END AS multiplier
+FROM (SELECT user_id, arg_max(risk_score, ts) AS risk_score, arg_max(risk_level, ts) AS risk_level, arg_max(prev_score, ts) AS prev_score, arg_max(status, ts) AS status
+      FROM snap WHERE day <= {DAY} AND contains(user_id, '1') GROUP BY user_id ORDER BY risk_score DESC, user_id LIMIT 20 OFFSET 3) l
+JOIN (SELECT user_id, arg_max(rule_score, ts) AS rule_score FROM snap WHERE day <= {DAY} GROUP BY user_id) s USING (user_id)
+LEFT JOIN (SELECT *, {effective(DAY)} AS ec FROM prof) p ON p.user_id = l.user_id""")
+def user_list(spark, d):
+    rows = R.user_list(D.snapshots(spark, d), D.user_profiles(spark, d), SETTINGS, D.AS_OF, search="1", start=3, length=20).rows
+    return rows.drop("ts")
+
+
 @query("user_report_level", with_(EV, SNAP, LATEST) + "SELECT user_id, risk_level FROM latest WHERE risk_level = 'HIGH' ORDER BY user_id LIMIT 1000")
 def user_report_level(spark, d):
     rows = R.user_report(D.snapshots(spark, d), level="HIGH", order="user_id", descending=False, length=1000).rows

@@ -226,6 +226,31 @@ def timeline(spark, d):
     return out.select("user_id", "day", "risk_score", "risk_level", "status", "prev_score", "rule_score", "anomaly_score")
 
 
+# The same days for users who come into the range with a score: all of them, with events or without.
+CARRIED = f"""
+before AS (SELECT * FROM (SELECT user_id, arg_max(risk_score, ts) AS score FROM snap WHERE day < DATE '{FIRST}' GROUP BY user_id) WHERE score > 0)
+""" + "," + TIMELINE.replace(
+    "GROUP BY user_id) u JOIN days d", f"GROUP BY user_id UNION ALL SELECT user_id, DATE '{FIRST}' FROM before) v GROUP BY user_id) u JOIN days d"
+).replace("grid AS (SELECT u.user_id, d.day FROM (SELECT user_id, min(day) AS since FROM cnt", "grid AS (SELECT u.user_id, d.day FROM (SELECT user_id, min(since) AS since FROM (SELECT user_id, min(day) AS since FROM cnt").replace(
+    """CAST(0 AS DOUBLE) AS prev, CASE WHEN wl THEN 0 WHEN bd < 3 THEN 0 ELSE round((CASE WHEN ec = 'blacklist' THEN 25 ELSE 0 END + r + a) * 100) / 100 END AS risk
+  FROM inp WHERE""",
+    """coalesce(score, 0) AS prev, CASE WHEN wl THEN round(coalesce(score, 0) * 0.9 * 100) / 100 WHEN score IS NULL AND bd < 3 THEN 0
+         ELSE round((CASE WHEN ec = 'blacklist' THEN greatest(coalesce(score, 0) * 0.9, 25) ELSE coalesce(score, 0) * 0.9 END + r + a) * 100) / 100 END AS risk
+  FROM inp LEFT JOIN before USING (user_id) WHERE""",
+)
+
+
+@query("risk_timeline_carried", with_(EV, SNAP, VALUES, WEIGHTED, CNT, PROFILES, CARRIED) + """
+SELECT f.user_id, strftime(f.day, '%Y-%m-%d') AS day, f.risk AS risk_score, f.prev AS prev_score, CASE WHEN i.wl THEN 0 ELSE round(i.r * 100) / 100 END AS rule_score,
+       CASE WHEN NOT i.wl AND f.prev <= 0 AND i.bd < 3 THEN 'cold_start' WHEN i.nob THEN 'no_baseline' ELSE 'active' END AS status
+FROM fold f JOIN inp i ON i.user_id = f.user_id AND i.day = f.day""")
+def timeline_carried(spark, d):
+    rules = compiled(spark, D.SCORING_RULES)
+    before = S.prev_scores(D.snapshots(spark, d), FIRST)
+    out = risk_timeline(D.events(spark, d), rules, D.user_profiles(spark, d), SETTINGS, FIRST, LAST, previous=before)
+    return out.select("user_id", "day", "risk_score", "prev_score", "rule_score", "status")
+
+
 @query("refresh_profiles", with_(EV, PROFILES) + f"""
 SELECT user_id, CASE WHEN over THEN 'normal' ELSE context END AS context, CASE WHEN NOT over THEN strftime(start_date, '%Y-%m-%d') END AS start_date,
        CASE WHEN NOT over THEN strftime(end_date, '%Y-%m-%d') END AS end_date, CASE WHEN NOT over THEN note END AS note, whitelisted

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from duskwatch import datasets as D
-from duskwatch.functions.predicates import on_days
+from duskwatch.operators.scoring import prev_scores
 from duskwatch.session import stage_path
+from duskwatch.sources.stores import read_day_range, write_event_log
 from duskwatch.streaming import detection as SD
 from duskwatch.streaming.scores import ScoreStream, current_scores
 
-from . import EV, PROFILES, query, with_
+from . import EV, PROFILES, SNAP, query, with_
 from .behaviour import CNT, VALUES, WEEK
 from .detection import BOTH, BURST, EITHER, HOSTS, REPEAT, SHOWN, SINGLE, compiled, shown
-from .scoring import ANOM, CTX, LOOKED, SETTINGS, WEIGHTED, _known
+from .scoring import CTX, DAILY, LOOKED, PREV, SETTINGS, WEIGHTED, _known
 
 #: The last windows stay open until the watermark, ten minutes behind the newest event, has passed them.
 CLOSED = "ts <= (SELECT max(ts) FROM ev) - INTERVAL 10 MINUTE"
@@ -48,19 +49,33 @@ def stream_sequence(spark, d):
     return drained(spark, SD.detect_stream(stream(spark, d), rules), "alerts").select(*SHOWN)
 
 
-@query("stream_scores", with_(EV, VALUES, WEIGHTED, CNT, WEEK, LOOKED, PROFILES, CTX) + f"""
-, an AS (SELECT user_id, sum({ANOM}) AS a FROM look GROUP BY user_id),
-ru AS (SELECT user_id, sum(p) AS r FROM pts WHERE day = DATE '2024-01-30' GROUP BY user_id),
-best AS (SELECT user_id, max(sample_days) AS bd FROM base GROUP BY user_id)
-SELECT an.user_id, CASE WHEN coalesce(whitelisted, false) THEN 0 WHEN coalesce(bd, 0) < 3 THEN 0
-       ELSE round((CASE WHEN ec = 'blacklist' THEN 25 ELSE 0 END + coalesce(r, 0) * coalesce(m, 1.0) + a) * 100) / 100 END AS risk_score
-FROM an LEFT JOIN ru USING (user_id) LEFT JOIN best USING (user_id) LEFT JOIN ctx USING (user_id)""")
-def stream_scores(spark, d):
+def score_stream(spark, d):
     rules = compiled(spark, D.SCORING_RULES)
     _, known = _known(spark, d)
-    nobody = spark.createDataFrame([], "user_id string, prev_score double, days_since int")
-    counters, scores = stage_path(spark, "counters"), stage_path(spark, "stream-scores")
-    job = ScoreStream(rules, SETTINGS, lambda s, day: (known, D.user_profiles(s, d), nobody), counters, scores)
-    rows = stream(spark, d).where(on_days("ts", D.AS_OF))
-    job.start(rows, stage_path(spark, "score-log"), availableNow=True).awaitTermination()
-    return current_scores(spark, scores, D.AS_OF).select("user_id", "risk_score")
+    snaps = D.snapshots(spark, d)
+
+    def context(session, day):
+        return known, D.user_profiles(session, d), prev_scores(snaps, day)
+
+    return ScoreStream(rules, SETTINGS, context, stage_path(spark, "counters"), stage_path(spark, "stream-scores"), score_from=D.AS_OF)
+
+
+_SCORES = with_(EV, VALUES, WEIGHTED, CNT, WEEK, LOOKED, SNAP, PREV, PROFILES, CTX, DAILY)
+
+
+@query("stream_scores", _SCORES + "SELECT user_id, risk AS risk_score, prev_score, rs AS rule_score, sc AS anomaly_score FROM fin WHERE user_id IN (SELECT user_id FROM an)")
+def stream_scores(spark, d):
+    """The whole stream with previous scores; shown are the users with events on the last of its days that is looked at."""
+    job = score_stream(spark, d)
+    job.start(stream(spark, d), stage_path(spark, "score-log"), availableNow=True).awaitTermination()
+    return current_scores(spark, job.scores_path, D.AS_OF).select("user_id", "risk_score", "prev_score", "rule_score", "anomaly_score")
+
+
+@query("recovered_scores", _SCORES + "SELECT user_id, risk AS risk_score, prev_score, rs AS rule_score, sc AS anomaly_score FROM fin")
+def recovered_scores(spark, d):
+    """Scores of a day from the stored log after its counters are lost: all users with events or a previous score."""
+    log = stage_path(spark, "event-log")
+    write_event_log(D.events(spark, d), log)
+    job = score_stream(spark, d)
+    job.recover(spark, read_day_range(spark, log, D.AS_OF, D.AS_OF), D.AS_OF)
+    return current_scores(spark, job.scores_path, D.AS_OF).select("user_id", "risk_score", "prev_score", "rule_score", "anomaly_score")

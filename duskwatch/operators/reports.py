@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fields import field, local, local_day
-from ..functions.predicates import last_days, on_days, text_search
+from ..functions.predicates import last_days, midnight, on_days, text_search
 from ..session import LOCAL_TZ
 from ..sources.stores import latest_per_key
 from . import scoring
@@ -150,6 +150,32 @@ def log_report(
     return page(event_report_columns(found), order, descending, start, length)
 
 
+def with_user_context(users: DataFrame, profiles: DataFrame, settings: Settings, as_of: str) -> DataFrame:
+    """Rows of users with ``context``, the one in effect on the day (empty without profile), and ``multiplier``, its weight."""
+    context = scoring.effective_context(F.lit(as_of).cast("date"))
+    known = profiles.select("user_id", context.alias("context"), scoring.multiplier(context, settings.multipliers).alias("multiplier"))
+    found = users.join(known, "user_id", "left")
+    return found.withColumns({"context": F.coalesce("context", F.lit("")), "multiplier": F.coalesce("multiplier", F.lit(1.0))})
+
+
+def user_list(
+    scores: DataFrame, profiles: DataFrame, settings: Settings, as_of: str, search: str = "", level: str = "", order: str = "risk_score",
+    descending: bool = True, start: int = 0, length: int = 10, tz: str = LOCAL_TZ,
+) -> Page:
+    """Users by their latest score, with its rule part and the context in effect on the day.
+
+    Scores after the day are left out. Contexts are looked up for the rows of the page alone.
+    """
+    slim = scores.where(F.col("ts") < F.lit(midnight(as_of, tz, 1))).where(text_search(search, "user_id"))
+    newest = latest_per_key(slim.select("user_id", "risk_score", "risk_level", "prev_score", "rule_score", "status", "ts"), ["user_id"], "ts")
+    if level:
+        newest = newest.where(F.col("risk_level") == level)
+    newest = newest.withColumn("score_diff", F.col("risk_score") - F.col("prev_score"))
+    found = page(newest, order, descending, start, length, tie="user_id")
+    by = [F.desc(order) if descending else F.asc(order), F.asc("user_id")]
+    return Page(with_user_context(found.rows, profiles, settings, as_of).orderBy(*by), found.total)
+
+
 def user_report(
     scores: DataFrame, search: str = "", level: str = "", order: str = "risk_score",
     descending: bool = True, start: int = 0, length: int = 10,

@@ -30,8 +30,12 @@ def _global_history(history: DataFrame) -> DataFrame:
 
 def daily_inputs(
     events: DataFrame, rules: Sequence[Mapping[str, Any]], settings: Settings, first: str, last: str, tz: str = LOCAL_TZ,
+    carried: DataFrame | None = None,
 ) -> DataFrame:
-    """``(user_id, day, points, anomaly_raw, best_days)`` for every user and day from their first event on."""
+    """``(user_id, day, points, anomaly_raw, best_days)`` for every user and day from their first event on.
+
+    The users ``carried`` into the range have all of its days, with events or without.
+    """
     n = settings.baseline_window_days
     lo, hi = F.lit(first).cast("date"), F.lit(last).cast("date")
     # One scan of the range and the days before it; everything below reads the small tables of counters.
@@ -59,7 +63,10 @@ def daily_inputs(
     stored = history.withColumn("day", F.explode(F.sequence("as_of", "valid_to"))).groupBy("user_id", "day").agg(
         F.max("sample_days").alias("best_days")
     )
-    grid = current.groupBy("user_id").agg(F.min("day").alias("since")).select(
+    begins = current.select("user_id", "day")
+    if carried is not None:
+        begins = begins.unionByName(carried.where("user_id IS NOT NULL").select("user_id", lo.alias("day")))
+    grid = begins.groupBy("user_id").agg(F.min("day").alias("since")).select(
         "user_id", F.explode(F.sequence("since", hi)).alias("day")
     )
     key = ["user_id", "day"]
@@ -79,19 +86,22 @@ def risk_timeline(
     decays once. Cold start, floor and rounding make that step non-linear, so
     the days of a user are folded in order. A user has one small row per day in
     the fold, whatever the number of their events. ``previous`` (``user_id``,
-    ``prev_score``) holds the scores of the day before ``first``; without it,
-    and for users not in it, the range starts at 0.
+    ``prev_score``, a row per user) holds the scores of the day before
+    ``first``: users with a score above 0 in it have every day of the range and
+    decay on days without events. Without it, and for users not in it, the range
+    starts at 0 with the first event.
     """
-    inputs = scoring.with_context(daily_inputs(events, rules, settings, first, last, tz), profiles, settings, F.col("day"))
+    carried = None if previous is None else previous.where("prev_score > 0").select("user_id", "prev_score")
+    inputs = scoring.with_context(daily_inputs(events, rules, settings, first, last, tz, carried), profiles, settings, F.col("day"))
     step = F.struct(
         "day", (F.col("points") * F.col("multiplier")).alias("rule_raw"), "anomaly_raw", "best_days",
         "whitelisted", (F.col("effective_context") == scoring.BLACKLIST).alias("listed"),
     )
     days = inputs.groupBy("user_id").agg(F.array_sort(F.collect_list(step)).alias("days"))
-    if previous is None:
+    if carried is None:
         days = days.withColumn("start", F.lit(0.0))
     else:
-        days = days.join(previous.select("user_id", F.col("prev_score").alias("start")), "user_id", "left").fillna({"start": 0.0})
+        days = days.join(carried.select("user_id", F.col("prev_score").alias("start")), "user_id", "left").fillna({"start": 0.0})
 
     def risk_of(prev: Column, d: Column) -> Column:
         base = prev * F.lit(settings.decay)

@@ -17,13 +17,16 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.predicates import midnight
+from ..functions.predicates import midnight, on_days
 from ..operators import behaviour, scoring
 from ..operators.scoring import Settings
 from ..session import LOCAL_TZ, scratch, stage
 from ..sources.stores import write_partitions
 
 Rule = Mapping[str, Any]
+
+#: The batch number of counters made from the stored log.
+RECOVERED = -1
 COUNTERS_DDL = "user_id string, kind string, name string, text string, n bigint, number double, day date, batch bigint"
 
 
@@ -33,7 +36,9 @@ class ScoreStream:
 
     ``context`` gives, for a day, the baselines, profiles and previous scores to
     use (usually tables written by the daily job). Scores go to ``scores_path``
-    by day and batch; the newest row of a user is the current one.
+    by day and batch; the newest row of a user is the current one. Days before
+    ``score_from`` are counted and not scored, as when a stream begins with
+    months of stored events.
     """
 
     rules: Sequence[Rule]
@@ -42,13 +47,15 @@ class ScoreStream:
     counters_path: str
     scores_path: str
     tz: str = LOCAL_TZ
+    score_from: str | None = None
 
     def on_batch(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         with scratch(behaviour.counters(batch, self.rules, self.tz), "counters") as fresh:
             write_partitions(fresh.withColumn("batch", F.lit(batch_id).cast("bigint")), self.counters_path, "day", "batch")
             # Days of one micro-batch: a handful, around midnight or after an outage.
-            for (day,) in sorted(fresh.select("day").distinct().collect()):
+            scored = fresh if self.score_from is None else fresh.where(F.col("day") >= F.lit(self.score_from).cast("date"))
+            for (day,) in sorted(scored.select("day").distinct().collect()):
                 self.score(spark, day.isoformat(), batch_id, fresh.where(F.col("day") == F.lit(day)).select("user_id").distinct())
 
     def score(self, spark: SparkSession, day: str, batch_id: int, users: DataFrame | None = None) -> None:
@@ -65,6 +72,26 @@ class ScoreStream:
         out = scoring.daily_risk(behaviour.counted_types(stored), behaviour.counted_values(stored), self.rules, known, profiles, previous, self.settings, day)
         write_partitions(out.withColumn("batch", F.lit(batch_id).cast("bigint")), self.scores_path, "day", "batch")
 
+    def recover(self, spark: SparkSession, log: DataFrame, day: str) -> None:
+        """Counters and scores of a day from the stored log of its events, when its counters are lost.
+
+        All users with events or a previous score are scored. The counters count
+        as those of one batch before all others, so a stream that goes on adds
+        its later batches to them; recovering again replaces it.
+        """
+        if self._counted(spark, day):
+            raise ValueError(f"{day} has counters of batches: they would count twice")
+        fresh = behaviour.counters(log.where(on_days("ts", day, tz=self.tz)), self.rules, self.tz)
+        write_partitions(fresh.withColumn("batch", F.lit(RECOVERED).cast("bigint")), self.counters_path, "day", "batch")
+        self.score(spark, day, RECOVERED)
+
+    def _counted(self, spark: SparkSession, day: str) -> bool:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(self.counters_path)
+        if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            return False
+        stored = spark.read.schema(COUNTERS_DDL).parquet(self.counters_path)
+        return not stored.where((F.col("day") == F.lit(day).cast("date")) & (F.col("batch") > RECOVERED)).isEmpty()
+
     def close_day(self, spark: SparkSession, day: str, path: str) -> None:
         """Final scores of a finished day, for users with and without events, stamped with the end of the day."""
         stored = spark.read.schema(COUNTERS_DDL).parquet(self.counters_path).where(F.col("day") == F.lit(day).cast("date"))

@@ -125,3 +125,21 @@ def test_previous_scores_start_a_timeline(spark, small):
     moved = risk_timeline(D.events(spark, small), rules, profiles, settings, "2024-01-28", "2024-01-29", previous=given)
     first = {r["user_id"]: r["prev_score"] for r in moved.where("day = '2024-01-28'").collect()}
     assert first[user] == 80.0 and sum(first.values()) == 80.0
+
+
+def test_users_without_events_are_carried_through_a_timeline(spark, small):
+    """A user known by their score alone decays day by day; one with a later first event decays until then; scores of zero carry nobody."""
+    from duskwatch.operators.timeline import risk_timeline
+
+    rules, profiles, settings = collect_rules(rules_frame(spark, D.SCORING_RULES)), D.user_profiles(spark, small), Settings(multipliers={}, floor_enabled=False)
+    late = D.events(spark, small).where("ts > '2024-01-12'").first()["user_id"]
+    events = D.events(spark, small).where((F.col("user_id") != late) | (F.col("ts") > "2024-01-11 15:00:00")).cache()
+    run = lambda given=None: {(r.user_id, r.day.isoformat()): r for r in risk_timeline(events, rules, profiles, settings, "2024-01-10", "2024-01-13", previous=given).collect()}
+    plain = run()
+    got = run(spark.createDataFrame([("absent", 80.0), (late, 50.0), ("zero", 0.0), (None, 9.0)], "user_id string, prev_score double"))
+    days = ["2024-01-10", "2024-01-11", "2024-01-12", "2024-01-13"]
+    assert [got["absent", d].risk_score for d in days] == [72.0, 64.8, 58.32, 52.49]
+    assert (late, "2024-01-10") not in plain and got[late, "2024-01-10"].prev_score == 50.0
+    whitelisted = {r.user_id for r in profiles.where("whitelisted").collect()}
+    assert got[late, "2024-01-10"].risk_score == 45.0 or late in whitelisted
+    assert not any(u in ("zero", None) for u, _ in got) and {k for k in got if k[0] not in ("absent", late)} == {k for k in plain if k[0] != late}

@@ -172,3 +172,40 @@ def test_history_rows(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "h"))
     assert got.count() == 50 and got.where("user_id = 'u7' and action = 'x' and file_name = 'f' and user_mac is null").count() == 1
     assert len(history.history_events(df).columns) == 14
+
+
+def test_recovery_from_the_log(spark, small, tmp_path):
+    """Recovered scores are those of the stream; batches that come after add to them, and counters of batches are never doubled."""
+    rules, settings = scoring(spark)
+    events = D.events(spark, small)
+    day = events.where(on_days("ts", D.AS_OF)).orderBy("event_id").collect()
+    early, late = (spark.createDataFrame(part, events.schema) for part in (day[: len(day) // 2], day[len(day) // 2 :]))
+    none = spark.createDataFrame([], "scope string, user_id string, msg_id string, mean double, stddev double, sample_days int, updated date")
+    before = spark.createDataFrame([("absent", 50.0, 1)], "user_id string, prev_score double, days_since int")
+    context = lambda s, d: (none, D.user_profiles(s, small), before)
+
+    def job(name):
+        return ScoreStream(rules, settings, context, str(tmp_path / f"{name}-counters"), str(tmp_path / f"{name}-scores"))
+
+    def rows(j):
+        return {r.user_id: (r.risk_score, r.rule_score, r.event_counts) for r in current_scores(spark, j.scores_path, D.AS_OF).collect()}
+
+    whole, two = job("whole"), job("two")
+    whole.recover(spark, events, D.AS_OF)
+    assert "absent" in rows(whole) and len(rows(whole)) > 3
+    two.recover(spark, early, D.AS_OF)
+    two.recover(spark, early, D.AS_OF)
+    two.on_batch(late, 7)
+    assert {u: v for u, v in rows(two).items() if v[2]} == {u: v for u, v in rows(whole).items() if v[2]}
+    with pytest.raises(ValueError, match="twice"):
+        two.recover(spark, early, D.AS_OF)
+
+
+def test_days_before_the_first_scored_one_are_counted_only(spark, small, tmp_path):
+    rules, settings = scoring(spark)
+    none = spark.createDataFrame([], "scope string, user_id string, msg_id string, mean double, stddev double, sample_days int, updated date")
+    nobody = spark.createDataFrame([], "user_id string, prev_score double, days_since int")
+    job = ScoreStream(rules, settings, lambda s, d: (none, D.user_profiles(s, small), nobody), str(tmp_path / "c"), str(tmp_path / "s"), score_from=D.AS_OF)
+    job.on_batch(D.events(spark, small), 0)
+    assert min(r.day for r in spark.read.parquet(job.scores_path).select("day").distinct().collect()).isoformat() == D.AS_OF
+    assert spark.read.parquet(job.counters_path).select("day").distinct().count() > 20
