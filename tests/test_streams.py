@@ -209,3 +209,24 @@ def test_days_before_the_first_scored_one_are_counted_only(spark, small, tmp_pat
     job.on_batch(D.events(spark, small), 0)
     assert min(r.day for r in spark.read.parquet(job.scores_path).select("day").distinct().collect()).isoformat() == D.AS_OF
     assert spark.read.parquet(job.counters_path).select("day").distinct().count() > 20
+
+
+def test_files_read_per_batch_stay_flat(spark, small, tmp_path):
+    """Counters of many batches: each sum equals that of all batches, a repeated batch sees its own past, and the files read don't grow."""
+    rules, settings = scoring(spark)
+    job = ScoreStream(rules, settings, None, str(tmp_path / "c"), str(tmp_path / "s"), score_from="2999-01-01", compact_every=4, buckets=4)
+    events = D.events(spark, small).where(on_days("ts", D.AS_OF)).limit(6).cache()
+    key = lambda df: sorted(tuple(r) for r in B.merged(df).select("user_id", "kind", "name", "text", "n").fillna("").collect())
+    read = []
+    for i in range(20):
+        job.on_batch(events, i)
+        read.append(len(job.stored(spark, D.AS_OF, i).inputFiles()))
+    one = spark.read.parquet(job.counters_path).where("batch = 0").select("user_id", "kind", "name", "text", "n").fillna("").collect()
+    for i in (0, 3, 4, 10, 19):
+        assert key(job.stored(spark, D.AS_OF, i)) == sorted((r.user_id, r.kind, r.name, r.text, r.n * (i + 1)) for r in one)
+    assert max(read[12:]) <= max(read[4:12]) <= 4 * read[0] + 4
+    job.on_batch(events, 11)
+    assert key(job.stored(spark, D.AS_OF)) == sorted((r.user_id, r.kind, r.name, r.text, r.n * 20) for r in one)
+    users = events.select("user_id").distinct().limit(1)
+    mine = job.stored(spark, D.AS_OF, 19, users).join(users, "user_id")
+    assert key(mine) == [k for k in key(job.stored(spark, D.AS_OF, 19)) if k[0] == users.first()[0]]
