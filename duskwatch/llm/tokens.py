@@ -10,6 +10,7 @@ join needs no shuffle.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +44,28 @@ def read_encoding(ranks: str):
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={}), lengths
 
 
+#: White space of the pattern, in runs that it would search with a stack of their length.
+_LONG_GAP = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{%d,}"
+LONG_GAP = 100_000
+
+
+def encode(encoding, value: str, long_gap: int = LONG_GAP) -> np.ndarray:
+    """The tokens of a text of any length.
+
+    A long run of white space is taken out as the pattern itself would: all of
+    it at the end of the text, else without its last character, which belongs to
+    what follows.
+    """
+    if len(value) < long_gap:
+        return encoding.encode_to_numpy(value, disallowed_special=())
+    out, at = [], 0
+    for m in re.finditer(_LONG_GAP % long_gap, value):
+        end = m.end() - (m.end() < len(value))
+        out += [encoding.encode_to_numpy(value[at : m.start()], disallowed_special=()), np.array(encoding._encode_single_piece(value[m.start() : end]), np.uint32)]
+        at = end
+    return np.concatenate([*out, encoding.encode_to_numpy(value[at:], disallowed_special=())])
+
+
 def char_spans(text: bytes, n_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Character spans of consecutive tokens of ``n_bytes`` bytes; a character cut by tokens is in the spans of all of them."""
     ends = np.cumsum(n_bytes)
@@ -140,7 +163,7 @@ def count_by_section(df: DataFrame, ranks: str, text: str = "text", sections: st
             for value, spans in zip(texts, listed, strict=True):
                 value = value or ""
                 raw = value.encode("utf-8")
-                start, end = char_spans(raw, lengths[encoding.encode_to_numpy(value, disallowed_special=())])
+                start, end = char_spans(raw, lengths[encode(encoding, value)])
                 if own:
                     first = line_starts(raw)
                     last = np.append(first[1:], len(value))

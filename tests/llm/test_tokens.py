@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from fixtures import documents
 from pyspark.sql import functions as F
@@ -56,3 +58,17 @@ def test_fields_share_one_encoding(spark):
     assert rows[0]["text"] == "Title\nBody text\n" and [s["name"] for s in rows[0]["token_sections"]] == ["title", "body", "text"]
     assert all(sum(s["n_tokens"] for s in r["token_sections"]) == r["token_sections_total"] for r in rows)
     assert T.count_by_section(joined.limit(0), RANKS).count() == 0
+
+
+def test_long_gaps_give_the_tokens_of_the_whole_text():
+    encoding, _ = T.read_encoding(RANKS)
+    rng = random.Random(8)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "bc", " ", "  ", "\n", "\t", "\u00a0", "\x1c", "\u2003", "   \n ", "1", "!", "é"]) for _ in range(rng.randint(0, 60)))
+        assert T.encode(encoding, text, 3).tolist() == encoding.encode_to_numpy(text, disallowed_special=()).tolist()
+
+
+def test_texts_of_millions_of_characters_are_encoded():
+    encoding, _ = T.read_encoding(RANKS)
+    for text in (" " * 2_000_000 + "x", "x" + " " * 1_500_000, "\n" * 1_200_000, "word" * 250_000):
+        assert encoding.decode(T.encode(encoding, text).tolist()) == text
