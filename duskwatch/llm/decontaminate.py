@@ -48,13 +48,15 @@ FILTER_BITS = 20
 
 
 def index_items(ids: list[int], texts: list[str | None]) -> Items:
-    """Seeds of benchmark items. An item shorter than a mask is looked for by a solid run of all its words."""
+    """Seeds of benchmark items. An item shorter than a mask is looked for by all of its words but one, whichever that is."""
     w = W.words(pa.array(texts, pa.string()))
     count = np.diff(w.first)
     longest = max(m[-1] + 1 for m in MASKS)
-    solid = {int(n): tuple(range(int(n))) for n in np.unique(count[(count >= LEAST_ITEM) & (count < longest)])}
+    short = [int(n) for n in np.unique(count[(count >= LEAST_ITEM) & (count < longest)])]
+    # A run of all words but one stands at both ends of the item, the other masks leave out one word within it.
+    spared = [(tuple(k for k in range(n) if k != left), n) for n in short for left in range(1, n)]
     masks = []
-    for offsets, only in [(m, None) for m in MASKS] + [(m, n) for n, m in solid.items()]:
+    for offsets, only in [(m, None) for m in MASKS] + spared:
         row, at, seed = W.spaced(w, offsets)
         keep = count[row] == only if only is not None else count[row] >= longest
         row, at, seed = row[keep], at[keep], seed[keep]
@@ -83,14 +85,29 @@ def overlaps(w: W.Words, items: Items) -> list[tuple[int, int, int, int, int, in
         mine, theirs = w.hash[w.first[row] : w.first[row + 1]], items.hash[items.first[item] : items.first[item + 1]]
         low, high = max(0, -diagonal), min(len(theirs), len(mine) - diagonal)
         equal = theirs[low:high] == mine[low + diagonal : high + diagonal]
-        score = np.concatenate([[0], np.cumsum(np.where(equal, 1, -PENALTY))])
+        needs = min(LEAST_WORDS, math.ceil(LEAST_SHARE * len(theirs)))
+        for start, end, n_equal in best_runs(equal, needs):
+            out.append((row, item, low + diagonal + start, low + diagonal + end, n_equal, end - start))
+    return out
+
+
+def best_runs(equal: np.ndarray, needs: int) -> list[tuple[int, int, int]]:
+    """The runs of a diagonal with ``needs`` equal words: the best one, then the best beside it on either side, and so on; by start."""
+    found, parts = [], [(0, len(equal))]
+    while parts:
+        low, high = parts.pop()
+        if int(equal[low:high].sum()) < needs:
+            continue
+        score = np.concatenate([[0], np.cumsum(np.where(equal[low:high], 1, -PENALTY))])
         gain = score - np.minimum.accumulate(score)
         end = int(np.argmax(gain))
         start = int(np.flatnonzero(score[: end + 1] == score[: end + 1].min())[-1])
-        n_equal = int(equal[start:end].sum())
-        if n_equal >= min(LEAST_WORDS, math.ceil(LEAST_SHARE * len(theirs))):
-            out.append((row, item, low + diagonal + start, low + diagonal + end, n_equal, end - start))
-    return out
+        n_equal = int(equal[low + start : low + end].sum())
+        if n_equal >= needs:
+            found.append((low + start, low + end, n_equal))
+        if end > start:
+            parts += [(low, low + start), (low + end, high)]
+    return sorted(found)
 
 
 def blocks(benchmark: DataFrame, item: str, text: str, block_words: int) -> Iterator[tuple[list[int], list[str]]]:
@@ -108,7 +125,7 @@ def blocks(benchmark: DataFrame, item: str, text: str, block_words: int) -> Iter
 def mark(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", out: str = "overlaps", block_words: int = BLOCK_WORDS) -> DataFrame:
     """Add ``out``, the overlaps of each row with benchmark items: spans in characters, equal words and words.
 
-    An overlap is an ungapped run on one diagonal with at least
+    An overlap is an ungapped run on one diagonal (which may hold several) with at least
     :data:`LEAST_WORDS` equal words (of a shorter item, :data:`LEAST_SHARE` of
     them), where every changed word is outweighed by :data:`PENALTY` equal ones.
     A null or empty text has none, repeated rows are treated alike; an item
@@ -141,6 +158,8 @@ _ARROW = pa.list_(pa.struct([(f.name, pa.int64()) for f in OVERLAP]))
 
 
 def clean(df: DataFrame, benchmark: DataFrame, **kwargs) -> DataFrame:
-    """The rows without an overlap."""
-    marked = mark(df, benchmark, out="__overlaps", **kwargs)
-    return marked.filter(F.size("__overlaps") == 0).drop("__overlaps")
+    """The rows without an overlap, all columns as they were."""
+    free = "_overlaps"
+    while free in df.columns:
+        free += "_"
+    return mark(df, benchmark, out=free, **kwargs).filter(F.size(f"`{free}`") == 0).drop(free)

@@ -249,3 +249,33 @@ def test_many_spans_and_clashing_names(spark):
     got = {r["doc_id"]: r for r in S.remove_repeats(df, text="t", run=1, reach=None).collect()}
     assert got[2]["row"] == "b" and got[2]["k"] == 8 and len(got[2]["removed"]) == 8000 and got[2]["t"].startswith("own0a") and "line" not in got[2]["t"]
     assert got[1]["removed"] == [] and got[3]["t"] is None and got[3]["removed"] == []
+
+
+def test_short_items_are_found_with_any_word_changed():
+    rng = random.Random(11)
+    for n in range(D.LEAST_ITEM, 10):
+        item = [f"y{rng.randint(0, 10**6)}" for _ in range(n)]
+        index = D.index_items([1], [" ".join(item)])
+        for at in range(n):
+            text = ["pre", *item, "post"]
+            text[1 + at] = "other"
+            found = D.overlaps(W.words(pa.array([" ".join(text)])), index)
+            # The longer side of the changed word, and the other side where it outweighs the change.
+            sides = sorted([at, n - 1 - at])
+            assert bool(found) == (sides[1] + (sides[0] if sides[0] > D.PENALTY else 0) >= -(-8 * n // 10))
+    assert D.overlaps(W.words(pa.array(["a b c d x f g h i"])), D.index_items([1], ["a b c d e f g h i"]))
+
+
+def test_all_overlaps_of_a_diagonal_are_returned():
+    rng = random.Random(12)
+    item = [f"z{rng.randint(0, 10**6)}" for _ in range(100)]
+    text = item[:20] + [f"o{i}" for i in range(25)] + item[45:85] + [f"p{i}" for i in range(15)]
+    found = D.overlaps(W.words(pa.array([" ".join(text)])), D.index_items([1], [" ".join(item)]))
+    assert [f[2:] for f in found] == [(0, 20, 20, 20), (45, 85, 40, 40)]
+    assert D.best_runs(np.array([True] * 40 + [False] * 10 + [True] * 20), 13) == [(0, 40, 40), (50, 70, 20)]
+
+
+def test_clean_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "nothing here", "a", "b")], "doc_id long, text string, __overlaps string, _overlaps string")
+    bench = spark.createDataFrame([(1, "five words of an item")], "item_id long, text string")
+    assert D.clean(df, bench).columns == df.columns and D.clean(df, bench).collect() == df.collect()
