@@ -14,12 +14,13 @@ Plan. One key may hold a large part of all rows, so nothing is grouped by key.
    all that adjacency needs.
 3. Positions are cut into chunks. A chunk also receives the first rows of the
    next one (as many as a match can reach), so each start finds its match end
-   inside one chunk.
+   inside one chunk. Where an open-ended rule reaches further than a chunk, ends
+   are found by lookups in the order of positions instead (``_far_candidates``).
 4. Which of the overlapping candidates survive depends on where the previous
-   match ended. Each chunk reports, for every place at which a match from the
-   chunk before may end, where its own last match ends; these small maps are
+   match ended. Each chunk reports, for every place at which a match from an
+   earlier chunk may end, where its own last match ends; these maps are
    composed first within groups of chunks, then over the groups, and give each
-   chunk its true entry.
+   chunk its true entry. A match may be longer than a chunk, or than a group.
 """
 
 from __future__ import annotations
@@ -32,12 +33,13 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fields import field
 from ..functions.predicates import match
 from ..session import LOCAL_TZ, stage
+from .asof import as_of, with_last_known
 from .ordering import with_positions
 
 Rule = Mapping[str, Any]
@@ -250,6 +252,70 @@ def _repeat_candidates(rows: DataFrame, rule: Rule, mask: str, keys: Sequence[st
     return found.join(last, "stop").select("rule_id", "start", "stop", *_LAST_ROW)
 
 
+def _far_candidates(rows: DataFrame, rule: Rule, mask: str, keys: Sequence[str]) -> DataFrame:
+    """Matches of any length with variable repeats, by lookups in the order of positions.
+
+    Where the rest of a match from a step on may begin is a set of rows, and the
+    earliest end of that rest never decreases along it: it belongs to the first
+    row of the set for the next step. So the earliest ends take one lookup per
+    step, from the last one back, and the longest-first choice takes the last
+    row of the set that leaves room for the rest. A task holds one row at a time.
+    """
+    steps = [(p["qmin"], p["qmax"]) for p in rule["patterns"]]
+    last = len(steps) - 1
+    pos = F.col("pos")
+
+    def up_to(start: Column, high: int | None, *others: Column) -> Column:
+        room = [*others, *([] if high is None else [start + high])]
+        return F.least(*room) if len(room) > 1 else room[0]
+
+    # The number only has to differ between neighbouring keys.
+    key = F.xxhash64(*[F.coalesce(F.concat(F.lit("="), k), F.lit("-")) for k in keys])
+    slim = rows.where(F.col(mask) > 0).select("pos", F.unix_micros("ts").alias("micros"), F.col(mask).alias("mask"), key.alias("key"))
+    behind = slim.select((pos - 1).alias("pos"), F.col("key").alias("next_key"), F.col("mask").alias("next_mask"))
+    goes_on = F.coalesce(F.col("next_key") == F.col("key"), F.lit(False))
+    ends = {"block": F.when(~goes_on, pos + 1)}
+    for k in range(len(steps)):
+        ends[f"stop_{k}"] = F.when(~(goes_on & (F.col("next_mask").bitwiseAND(F.lit(1 << k)) != 0)), pos + 1)
+    runs = stage(with_last_known(slim.join(behind, "pos", "left"), [-pos], ends).drop("next_key", "next_mask"), "runs")
+
+    def fitting(k: int) -> DataFrame:
+        """Rows with enough repeats of the step."""
+        enough = F.col(f"stop_{k}") - pos >= steps[k][0]
+        return runs.where((F.col("mask").bitwiseAND(F.lit(1 << k)) != 0) & enough).select(
+            "pos", "micros", "block", F.col(f"stop_{k}").alias("stop")
+        )
+
+    # Per step: the rows from which it and all later ones can be taken, with the earliest end of those.
+    begins = {last: fitting(last).withColumn("least", pos + steps[last][0])}
+    for k in range(last - 1, -1, -1):
+        low, high = steps[k]
+        after = begins[k + 1].select("pos", "least", (-pos).alias("seek"))
+        found = as_of(fitting(k).withColumn("seek", -(pos + low)), after, "seek", {"pos": "next", "least": "least"})
+        begins[k] = stage(found.where(F.col("next") <= up_to(pos, high, F.col("stop"))).drop("seek", "next"), "begins")
+
+    # A row too late for a match: the first one of the block at or beyond the time limit.
+    late = runs.select("block", (-F.col("micros")).alias("seek"), (-pos).alias("first"))
+    limit = -(F.col("micros") + rule["within_s"] * _MICROS)
+    timed = as_of(begins[0].withColumn("seek", limit), late, "seek", {"first": "late"}, group=["block"])
+    at = timed.withColumn("bound", F.coalesce(-F.col("late"), F.col("block"))).where("least <= bound").select(
+        pos.alias("start"), "pos", "stop", "bound"
+    )
+    for k in range(1, last + 1):
+        top = up_to(pos, steps[k - 1][1], F.col("stop"))
+        if k == last:
+            top = F.least(top, F.col("bound") - steps[k][0])
+        else:
+            by_end = begins[k].select(F.col("least").alias("seek"), "pos")
+            at = as_of(at.withColumn("seek", F.col("bound")), by_end, "seek", {"pos": "fits"})
+            top = F.least(top, F.col("fits"))
+        there = begins[k].select(pos.alias("seek"), "pos", "stop")
+        at = as_of(at.select("start", "bound", top.alias("seek")), there, "seek", {"pos": "pos", "stop": "stop"})
+    stop = up_to(pos, steps[last][1], F.col("stop"), F.col("bound")) - 1
+    rear = rows.where(F.col(mask) > 0).select(pos.alias("stop"), *_LAST_ROW)
+    return at.select(F.lit(rule["rule_id"]).alias("rule_id"), "start", stop.alias("stop")).join(rear, "stop").select("rule_id", "start", "stop", *_LAST_ROW)
+
+
 def _walk(starts: Sequence[int], stops: Sequence[int], free: int) -> Iterator[int]:
     """Indexes of the candidates taken from left to right when the first free position is ``free``."""
     for i, (start, stop) in enumerate(zip(starts, stops)):
@@ -281,23 +347,30 @@ def _follow(rows: pd.DataFrame, entry: int, chunk: int) -> tuple[list[int], int]
     """Entry of each chunk, and the exit after the last one, when the first chunk is entered at ``entry``."""
     got, free = [], entry
     for number, entries, exits in zip(rows["chunk"], rows["entries"], rows["exits"]):
-        first = number * chunk
-        # Chunks without candidates are not listed: a match cannot reach past one.
-        free = free if free > first and free in set(entries) else first
+        # Chunks without candidates and ends are not listed. A place in a chunk is among its entries;
+        # any other one lies behind it, and the match that ends there covers the chunk.
+        free = max(free, number * chunk)
         got.append(free)
-        free = dict(zip(entries, exits))[free]
+        free = dict(zip(entries, exits)).get(free, free)
     return got, free
 
 
 def _group_map(pdf: pd.DataFrame, chunk: int) -> pd.DataFrame:
-    """The maps of a group of chunks composed into one."""
+    """The maps of a group of chunks composed into one, for entries at any place of the group."""
     pdf = pdf.sort_values("chunk")
-    entries = list(pdf["entries"].iloc[0])
-    exits = [_follow(pdf, int(e), chunk)[1] for e in entries]
-    head = pdf.iloc[0]
+    numbers = pdf["chunk"].tolist()
+    final: dict[int, int] = {}
+    for entries, exits in zip(pdf["entries"][::-1], pdf["exits"][::-1]):
+        ahead = {}
+        for entry, leave in zip(entries, exits):
+            i = bisect.bisect_left(numbers, leave // chunk)
+            ahead[entry] = final[max(leave, numbers[i] * chunk)] if i < len(numbers) else leave
+        # An entry right behind a chunk is the first place of the next one, which is known already.
+        final = {**ahead, **final}
+    head, entries = pdf.iloc[0], sorted(final)
     return pd.DataFrame({
         "rule_id": [head["rule_id"]], "grp": [head["grp"]], "first": [head["chunk"]],
-        "entries": [entries], "exits": [exits],
+        "entries": [entries], "exits": [[final[e] for e in entries]],
     })
 
 
@@ -317,12 +390,13 @@ def _chunk_entries(pdf: pd.DataFrame, chunk: int) -> pd.DataFrame:
 def without_overlap(candidates: DataFrame, chunk: int = CHUNK, per_group: int = CHUNKS_PER_GROUP) -> DataFrame:
     """Leftmost matches that do not overlap, of candidates ``(rule_id, start, stop, …)``.
 
-    No candidate may be longer than ``chunk``. No task sees more than one chunk
-    of candidates, or one row per chunk of a group.
+    No task sees more than one chunk of candidates, or the maps of one group of
+    chunks: a row per chunk, with as many entries as places in it at which
+    matches from earlier chunks end.
     """
     candidates = candidates.withColumn("chunk", F.floor(F.col("start") / chunk))
     spill = candidates.where(F.floor(F.col("stop") / chunk) > F.col("chunk"))
-    incoming = spill.select("rule_id", (F.col("chunk") + 1).alias("chunk"), "start", "stop", F.lit(True).alias("incoming"))
+    incoming = spill.select("rule_id", F.floor(F.col("stop") / chunk).alias("chunk"), "start", "stop", F.lit(True).alias("incoming"))
     own = candidates.select("rule_id", "chunk", "start", "stop", F.lit(False).alias("incoming"))
     maps = (
         own.unionByName(incoming.distinct())
@@ -362,10 +436,14 @@ def _one_key_list(events: DataFrame, rules: Sequence[Rule], by: Sequence[str], t
     rows = _numbered(events, rules, by, tz)
     masks = {f"mask_{i}": r for i, r in enumerate(rules)}
     reach = {m: _reach(rows, r, m, keys) for m, r in masks.items()}
-    chunk = max(chunk, *reach.values())
+    chunk = max(chunk, *[reach[m] for m, r in masks.items() if longest(r) is not None], 1)
     exact = {m: r for m, r in masks.items() if is_exact(r)}
     found = [_exact_candidates(rows, exact, keys, chunk)] if exact else []
-    found += [_repeat_candidates(rows, r, m, keys, chunk, reach[m]) for m, r in masks.items() if m not in exact]
+    for m, r in masks.items():
+        if m in exact:
+            continue
+        near = reach[m] <= chunk
+        found.append(_repeat_candidates(rows, r, m, keys, chunk, reach[m]) if near else _far_candidates(rows, r, m, keys))
     candidates = stage(functools.reduce(DataFrame.unionByName, found), "candidates")
     return without_overlap(candidates, chunk, per_group)
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from duskwatch.operators import detect as DT
 from duskwatch.operators import rules as R
 from duskwatch.operators import sequence as S
+from duskwatch.operators.asof import as_of
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -88,6 +89,30 @@ def test_chunk_maps_compose_to_one_walk(pairs, chunk, per_group):
     assert sorted(got) == want
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 80), st.integers(0, 50)), max_size=40), st.integers(3, 9), st.integers(1, 4))
+def test_chunk_maps_compose_with_matches_over_many_chunks(pairs, chunk, per_group):
+    """Matches longer than a chunk, or a group of chunks, give the walk over all candidates too."""
+    import pandas as pd
+
+    cands = sorted({a: (a, a + n) for a, n in pairs}.values())
+    want = [cands[i] for i in S._walk([a for a, _ in cands], [b for _, b in cands], 0)]
+    rows = [("r", a // chunk, a, b, False) for a, b in cands] + [("r", b // chunk, a, b, True) for a, b in cands if b // chunk > a // chunk]
+    if not rows:
+        return
+    table = pd.DataFrame(rows, columns=["rule_id", "chunk", "start", "stop", "incoming"])
+    maps = pd.concat([S._chunk_map(g, chunk) for _, g in table.groupby("chunk")])
+    maps["grp"] = maps["chunk"] // per_group
+    groups = pd.concat([S._group_map(g, chunk) for _, g in maps.groupby("grp")])
+    entered = S._group_entries(groups, chunk)
+    entries = pd.concat([S._chunk_entries(g, chunk) for _, g in maps.merge(entered, on=["rule_id", "grp"]).groupby("grp")])
+    got = []
+    for number, entry in zip(entries["chunk"], entries["entry"]):
+        own = [c for c in cands if c[0] // chunk == number]
+        got += [own[i] for i in S._walk([a for a, _ in own], [b for _, b in own], entry)]
+    assert sorted(got) == want
+
+
 def rule(**doc):
     return {"id": "seq", "name": "seq", "enabled": True, "cep": {"enabled": True}, **doc}
 
@@ -101,6 +126,8 @@ RULES = {
     "overlapping": rule(within="60s", patterns=[step(1, "A"), step(2, "A")]),
     "bounded": rule(within="60s", patterns=[step(1, "A", min=1, max=3), step(2, "B", min=2, max=2)]),
     "open": rule(within="40s", patterns=[step(1, "A", min=2), step(2, "B")]),
+    "open_last": rule(within="90s", patterns=[step(1, "A", min=3)]),
+    "open_three": rule(within="200s", patterns=[step(1, "A", min=1), step(2, "B", min=1, max=2), step(3, "A", min=2)]),
 }
 
 
@@ -160,3 +187,32 @@ def test_alert_ids_are_stable_and_unique(spark):
     compiled = R.collect_rules(R.rules_frame(spark, [RULES["bounded"]]))
     ids = [sorted(r.alert_id for r in DT.detect(events(spark, rows), compiled).collect()) for _ in range(2)]
     assert ids[0] == ids[1] and len(set(ids[0])) == len(ids[0]) > 0
+
+
+def test_hot_key_with_matches_over_many_chunks(spark):
+    """One user with nearly all rows and a limit far beyond a chunk: ends come from lookups, alike for every rule."""
+    rnd = random.Random(3)
+    rows = [("hot" if rnd.random() < 0.95 else "x", s, rnd.choices("ABC", (30, 3, 1))[0]) for s in range(600)]
+    for i, patterns in enumerate([
+        [step(1, "A", min=2)],
+        [step(1, "A", min=2), step(2, "B")],
+        [step(1, "A", min=1), step(2, "B", min=1), step(3, "A", min=2, max=9)],
+        [step(1, "A", min=1), step(2, "B", min=1, max=2), step(3, "A", min=1), step(4, "B")],
+    ]):
+        compiled = R.collect_rules(R.rules_frame(spark, [rule(within=f"{60 + 90 * i}s", patterns=patterns)]))
+        got = S.detect_sequence(events(spark, rows), compiled, chunk=8, per_group=3).collect()
+        assert sorted((r.user_id, r.cnt, r.hostname) for r in got) == expected(rows, compiled[0])
+
+
+def test_as_of_finds_the_last_point_of_its_group(spark):
+    rnd = random.Random(4)
+    points = [("hot" if rnd.random() < 0.8 else rnd.choice("xy"), rnd.randrange(100), rnd.choice([None, 1, 2])) for _ in range(60)]
+    asked = [(i, rnd.choice(["hot", "x", "y", "none", None]), rnd.choice([None, *range(0, 110, 3)])) for i in range(200)]
+    got = as_of(
+        spark.createDataFrame(asked, "id int, g string, at int"), spark.createDataFrame(points, "g string, at int, v int"),
+        "at", {"at": "found", "v": "v"}, group=["g"],
+    )
+    def best(g, at):
+        fit = [(a, v) for k, a, v in points if at is not None and k == g and a <= at]
+        return max(fit, key=lambda p: (p[0], -1 if p[1] is None else p[1]), default=(None, None))
+    assert sorted((r.id, r.found, r.v) for r in got.collect()) == [(i, *best(g, at)) for i, g, at in asked]
