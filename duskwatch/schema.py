@@ -59,6 +59,11 @@ BASELINE_DDL = """
     mean double, stddev double, sample_days int, updated date
 """
 
+#: Counters of a day, and what rules they are of.
+COUNTER_DDL = """
+    user_id string, kind string, name string, text string, n bigint, number double, made_by string, day date
+"""
+
 SCORE_DDL = """
     user_id string, day date, hour int, ts timestamp, risk_score double, risk_level string, status string,
     rule_score double, rule_scores map<string,double>, anomaly_score double, daily_score double,

@@ -142,6 +142,52 @@ def test_rescoring_after_a_rule_change(spark, small, tmp_path):
     assert after[0] > before[0] and after[1] == before[1]
 
 
+def test_daily_job_reads_events_of_new_days_alone(spark, small, tmp_path, monkeypatch):
+    """A run reads its own day and the one before; a change of weights reads counters, a change of what is counted its day."""
+    rules, settings = scoring(spark)
+    log, asked = str(tmp_path / "log"), []
+    stores.write_event_log(D.events(spark, small), log)
+    job = DailyJob(log, str(tmp_path / "baselines"), str(tmp_path / "scores"), settings)
+    read = DailyJob.log
+    monkeypatch.setattr(DailyJob, "log", lambda self, spark, first, last: asked.append((first, last)) or read(self, spark, first, last))
+    profiles = D.user_profiles(spark, small)
+    job.run(spark, rules, profiles, "2024-01-29")
+    assert asked[0] == ("2024-01-28", "2024-01-29") and asked[1:] == [("2024-01-22", "2024-01-27")]
+    asked.clear()
+    job.run(spark, rules, profiles, "2024-01-30")
+    assert asked == [("2024-01-29", "2024-01-30")]
+    asked.clear()
+    job.score(spark, [{**r, "weight": 3 * r["weight"]} for r in rules], profiles, "2024-01-30")
+    assert asked == []
+    job.score(spark, rules[1:], profiles, "2024-01-30")
+    assert asked == [("2024-01-30", "2024-01-30")]
+    known = {(r.user_id, r.msg_id): (r.mean, r.stddev, r.sample_days) for r in job.baselines(spark, "2024-01-30").where("scope = 'user'").collect()}
+    fresh = B.baselines(B.window_counts(D.events(spark, small), "2024-01-30", 7), "2024-01-30", 7).collect()
+    assert known.items() >= {(r.user_id, r.msg_id): (r.mean, r.stddev, r.sample_days) for r in fresh}.items()
+
+
+def test_sketches_add_up_over_batches_and_days(spark):
+    """Two overlapping batches and three days: the union is within the bound of error, per day and over all days."""
+    spec = next(r for r in scoring(spark)[0] if r["agg_type"] == "cardinality")
+    compiled = [spec]
+    ids = spark.range(60_000).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1704200000) + (F.col("id") % 3) * 86400).alias("ts"),
+        F.lit(spec["scored"]["msg_id"]).alias("msg_id"), F.lit("h").alias("hostname"), F.lit("app").alias("app_name"),
+        F.when(F.col("id") % 10 < 7, "hot").otherwise("u").alias("user_id"), F.lit("n").alias("user_name"), F.lit("ip").alias("user_ip"),
+        F.create_map(F.lit(spec["agg_field"]), (F.col("id") % 20_000).cast("string")).alias("ext"),
+    )
+    first, second = ids.where("event_id < 40000"), ids.where("event_id >= 30000")
+    parts = B.sketches(first, compiled).unionByName(B.sketches(second, compiled))
+    exact = {(r.user_id, r.day): r.value for r in B.rule_values(ids, compiled).collect()}
+    near = {(r.user_id, r.day): r.value for r in B.sketched_values(B.merged_sketches(parts)).collect()}
+    assert exact.keys() == near.keys() and len(exact) == 6
+    assert all(abs(near[k] - v) <= 0.06 * v for k, v in exact.items())
+    over = {r.user_id: r.value for r in B.sketched_values(B.merged_sketches(parts, "user_id", "kind", "name")).collect()}
+    assert abs(over["hot"] - 14_000) <= 0.06 * 14_000 and abs(over["u"] - 6_000) <= 0.06 * 6_000
+    plan = B.sketches(ids, compiled)._jdf.queryExecution().executedPlan().toString()
+    assert "text" not in plan.split("Exchange hashpartitioning(")[1].split(")")[0]
+
+
 def test_alert_writes_are_idempotent_and_take_a_default_time(spark, small, tmp_path):
     rules = R.collect_rules(R.rules_frame(spark, D.DETECTION_RULES[:2]))
     alerts = DT.detect(D.events(spark, small), rules)
