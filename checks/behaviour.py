@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from duskwatch import datasets as D
 from duskwatch.operators import behaviour as B
 from duskwatch.operators import catalog, reports
+from duskwatch.session import stage
 
 from . import EV, SNAP, query, with_
 from .detection import compiled
@@ -46,6 +47,15 @@ def rule_values(spark, d):
     return out.select("user_id", "rule_id", "day", (F.round(F.col("value") * 100) / 100).alias("value"))
 
 
+@query("distinct_over_days", with_(EV) + """
+SELECT user_id, CAST(count(DISTINCT k) AS DOUBLE) AS value, CAST(count(DISTINCT day) AS BIGINT) AS days FROM ev WHERE act = 'click' GROUP BY user_id""")
+def distinct_over_days(spark, d):
+    """Distinct values over all days from the sketches of each day; below a few hundred values a sketch is exact."""
+    daily = stage(B.sketches(D.events(spark, d), compiled(spark, [r for r in D.SCORING_RULES if r["id"] == "click_spread"])), "sketches")
+    days = daily.groupBy("user_id").agg(F.count("*").alias("days"))
+    return B.sketched_values(B.merged_sketches(daily, "user_id", "kind")).join(days, "user_id").select("user_id", "value", "days")
+
+
 @query("event_counts", with_(EV) + "SELECT user_id, msg_id, strftime(day, '%Y-%m-%d') AS day, count(*) AS cnt FROM ev GROUP BY ALL")
 def event_counts(spark, d):
     return B.event_counts(D.events(spark, d))
