@@ -11,11 +11,13 @@ from duskwatch.streaming.scores import ScoreStream, current_scores
 
 from . import EV, PROFILES, SNAP, query, with_
 from .behaviour import CNT, VALUES, WEEK
-from .detection import BOTH, BURST, EITHER, HOSTS, REPEAT, SHOWN, SINGLE, compiled, shown
+from .detection import _PAIR, _PAIR_ALERTS, _ROWS, _RUN, _RUN_ALERTS, _TRIPLE, _TRIPLE_ALERTS, BOTH, BURST, EITHER, HOSTS, REPEAT, SHOWN, SINGLE, compiled, shown
 from .scoring import CTX, DAILY, LOOKED, PREV, SETTINGS, WEIGHTED, _known
 
 #: The last windows stay open until the watermark, ten minutes behind the newest event, has passed them.
 CLOSED = "ts <= (SELECT max(ts) FROM ev) - INTERVAL 10 MINUTE"
+#: Rows in order are settled before the watermark, which counts milliseconds.
+SETTLED = "ts < (SELECT date_trunc('milliseconds', max(ts)) FROM ev) - INTERVAL 10 MINUTE"
 
 
 def stream(spark, sf_dir):
@@ -42,11 +44,21 @@ def stream_window_rules(spark, d):
     return drained(spark, SD.detect_stream(stream(spark, d), rules), "alerts").select(*SHOWN)
 
 
-@query("stream_sequence")
-def stream_sequence(spark, d):
+def ordered_stream(spark, d, *ids):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    rules = compiled(spark, D.SEQUENCE_RULES, "error_then_purchase")
-    return drained(spark, SD.detect_stream(stream(spark, d), rules), "alerts").select(*SHOWN)
+    return drained(spark, SD.detect_stream(stream(spark, d), compiled(spark, D.SEQUENCE_RULES, *ids)), "alerts").select(*SHOWN)
+
+
+@query("stream_sequence", with_(EV, _ROWS, _PAIR) + shown(f"SELECT * FROM ({_PAIR_ALERTS}) WHERE {SETTLED}"))
+def stream_sequence(spark, d):
+    return ordered_stream(spark, d, "error_then_purchase")
+
+
+# Of these rules a match is decided with its last row.
+@query("stream_sequences", with_(EV, _ROWS, _PAIR, _TRIPLE, _RUN) + shown(f"SELECT * FROM ({_PAIR_ALERTS} UNION ALL {_TRIPLE_ALERTS} UNION ALL {_RUN_ALERTS}) WHERE {SETTLED}"))
+def stream_sequences(spark, d):
+    """Fixed and variable repeats in one keyed operator."""
+    return ordered_stream(spark, d, "error_then_purchase", "three_allowed", "allowed_then_blocked")
 
 
 def score_stream(spark, d):

@@ -45,7 +45,7 @@ def detect_stream(events: DataFrame, rules: Sequence[Rule], tz: str = LOCAL_TZ)
     """Alerts of all rules from a watermarked stream (``prepared``), in append mode.
 
     Per-event rules share one pass without state; each window width is one
-    stateful aggregate; each ordered rule is one keyed operator.
+    stateful aggregate; the ordered rules of a key list are one keyed operator.
     """
     parts = []
     rows = of_kind(rules, *ROW_KINDS)
@@ -55,5 +55,8 @@ def detect_stream(events: DataFrame, rules: Sequence[Rule], tz: str = LOCAL_TZ)
     for rule in of_kind(rules, *WINDOW_KINDS):
         widths.setdefault(rule["within_s"], []).append(rule)
     parts += [window_stream(events, rs, w, tz) for w, rs in widths.items()]
-    parts += [sequence_stream(events, r, tz) for r in of_kind(rules, "sequence")]
+    key_lists: dict[tuple[str, ...], list[Rule]] = {}
+    for rule in of_kind(rules, "sequence"):
+        key_lists.setdefault(tuple(rule["by"]), []).append(rule)
+    parts += [sequence_stream(events, rs, tz) for rs in key_lists.values()]
     return to_alerts(functools.reduce(DataFrame.unionByName, parts), rules)

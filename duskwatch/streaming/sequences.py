@@ -4,107 +4,131 @@ from __future__ import annotations
 
 import functools
 import operator
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from typing import Any
 
-import numpy as np
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.fields import field
 from ..functions.predicates import match
-from ..operators.sequence import longest, match_ends
 from ..session import LOCAL_TZ
+from .partial import OPEN_DDL, PartialMatches, moves_of
 
 _MICROS = 1_000_000
-_PENDING = "micros bigint, event_id bigint, mask bigint, user_id string, hostname string, user_ip string"
+#: Waiting rows are kept by stretches of this length; a timer reads those that the watermark has reached.
+STRETCH = 60 * _MICROS
+_WAITING = "rows array<struct<micros:bigint,event_id:bigint,masks:array<bigint>,user_id:string,hostname:string,user_ip:string>>"
+_FOUND = "rule_id string, user_id string, hostname string, user_ip string, cnt bigint, micros bigint, event_id bigint"
 
 
 class SequenceProcessor(StatefulProcessor):
-    """Keeps the undecided rows of a key and runs the batch matcher over settled ones.
+    """All ordered rules of one key list.
 
-    A row is settled when the watermark has passed it. A start is decided once
-    every row its match could use is settled: its time limit has passed, or as
-    many rows as the longest match needs are there. Decided rows leave the state.
+    A row waits until the watermark has passed it. Then it moves the partial
+    matches of each rule once and leaves the state, so a timer reads the rows
+    that have become settled and the partial matches, not the rows that wait.
+    A match is put out when no preferred one is possible any more.
     """
 
-    def __init__(self, rule: Mapping[str, Any]):
-        self.rule_id = rule["rule_id"]
-        self.within = rule["within_s"] * _MICROS
-        self.quantifiers = [(p["qmin"], p["qmax"]) for p in rule["patterns"]]
-        self.longest = longest(rule)
+    def __init__(self, rules: Sequence[Mapping[str, Any]]):
+        self.rules = [(r["rule_id"], r["within_s"] * _MICROS, moves_of(r)) for r in rules]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getListState("pending", _PENDING)
+        self.waiting = handle.getMapState("waiting", "stretch bigint", _WAITING)
+        self.open = handle.getMapState("open", "rule int", OPEN_DDL)
+        self.due = handle.getValueState("due", "ms bigint")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        fresh = [(r.micros, r.event_id, r.mask, r.user_id, r.hostname, r.user_ip) for r in rows]
+        fresh: dict[int, list[tuple]] = {}
+        for r in rows:
+            fresh.setdefault(r.micros // STRETCH, []).append((r.micros, r.event_id, list(r.masks), r.user_id, r.hostname, r.user_ip))
+        for stretch, more in fresh.items():
+            self.waiting.updateValue((stretch,), (self._rows(stretch) + more,))
         if fresh:
-            self.pending.appendList(fresh)
             # The first moment at which one of these rows is settled.
-            self.handle.registerTimer(min(r[0] for r in fresh) // 1000 + 1)
+            self._wake(min(r[0] for more in fresh.values() for r in more))
         return iter([])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted((tuple(r) for r in self.pending.get()), key=lambda r: (r[0], r[1]))
-        settled = sum(1 for r in rows if r[0] < mark)
-        micros = np.array([r[0] for r in rows[:settled]], dtype=np.int64)
-        mask = np.array([r[2] for r in rows[:settled]], dtype=np.int64)
-        ends = match_ends(
-            np.arange(settled), micros, mask, np.zeros(settled, dtype=bool), self.quantifiers, self.within
-        )
-        out, at = [], 0
-        while at < settled:
-            if mask[at] & 1:
-                enough = self.longest is not None and at + self.longest <= settled
-                if not enough and mark < micros[at] + self.within:
-                    break
-                if ends[at] >= 0:
-                    last = rows[int(ends[at])]
-                    out.append(Row(
-                        rule_id=self.rule_id, user_id=last[3], hostname=last[4], user_ip=last[5],
-                        cnt=int(ends[at]) - at + 1, micros=last[0], event_id=last[1],
-                    ))
-                    at = int(ends[at])
-            at += 1
-        kept = rows[at:]
-        if kept:
-            self.pending.put(kept)
-            if at < settled:
-                due = int(micros[at]) + self.within
-                later = [r[0] for r in rows[settled:]]
-                if self.longest is not None and later:
-                    due = min(due, min(later))
-            else:
-                due = kept[0][0]
-            self.handle.registerTimer(max(due, mark) // 1000 + 1)
-        else:
-            self.pending.clear()
+        self.due.clear()
+        settled, moments = self._settled(mark)
+        out = []
+        for i, (rule_id, within, moves) in enumerate(self.rules):
+            before = self.open.getValue((i,))
+            if before is None and not any(r[2][i] & 1 for r in settled):
+                continue
+            partial = PartialMatches(moves, within, before)
+            found = partial.feed([(r[0], r[2][i], (r[0], r[1], *r[3:])) for r in settled]) + partial.settle(mark)
+            for cnt, (micros, event_id, user, host, ip) in found:
+                out.append(Row(rule_id=rule_id, user_id=user, hostname=host, user_ip=ip, cnt=cnt, micros=micros, event_id=event_id))
+            after = partial.stored()
+            if after is not None:
+                self.open.updateValue((i,), after)
+                moments.append(partial.due())
+            elif before is not None:
+                self.open.removeKey((i,))
+        if moments:
+            self._wake(max(min(moments), mark))
         return iter(out)
 
     def close(self) -> None:
         pass
 
+    def _rows(self, stretch: int) -> list[tuple]:
+        held = self.waiting.getValue((stretch,))
+        return [] if held is None else [(r[0], r[1], list(r[2]), *tuple(r)[3:]) for r in held[0]]
+
+    def _settled(self, mark: int) -> tuple[list[tuple], list[int]]:
+        """Rows before ``mark`` in order, taken out of the state, and when further rows are settled."""
+        settled, moments = [], []
+        for stretch in sorted(k[0] for k in self.waiting.keys()):
+            if stretch * STRETCH >= mark:
+                moments.append(stretch * STRETCH)
+                break
+            rows = self._rows(stretch)
+            settled += [r for r in rows if r[0] < mark]
+            later = [r for r in rows if r[0] >= mark]
+            if later:
+                self.waiting.updateValue((stretch,), (later,))
+                moments.append(min(r[0] for r in later))
+            else:
+                self.waiting.removeKey((stretch,))
+        return sorted(settled, key=lambda r: r[:2]), moments
+
+    def _wake(self, micros: int) -> None:
+        """Keep one timer per key, the earliest."""
+        ms, held = micros // 1000 + 1, self.due.get()
+        if held is not None and held[0] <= ms:
+            return
+        if held is not None:
+            self.handle.deleteTimer(held[0])
+        self.due.update((ms,))
+        self.handle.registerTimer(ms)
+
+
+def _mask(rule: Mapping[str, Any], tz: str) -> Column:
+    bits = [F.when(match(p, tz), F.lit(1 << i)).otherwise(F.lit(0)) for i, p in enumerate(rule["patterns"])]
+    return functools.reduce(operator.add, bits).cast("bigint")
 
-def sequence_stream(events: DataFrame, rule: Mapping[str, Any], tz: str = LOCAL_TZ) -> DataFrame:
-    """Matches of one ordered rule from a watermarked stream.
 
-    Needs the RocksDB state store provider. A key is one task of a micro-batch;
-    its state holds the rows of at most ``within`` plus the watermark delay.
+def sequence_stream(events: DataFrame, rules: Sequence[Mapping[str, Any]], tz: str = LOCAL_TZ) -> DataFrame:
+    """Matches of ordered rules with one key list from a watermarked stream, in one keyed operator.
+
+    Needs the RocksDB state store provider. A key is one task of a micro-batch.
+    Its state holds the rows that the watermark has not reached, and per rule the
+    starts of the last ``within`` that are not decided.
     """
     # A null and an empty key are two keys, as in a batch.
-    keys = [F.coalesce(F.concat(F.lit("="), field(name, tz).cast("string")), F.lit("-")).alias(f"key_{i}") for i, name in enumerate(rule["by"])]
-    bits = [F.when(match(p, tz), F.lit(1 << i)).otherwise(F.lit(0)) for i, p in enumerate(rule["patterns"])]
-    mask = functools.reduce(operator.add, bits).cast("bigint")
-    rows = events.select(*keys, "ts", F.unix_micros("ts").alias("micros"), "event_id", mask.alias("mask"), "user_id", "hostname", "user_ip")
+    names = rules[0]["by"]
+    keys = [F.coalesce(F.concat(F.lit("="), field(name, tz).cast("string")), F.lit("-")).alias(f"key_{i}") for i, name in enumerate(names)]
+    masks = F.array(*[_mask(r, tz) for r in rules]).alias("masks")
+    rows = events.select(*keys, "ts", F.unix_micros("ts").alias("micros"), "event_id", masks, "user_id", "hostname", "user_ip")
     found = rows.groupBy(*[f"key_{i}" for i in range(len(keys))]).transformWithState(
-        statefulProcessor=SequenceProcessor(rule),
-        outputStructType="rule_id string, user_id string, hostname string, user_ip string, cnt bigint, micros bigint, event_id bigint",
-        outputMode="append",
-        timeMode="eventTime",
+        statefulProcessor=SequenceProcessor(rules), outputStructType=_FOUND, outputMode="append", timeMode="eventTime",
     )
     return found.select(
         "rule_id", "user_id", "hostname", "user_ip", "cnt", F.timestamp_micros("micros").alias("ts"),

@@ -65,6 +65,14 @@ def test_sequence_stream_equals_batch(spark, small, files, tmp_path, name):
     assert got == batch and batch
 
 
+def test_ordered_rules_of_a_key_list_share_one_operator(spark, small, files, tmp_path):
+    rules = R.collect_rules(R.rules_frame(spark, D.SEQUENCE_RULES))
+    out = SD.detect_stream(stream(spark, files, per_trigger=4), rules)
+    assert out._jdf.queryExecution().analyzed().toString().count("TransformWithState") == 1
+    batch = rows(DT.detect(D.events(spark, small), rules))
+    assert rows(run(spark, out, tmp_path)) == batch and len({r[1] for r in batch}) == 4
+
+
 def test_events_sent_twice_count_once(spark, small, files, tmp_path):
     rules = R.collect_rules(R.rules_frame(spark, [r for r in D.DETECTION_RULES if r["id"] == "error_burst"]))
     twice = str(tmp_path / "twice")
