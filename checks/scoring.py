@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from duskwatch import datasets as D
@@ -9,6 +11,9 @@ from duskwatch.functions.fields import local_day
 from duskwatch.operators import behaviour as B
 from duskwatch.operators import scoring as S
 from duskwatch.operators.timeline import risk_timeline
+from duskwatch.session import stage_path
+from duskwatch.sources.newest import NewestScores
+from duskwatch.sources.stores import write_partitions
 
 from . import EV, PROFILES, SNAP, query, with_
 from .behaviour import CNT, VALUES, WEEK, r6
@@ -155,6 +160,17 @@ def prev_scores(spark, d):
     return S.prev_scores(D.snapshots(spark, d), D.AS_OF)
 
 
+@query("prev_scores_carried", with_(EV, SNAP, PREV) + "SELECT user_id, prev_score, days_since FROM prev")
+def prev_scores_carried(spark, d):
+    """The same from generations of the newest scores, each made from the one before and the days since."""
+    path = stage_path(spark, "snapshots")
+    write_partitions(D.snapshots(spark, d).select("user_id", "ts", "risk_score", "day"), path, "day")
+    newest, scores = NewestScores(stage_path(spark, "newest"), buckets=8), spark.read.parquet(path)
+    for before in (8, 1):
+        newest.before(spark, scores, (dt.date.fromisoformat(D.AS_OF) - dt.timedelta(days=before)).isoformat())
+    return S.previous_of(newest.before(spark, scores, D.AS_OF), D.AS_OF)
+
+
 DAILY = f"""
 an AS (SELECT user_id, sum({ANOM}) AS a FROM look GROUP BY user_id),
 ru AS (SELECT user_id, sum(p) AS r FROM pts WHERE day = {DAY} GROUP BY user_id),

@@ -239,13 +239,16 @@ def prev_scores(scores: DataFrame, as_of: str, now: dt.datetime | None = None, t
     of yesterday is one day old. A newest score of zero or less counts as none:
     score 0, one day.
     """
-    now = now or midnight(as_of, tz)
     newest = scores.where(F.col("ts") < F.lit(midnight(as_of, tz))).groupBy("user_id").agg(
         F.max(F.struct("ts", "risk_score")).alias("s")
     )
-    score = F.col("s.risk_score")
-    elapsed = F.unix_micros(F.lit(now)) - F.unix_micros("s.ts")
-    days = F.greatest(F.floor(elapsed / F.lit(24 * 3600 * 1_000_000)).cast("int") + 1, F.lit(1))
+    return previous_of(newest.select("user_id", "s.*"), as_of, now, tz)
+
+
+def previous_of(newest: DataFrame, as_of: str, now: dt.datetime | None = None, tz: str = LOCAL_TZ) -> DataFrame:
+    """``prev_scores`` from one row per user, the newest before the day."""
+    elapsed = F.unix_micros(F.lit(now or midnight(as_of, tz))) - F.unix_micros("ts")
+    score, days = F.col("risk_score"), F.greatest(F.floor(elapsed / F.lit(24 * 3600 * 1_000_000)).cast("int") + 1, F.lit(1))
     return newest.select(
         "user_id",
         F.when(score > 0, score).otherwise(0.0).alias("prev_score"),

@@ -2,7 +2,8 @@
 
 Events are read once, for the counters of their day: a small table per user,
 type, rule and day. Baselines, scores, and scores after a change of weights or
-settings read counters alone.
+settings read counters alone. Previous scores come from a table of the newest
+score per user, carried on from day to day.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from ..operators import behaviour, scoring
 from ..operators.scoring import Settings
 from ..schema import BASELINE_DDL, COUNTER_DDL
 from ..session import LOCAL_TZ, stage
+from ..sources.newest import NewestScores
 from ..sources.stores import read_day_range, upsert_scores, write_partitions
 
 
@@ -38,9 +40,11 @@ class DailyJob:
     tz: str = LOCAL_TZ
     counters_path: str = ""
     late_days: int = 1
+    newest_path: str = ""
 
     def __post_init__(self) -> None:
         self.counters_path = self.counters_path or f"{self.scores_path.rstrip('/')}_counters"
+        self.newest_path = self.newest_path or f"{self.scores_path.rstrip('/')}_newest"
 
     def log(self, spark: SparkSession, first: str, last: str) -> DataFrame:
         return read_day_range(spark, self.log_path, first, last)
@@ -106,11 +110,8 @@ class DailyJob:
         Running it again after a rule change replaces the day's scores. Events
         are read again only where the change is in what the rules count.
         """
-        stored = self.scores(spark)
-        if stored is None:
-            previous = spark.createDataFrame([], "user_id string, prev_score double, days_since int")
-        else:
-            previous = scoring.prev_scores(stored, as_of, tz=self.tz)
+        newest = NewestScores(self.newest_path, tz=self.tz)
+        previous = scoring.previous_of(newest.before(spark, self.scores(spark), as_of), as_of, tz=self.tz)
         known = self.baselines(spark, as_of)
         if known is None:  # the first day of a log has nothing before it
             known = spark.createDataFrame([], BASELINE_DDL)
@@ -118,7 +119,10 @@ class DailyJob:
         counts, values = behaviour.counted_types(today), behaviour.counted_values(today)
         out = scoring.daily_risk(counts, values, rules, known, profiles, previous, self.settings, as_of)
         end = F.lit(midnight(as_of, self.tz, 1)) - F.expr("interval 1 second")
-        upsert_scores(stage(out.drop("day").withColumn("ts", end), "scores"), self.scores_path, self.tz)
+        fresh = stage(out.drop("day").withColumn("ts", end), "scores")
+        # Later generations hold this day's scores; they go first, so that a run that stops here leaves none of them.
+        newest.forget(spark, as_of)
+        upsert_scores(fresh, self.scores_path, self.tz)
 
     def run(self, spark: SparkSession, rules: Sequence[Mapping[str, Any]], profiles: DataFrame, as_of: str) -> None:
         self.count_days(spark, rules, self._before(as_of, self.late_days), as_of)
