@@ -6,12 +6,13 @@ one first: longer repeats of earlier steps come before shorter ones. A row moves
 every place once. When a place completes the rule, the places behind it are
 given up and those before it go on, as they would give a preferred match.
 
-Starts with equal lists behave alike, so a move is looked up once per list and
-applied to all of them as one array operation.
+Starts with equal lists behave alike, so a move is looked up once per list. While
+few starts are open they are moved one by one, many of them as one array operation.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Mapping, Sequence
 from typing import Any
 
@@ -19,11 +20,8 @@ import numpy as np
 
 Places = tuple[tuple[int, int], ...]
 
-#: State of an open rule as stored: places as flat pairs, one entry per start, the last rows of matches found so far.
-OPEN_DDL = (
-    "seen bigint, lists array<array<int>>, state array<int>, start array<bigint>, pos array<bigint>, stop array<bigint>, "
-    "lasts array<struct<pos:bigint,micros:bigint,event_id:bigint,user_id:string,hostname:string,user_ip:string>>"
-)
+#: Open starts up to which each is moved by itself.
+FEW = 48
 _NEVER = -1
 
 
@@ -37,6 +35,7 @@ class Moves:
         self.first = self.of(((0, 0),))
         self._to: dict[int, np.ndarray] = {}
         self._done: dict[int, np.ndarray] = {}
+        self.steps: dict[int, dict[int, tuple[int, bool]]] = {}
 
     def of(self, places: Places) -> int:
         if places not in self.number:
@@ -61,6 +60,14 @@ class Moves:
                 out.setdefault((step + 1, 0))
         return tuple(out), False
 
+    def one(self, mask: int) -> dict[int, tuple[int, bool]]:
+        """``move`` by the number of a list, for the lists known so far."""
+        known = self.steps.setdefault(mask, {})
+        for s in range(len(known), len(self.lists)):
+            places, done = self.move(self.lists[s], mask)
+            known[s] = self.of(places), done
+        return known
+
     def all(self, state: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray]:
         """``move`` for an array of lists."""
         to, done = self._to.get(mask), self._done.get(mask)
@@ -97,8 +104,11 @@ class PartialMatches:
 
     def feed(self, rows: Sequence[tuple[int, int, tuple]]) -> list[tuple[int, tuple]]:
         """Take rows ``(micros, mask, last-row columns)`` in order; returns ``(rows matched, last row)`` of decided matches."""
-        self._make_room(len(rows))
         out: list[tuple[int, tuple]] = []
+        rows = rows[self._feed_few(rows, out) :]
+        if not rows:
+            return out
+        self._make_room(len(rows))
         for micros, mask, columns in rows:
             self._expire(micros)
             if mask & 1:
@@ -117,6 +127,52 @@ class PartialMatches:
                 self.first = self.n = 0
         return out
 
+    def _feed_few(self, rows: Sequence[tuple[int, int, tuple]], out: list[tuple[int, tuple]]) -> int:
+        """``feed`` as long as few starts are open; returns how many rows were taken."""
+        if self.n - self.first > FEW:
+            return 0
+        state, start, pos, stop = (a[self.first : self.n].tolist() for a in (self.state, self.start, self.pos, self.stop))
+        moves, first, within, seen = self.moves, self.moves.first, self.within, self.seen
+        steps = moves.steps
+        taken = 0
+        for micros, mask, columns in rows:
+            if len(state) > FEW:
+                break
+            taken += 1
+            if mask & 1:
+                state.append(first)
+                start.append(micros)
+                pos.append(seen)
+                stop.append(_NEVER)
+            if state:
+                # A start whose time is over, this row's own not among them, can't be moved any more.
+                over = bisect.bisect_right(start, micros - within) if start[0] <= micros - within else 0
+                to = steps.get(mask) or moves.one(mask)
+                for j, s in enumerate(state):
+                    if j < over:
+                        state[j] = 0
+                    elif s:
+                        if s not in to:
+                            to = moves.one(mask)
+                        state[j], done = to[s]
+                        if done:
+                            stop[j] = seen
+                            self.lasts[seen] = columns
+                head = 0
+                while head < len(state) and state[head] == 0:
+                    end = stop[head]
+                    if end >= 0:
+                        out.append((end - pos[head] + 1, self.lasts[end]))
+                        head = bisect.bisect_right(pos, end, head)
+                    else:
+                        head += 1
+                if head:
+                    del state[:head], start[:head], pos[:head], stop[:head]
+            seen += 1
+        self.seen, self.first, self.n = seen, 0, len(state)
+        self.state, self.start, self.pos, self.stop = (np.array(a, dtype=np.int64) for a in (state, start, pos, stop))
+        return taken
+
     def settle(self, mark: int) -> list[tuple[int, tuple]]:
         """No row before ``mark`` will come any more: decide the starts whose time is over."""
         out: list[tuple[int, tuple]] = []
