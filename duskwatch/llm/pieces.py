@@ -92,11 +92,16 @@ def read_vocabulary(model: str) -> Vocabulary:
 
 def _find(v: Vocabulary, h: np.ndarray) -> np.ndarray:
     """Ids of the pieces with hash ``h``, -1 where there is none."""
-    size = len(v.slots)
-    at = ((h >> np.uint64(40)) % np.uint64(size)).astype(np.int64)
+    size = len(v.slots)  # a power of two
+    at = ((h >> np.uint64(40)) & np.uint64(size - 1)).astype(np.int64)
     found = v.slots[at]
-    out = np.where((found >= 0) & (v.hashes[found] == h), found, -1)
-    open_ = np.flatnonzero((found >= 0) & (out < 0))
+    out = np.full(len(h), -1, np.int32)
+    # Most slots are empty.
+    open_ = np.flatnonzero(found >= 0)
+    found = found[open_]
+    hit = v.hashes[found] == h[open_]
+    out[open_[hit]] = found[hit]
+    open_ = open_[~hit]
     while len(open_):
         at[open_] = (at[open_] + 1) % size
         found = v.slots[at[open_]]
@@ -131,6 +136,8 @@ def lattices(words: list[str], v: Vocabulary, alpha: float) -> Lattices:
             m = alive[start + k + 1]
             h = _hash(chars[start + k], h[:m] if k else h)
             edge[level[start + k + 1] : level[start + k + 1] + m, k] = _find(v, h)
+    # By piece id; -1, no piece, is the last.
+    gain = np.append(alpha * v.log_p, -np.inf)
     forward = np.zeros(int(level[-1]))
     upto = np.zeros((int(level[-1]), width), np.float32)
     for p in range(1, top + 1):
@@ -140,10 +147,9 @@ def lattices(words: list[str], v: Vocabulary, alpha: float) -> Lattices:
         spell = ids[:, 0] < 0
         real = np.where(code == ord(LITERAL), ord(SPACE), code)
         n_bytes = 1 + (real >= 0x80).astype(np.int64) + (real >= 0x800) + (real >= 0x10000)
-        weight = np.full((m, min(width, p)), -np.inf)
+        weight = gain[ids[:, : min(width, p)]]
         for k in range(min(width, p)):
-            has = ids[:, k] >= 0
-            weight[has, k] = forward[level[p - k - 1] : level[p - k - 1] + m][has] + alpha * v.log_p[ids[has, k]]
+            weight[:, k] += forward[level[p - k - 1] : level[p - k - 1] + m]
         weight[spell, 0] = forward[level[p - 1] : level[p - 1] + m][spell] + alpha * v.log_p[v.byte_ids[0]] * n_bytes[spell]
         ids[spell, 0] = -1 - real[spell].astype(np.int64)
         best = weight.max(axis=1)
