@@ -1,10 +1,11 @@
 """Sampled segmentation into the pieces of a SentencePiece vocabulary, and lossless decoding.
 
 No piece reaches over the start of a word, so the lattice of a text is the
-chain of the lattices of its words. Forward filtering runs once per distinct
-word of a part of a batch, over all words together; backward sampling then
-draws one piece at a time for all words together. A draw is a function of the
-row's key, the seed and the position of the lattice node in its text, so
+chain of the lattices of its words. Forward filtering runs over all new
+distinct words of a part of a batch together, and a task keeps the lattices of
+the words it met, up to a bound; backward sampling then draws one piece at a
+time for all words together. A lattice is a function of its word, a draw one of
+the row's key, the seed and the position of the lattice node in its text, so
 neither the partitioning nor a retried task changes a segmentation.
 """
 
@@ -13,10 +14,12 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,10 +29,16 @@ from .words import mix, parts
 SPACE = "▁"
 #: Stands for a literal SPACE character of the text, which must come back as such. No text holds a lone surrogate.
 LITERAL = "\ud800"
+#: Stands between words that are worked on together; likewise in no text, and in no piece.
+BREAK = "\ud801"
 #: A longer word is cut after every so many characters, and no piece reaches over a cut.
 WORD_CHARS = 256
 #: Words worked on together; bounds the arrays of a batch or of a very long text.
 PART_WORDS = 150_000
+#: Characters of the words whose lattices a task keeps, some 50 bytes each; beyond it starts over with the words of a part.
+KEPT_CHARS = 2_500_000
+#: Characters of new words filtered together; bounds the arrays that filtering needs for a while, some 200 bytes each.
+BLOCK_CHARS = 150_000
 
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -41,8 +50,8 @@ class Vocabulary(NamedTuple):
     log_p: np.ndarray  # by id
     byte_ids: np.ndarray  # by byte
     longest: int
-    slots: np.ndarray  # open-addressed table of piece ids, by hash of the piece
-    hashes: np.ndarray  # by id
+    slots: np.ndarray  # open-addressed table of the hashes of all beginnings of pieces; 0 where empty
+    ids: np.ndarray  # by slot: the id of the piece, -1 for a beginning that is none
 
 
 def _hash(codes: np.ndarray, before: np.ndarray | np.uint64) -> np.ndarray:
@@ -73,95 +82,157 @@ def read_vocabulary(model: str) -> Vocabulary:
     total = math.log(sum(math.exp(s) for s in score.values()))
     log_p = np.full(n, min(score.values()) - total)
     log_p[list(score)] = np.array(list(score.values())) - total
-    hashes = np.zeros(n, np.uint64)
-    size = 1 << (4 * n).bit_length()
-    slots = np.full(size, -1, np.int32)
-    for length in set(map(len, pieces)) - {0}:
-        of = [i for i in score if len(pieces[i]) == length]
-        codes = np.frombuffer("".join(pieces[i] for i in of).encode("utf-32-le"), np.uint32).astype(np.uint64).reshape(-1, length)
+    ids = {pieces[i][:k]: -1 for i in score for k in range(1, len(pieces[i]))} | {pieces[i]: i for i in score}
+    size = 1 << (4 * len(ids)).bit_length()
+    slots, by_slot = [0] * size, np.full(size, -1, np.int32)
+    for length in set(map(len, ids)):
+        of = [p for p in ids if len(p) == length]
+        codes = np.frombuffer("".join(of).encode("utf-32-le"), np.uint32).astype(np.uint64).reshape(-1, length)
         h = np.zeros(len(of), np.uint64)
         for k in range(length):
             h = _hash(codes[:, k], h)
-        hashes[of] = h
-    for i, at in zip(score, ((hashes[list(score)] >> np.uint64(40)) % np.uint64(size)).tolist(), strict=True):
-        while slots[at] >= 0:
-            at = (at + 1) % size
-        slots[at] = i
-    return Vocabulary(pieces, log_p, byte_ids, max(map(len, pieces)), slots, hashes)
-
-
-def _find(v: Vocabulary, h: np.ndarray) -> np.ndarray:
-    """Ids of the pieces with hash ``h``, -1 where there is none."""
-    size = len(v.slots)  # a power of two
-    at = ((h >> np.uint64(40)) & np.uint64(size - 1)).astype(np.int64)
-    found = v.slots[at]
-    out = np.full(len(h), -1, np.int32)
-    # Most slots are empty.
-    open_ = np.flatnonzero(found >= 0)
-    found = found[open_]
-    hit = v.hashes[found] == h[open_]
-    out[open_[hit]] = found[hit]
-    open_ = open_[~hit]
+        for p, x, at in zip(of, h.tolist(), _slot(h, size).tolist(), strict=True):
+            while slots[at]:
+                at = (at + 1) % size
+            slots[at], by_slot[at] = x, ids[p]
+    return Vocabulary(pieces, log_p, byte_ids, max(map(len, pieces)), np.array(slots, np.uint64), by_slot)
+
+
+def _slot(h: np.ndarray, size: int) -> np.ndarray:
+    return ((h >> np.uint64(40)) & np.uint64(size - 1)).view(np.int64)  # the size is a power of two
+
+
+def _find(v: Vocabulary, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the hashes ``h`` are beginnings of pieces, and the slots of these."""
+    size = len(v.slots)
+    at = _slot(h, size)
+    there = v.slots[at]
+    hit = there == h
+    open_ = np.flatnonzero(~hit & (there != 0))
     while len(open_):
         at[open_] = (at[open_] + 1) % size
-        found = v.slots[at[open_]]
-        hit = (found >= 0) & (v.hashes[found] == h[open_])
-        out[open_[hit]] = found[hit]
-        open_ = open_[(found >= 0) & ~hit]
-    return out
-
+        there = v.slots[at[open_]]
+        same = there == h[open_]
+        hit[open_[same]] = True
+        open_ = open_[~same & (there != 0)]
+    hit = np.flatnonzero(hit)
+    return hit, at[hit]
 
-class Lattices(NamedTuple):
-    """Lattices of distinct words, longest first. A node is ``level[p] + word``; ``edge`` and ``upto`` are by node and length - 1."""
 
-    level: np.ndarray
-    edge: np.ndarray  # piece id, or -1 - code point for a spelled character
-    upto: np.ndarray  # cumulative probability of the lengths of the last piece
+class Lattices:
+    """Lattices of distinct words: a node per character, after it, and one before the first. Words are added as they come.
 
+    The edges into a node stand together, shorter ones first; ``last`` is by
+    node, and the node ``n`` characters before another is ``n`` below it.
+    """
 
-def lattices(words: list[str], v: Vocabulary, alpha: float) -> Lattices:
-    """Forward filtering. ``words`` are in descending order of length."""
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    top = int(sizes[0])
-    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    alive = np.searchsorted(-sizes, -np.arange(top + 1), side="right")  # words with p characters or more
+    def __init__(self, v: Vocabulary, alpha: float):
+        self.v, self.alpha = v, alpha
+        # By piece id; -1, no piece, is the last.
+        self.gain = np.append(alpha * v.log_p, -np.inf)
+        self.forget()
+
+    def forget(self) -> None:
+        self.end: dict[str, int] = {}  # last node by word
+        self.nodes = self.edges = 0  # in use; the arrays have room for more
+        self.last, self.depth = np.empty(0, np.int32), np.empty(0, np.int16)  # by node: its last edge, characters before it
+        self.piece = np.empty(0, np.int32)  # by edge: piece id, or -1 - code point for a spelled character
+        self.size = np.empty(0, np.int16)  # by edge: characters
+        self.low = np.empty(0, np.float32)  # by edge: cumulative probability of the edges before it
+
+    def ends(self, words: list[str]) -> np.ndarray:
+        """The last nodes of ``words``; new words are added."""
+        found = self._known(words)
+        missing = np.flatnonzero(found < 0)
+        if not len(missing):
+            return found
+        some = [words[i] for i in missing.tolist()]
+        new = set(some)
+        if self.end and self.nodes + sum(map(len, new)) > KEPT_CHARS:
+            self.forget()
+            some, new, missing = words, set(words), slice(None)
+        self._add(sorted(new, key=len, reverse=True))
+        found[missing] = self._known(some)
+        return found
+
+    def _known(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.end.get, words, repeat(-1)), np.int64, len(words))
+
+    def _add(self, words: list[str]) -> None:
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        block = np.cumsum(sizes) // BLOCK_CHARS
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(words)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            last, depth, piece, size, low = _filter(words[a:b], sizes[a:b], self.v, self.gain, self.alpha)
+            self.end.update(zip(words[a:b], (np.cumsum(sizes[a:b] + 1) + (self.nodes - 1)).tolist(), strict=True))
+            self.last, self.depth = _put(self.last, self.nodes, last + np.int32(self.edges)), _put(self.depth, self.nodes, depth)
+            self.piece, self.size, self.low = _put(self.piece, self.edges, piece), _put(self.size, self.edges, size), _put(self.low, self.edges, low)
+            self.nodes, self.edges = self.nodes + len(last), self.edges + len(low)
+
+
+def _put(into: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """``into`` with ``more`` after its first ``used`` values, in place if there is room."""
+    upto = used + len(more)
+    if upto > len(into):
+        into = np.concatenate([into[:used], np.empty(upto + upto // 2 - used, into.dtype)])
+    into[used:upto] = more
+    return into
+
+
+def _filter(words: list[str], sizes: np.ndarray, v: Vocabulary, gain: np.ndarray, alpha: float) -> tuple[np.ndarray, ...]:
+    """Forward filtering: ``last``, ``depth``, ``piece``, ``size`` and ``low`` of ``words``, which are in descending order of length."""
+    n, top = len(words), int(sizes[0])
+    codes = np.frombuffer(BREAK.join(["", *words, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    begin = np.cumsum(sizes + 1) - (sizes + 1)
+    # A node is filtered with those of its depth; among them, the words with so many characters or more.
+    alive = np.searchsorted(-sizes, -np.arange(top + 1), side="right")
     level = np.concatenate([[0], np.cumsum(alive)])
-    chars = [codes[begin[: alive[p + 1]] + p] for p in range(top)]
+    depth = np.arange(len(codes) - 1) - np.repeat(begin, sizes + 1)
+    order = level[depth] + np.repeat(np.arange(n), sizes + 1)
     width = min(v.longest, top)
-    edge = np.full((int(level[-1]), width), -1, np.int32)
-    for start in range(top):
-        h = np.uint64(0)
-        for k in range(min(width, top - start)):
-            m = alive[start + k + 1]
-            h = _hash(chars[start + k], h[:m] if k else h)
-            edge[level[start + k + 1] : level[start + k + 1] + m, k] = _find(v, h)
-    # By piece id; -1, no piece, is the last.
-    gain = np.append(alpha * v.log_p, -np.inf)
-    forward = np.zeros(int(level[-1]))
-    upto = np.zeros((int(level[-1]), width), np.float32)
+    edge = np.full((width, len(order)), -1, np.int32)
+    at, h = np.flatnonzero(codes != ord(BREAK)), np.uint64(0)
+    for k in range(width):
+        h = _hash(codes[at + k], h)
+        hit, slot = _find(v, h)
+        at, h, ids = at[hit], h[hit], v.ids[slot]
+        is_piece = np.flatnonzero(ids >= 0)
+        edge[k, order[at[is_piece] + k]] = ids[is_piece]
+    forward = np.zeros(len(order))
+    low = np.full((width, len(order)), 2, np.float32)
     for p in range(1, top + 1):
-        m, at = alive[p], level[p]
-        ids = edge[at : at + m]
-        code = chars[p - 1]
-        spell = ids[:, 0] < 0
-        real = np.where(code == ord(LITERAL), ord(SPACE), code)
-        n_bytes = 1 + (real >= 0x80).astype(np.int64) + (real >= 0x800) + (real >= 0x10000)
-        weight = gain[ids[:, : min(width, p)]]
-        for k in range(min(width, p)):
-            weight[:, k] += forward[level[p - k - 1] : level[p - k - 1] + m]
-        weight[spell, 0] = forward[level[p - 1] : level[p - 1] + m][spell] + alpha * v.log_p[v.byte_ids[0]] * n_bytes[spell]
-        ids[spell, 0] = -1 - real[spell].astype(np.int64)
-        best = weight.max(axis=1)
-        part = np.exp(weight - best[:, None])
-        total = part.sum(axis=1)
-        forward[at : at + m] = best + np.log(total)
-        share = np.cumsum(part / total[:, None], axis=1).astype(np.float32)
-        # From the last possible length on nothing is left over for rounding.
-        share[np.arange(share.shape[1]) >= (share.shape[1] - 1 - np.argmax(part[:, ::-1] > 0, axis=1))[:, None]] = 2
-        upto[at : at + m, : share.shape[1]] = share
-        upto[at : at + m, share.shape[1] :] = 2
-    return Lattices(level, edge, upto)
+        here, wide = slice(level[p], level[p] + alive[p]), min(width, p)
+        ids = edge[:wide, here]
+        weight = gain[ids]
+        for k in range(wide):
+            weight[k] += forward[level[p - k - 1] : level[p - k - 1] + alive[p]]
+        spell = np.flatnonzero(ids[0] < 0)
+        if len(spell):
+            real = codes[begin[spell] + p].astype(np.int32)
+            real[real == ord(LITERAL)] = ord(SPACE)
+            n_bytes = 1 + (real >= 0x80).astype(np.int64) + (real >= 0x800) + (real >= 0x10000)
+            weight[0, spell] = forward[level[p - 1] + spell] + alpha * v.log_p[v.byte_ids[0]] * n_bytes
+            ids[0, spell] = -1 - real
+        best = weight.max(axis=0)
+        part = np.exp(weight - best)
+        # Added up one by one, as a sum's order may depend on the number of words.
+        upto = np.cumsum(part, axis=0)
+        total = upto[-1]
+        forward[here] = best + np.log(total)
+        low[0, here] = 0
+        np.copyto(low[1:wide, here], upto[:-1] / total, where=part[1:] > 0, casting="same_kind")
+    has = low < 2
+    count = has.sum(axis=0, dtype=np.int32)
+    last = np.cumsum(count, dtype=np.int32) - np.int32(1)
+    free = last + np.int32(1) - count
+    n_edges = int(last[-1]) + 1
+    piece, size, cumulative = np.empty(n_edges, np.int32), np.empty(n_edges, np.int16), np.empty(n_edges, np.float32)
+    for k in range(width):
+        node = np.flatnonzero(has[k])
+        to = free[node]
+        piece[to], size[to], cumulative[to] = edge[k, node], k + 1, low[k, node]
+        free[node] += 1
+    return last[order], depth.astype(np.int16), piece, size, cumulative
 
 
 def _spelled(ids: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -184,34 +255,39 @@ def _spelled(ids: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     return out, times
 
 
-def _part(words: list[str], key: np.ndarray, position: np.ndarray, v: Vocabulary, alpha: float) -> tuple[np.ndarray, np.ndarray]:
-    """Sampled piece ids of ``words`` in order, and their number by word."""
-    distinct = sorted(dict.fromkeys(words), key=len, reverse=True)
-    number = {w: i for i, w in enumerate(distinct)}
-    of = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-    lat = lattices(distinct, v, alpha)
-    left = np.fromiter(map(len, words), np.int64, len(words))
-    at = np.arange(len(words))
+def _part(words: list[str], key: np.ndarray, offset: np.ndarray, count: np.ndarray, lat: Lattices) -> tuple[np.ndarray, np.ndarray]:
+    """Sampled piece ids of ``words`` in order, and their number by stretch of ``count`` words; ``offset`` and ``key`` are those of the stretches."""
+    node = lat.ends(words)
+    left = lat.depth[node].astype(np.int32)
+    ends = np.cumsum(left, dtype=np.int64)
+    position = ends - left
+    first = np.cumsum(count) - count
+    # A draw's place is the key of its row, moved on by its node's position in the text.
+    place = np.repeat(key + (offset - position[first]).astype(np.uint64) * _GOLDEN, count) + position.astype(np.uint64) * _GOLDEN
+    at, steps = np.arange(len(words)), np.zeros(len(words), np.int64)
     taken: list[tuple[np.ndarray, np.ndarray]] = []
     while len(at):
-        node = lat.level[left[at]] + of[at]
-        with np.errstate(over="ignore"):
-            draw = mix(key[at] + (position[at] + left[at]).astype(np.uint64) * _GOLDEN)
-        u = ((draw >> np.uint64(40)).astype(np.float32)) * np.float32(2.0**-24)
-        size = (lat.upto[node] <= u[:, None]).sum(axis=1)
-        taken.append((at, lat.edge[node, size]))
-        left[at] -= size + 1
-        at = at[left[at] > 0]
-    steps = np.zeros(len(words), np.int64)
-    for at, _ in taken:
-        steps[at] += 1
+        draw = mix(place + left.astype(np.uint64) * _GOLDEN)
+        u = (draw >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
+        # The last edge that begins at the draw or below.
+        edge = lat.last[node]
+        open_ = np.flatnonzero(lat.low[edge] > u)
+        while len(open_):
+            edge[open_] -= 1
+            open_ = open_[lat.low[edge[open_]] > u[open_]]
+        taken.append((at, lat.piece[edge]))
+        steps[at] = len(taken)
+        size = lat.size[edge]
+        more = np.flatnonzero(left > size)
+        at, place, size = at[more], place[more], size[more]
+        left, node = left[more] - size, node[more] - size
     ends = np.cumsum(steps)
-    ids = np.empty(int(ends[-1]) if len(words) else 0, np.int32)
+    ids = np.empty(int(ends[-1]), np.int32)
     for k, (at, piece) in enumerate(taken):
         ids[ends[at] - 1 - k] = piece
-    ids, times = _spelled(ids, v)
-    upto = np.concatenate([[0], np.cumsum(times)])
-    return ids, upto[ends] - upto[ends - steps]
+    ids, times = _spelled(ids, v=lat.v)
+    upto = np.concatenate([[0], np.cumsum(times)])[np.append(0, ends)]
+    return ids, upto[first + count] - upto[first]
 
 
 def split_words(text: str) -> list[str]:
@@ -220,35 +296,41 @@ def split_words(text: str) -> list[str]:
         return []
     if SPACE in text:
         text = text.replace(SPACE, LITERAL)
-    words = _WORD.findall(SPACE + text.replace(" ", SPACE))
+    if text[0] != " " and "  " not in text:
+        words = (SPACE + text.replace(" ", BREAK + SPACE)).split(BREAK)
+    else:
+        words = _WORD.findall(SPACE + text.replace(" ", SPACE))
     if max(map(len, words)) > WORD_CHARS:
         words = [w[i : i + WORD_CHARS] for w in words for i in range(0, len(w), WORD_CHARS)]
     return words
 
 
-def sample(texts: list[str | None], keys: np.ndarray, v: Vocabulary, alpha: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    """Piece ids of all texts in order, and the offsets of the texts in them."""
+def sample(texts: list[str | None], keys: np.ndarray, v: Vocabulary, alpha: float = 1.0, lat: Lattices | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Piece ids of all texts in order, and the offsets of the texts in them; ``lat`` holds lattices from one call to the next."""
+    lat = lat or Lattices(v, alpha)
     ids: list[np.ndarray] = []
     counts = np.zeros(len(texts), np.int64)
-    rows, words, held = [], [], 0
+    held: list[str] = []
+    stretches: list[tuple[int, int, int]] = []  # row, characters of the row before, words
 
     def flush():
-        nonlocal rows, words, held
+        nonlocal held, stretches
         if held:
-            row = np.repeat(np.array([r for r, _, _ in rows]), [len(w) for _, w, _ in rows])
-            position = np.concatenate([p for _, _, p in rows])
-            got, n = _part([x for _, w, _ in rows for x in w], keys[row], position, v, alpha)
+            row, offset, count = np.array(stretches, np.int64).T
+            got, n = _part(held, keys[row], offset, count, lat)
             ids.append(got)
             np.add.at(counts, row, n)
-        rows, held = [], 0
+        held, stretches = [], []
 
     for r, text in enumerate(texts):
-        words = split_words(text or "")
-        position = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))])[:-1].astype(np.int64)
+        words, before = split_words(text or ""), 0
         for i in range(0, len(words), PART_WORDS):
-            rows.append((r, words[i : i + PART_WORDS], position[i : i + PART_WORDS]))
-            held += len(rows[-1][1])
-            if held >= PART_WORDS:
+            some = words[i : i + PART_WORDS] if len(words) > PART_WORDS else words
+            stretches.append((r, before, len(some)))
+            held += some
+            if len(some) < len(words):
+                before += sum(map(len, some))
+            if len(held) >= PART_WORDS:
                 flush()
     flush()
     return np.concatenate(ids) if ids else np.zeros(0, np.int32), np.concatenate([[0], np.cumsum(counts)])
@@ -288,26 +370,25 @@ def encode(df: DataFrame, model: str, key: str = "doc_id", text: str = "text", o
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = read_vocabulary(model)
-        byte = _bytes_by_id(v)
-        lengths = None
+        byte, lat = pa.array(_bytes_by_id(v), pa.large_binary()), Lattices(v, alpha)
         for batch in parts(batches, at_text, 1 << 20):
             texts = batch.column(at_text).to_pylist()
             keys = batch.column(len(names)).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            ids, offsets = sample(texts, keys, v, alpha)
+            ids, offsets = sample(texts, keys, v, alpha, lat)
             null = np.array([t is None for t in texts], dtype=bool)
             listed = pa.ListArray.from_arrays(pa.array(np.where(np.append(null, False), 0, offsets), pa.int32(), mask=np.append(null, False)), pa.array(ids, pa.int32()))
             columns = [*batch.columns[: len(names)], listed]
             if check:
-                lengths = lengths if lengths is not None else np.array(list(map(len, byte)))
-                columns.append(pa.array(_comes_back(texts, ids, offsets, byte, lengths), pa.bool_()))
+                columns.append(pa.array(_comes_back(texts, ids, offsets, byte), pa.bool_()))
             yield pa.RecordBatch.from_arrays(columns, names=[*names, *[f.name for f in fields]])
 
     return keyed.mapInArrow(work, T.StructType([*plain.schema.fields, *fields]))
 
 
-def _comes_back(texts, ids, offsets, byte, lengths) -> list[bool | None]:
-    raw = b"".join(map(byte.__getitem__, ids.tolist()))
-    ends = np.concatenate([[0], np.cumsum(lengths[ids])])[offsets].tolist()
+def _comes_back(texts: list[str | None], ids: np.ndarray, offsets: np.ndarray, byte: pa.LargeBinaryArray) -> list[bool | None]:
+    spelled = byte.take(pa.array(ids))
+    raw = spelled.buffers()[2].to_pybytes() if len(ids) else b""
+    ends = np.concatenate([[0], np.cumsum(pc.binary_length(spelled).to_numpy())])[offsets].tolist()
     return [None if t is None else (raw[a + 1 : b] if b > a else b"") == t.encode("utf-8") for t, a, b in zip(texts, ends[:-1], ends[1:], strict=True)]
 
 

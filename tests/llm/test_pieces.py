@@ -63,3 +63,59 @@ def test_parts_of_a_batch_change_nothing(vocabulary, monkeypatch):
     monkeypatch.setattr(P, "PART_WORDS", 50)
     parts = P.sample(TEXTS, keys, vocabulary)
     assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
+
+
+def test_lattices_are_filtered_once_per_distinct_word(vocabulary, monkeypatch):
+    filtered, plain = [], P._filter
+    monkeypatch.setattr(P, "_filter", lambda words, *rest: (filtered.extend(words), plain(words, *rest))[1])
+    lat, keys = P.Lattices(vocabulary, 0.9), mix(np.arange(len(TEXTS)).astype(np.uint64))
+    first = P.sample(TEXTS, keys, vocabulary, 0.9, lat)
+    assert len(filtered) == len(set(filtered)) == len({w for t in TEXTS for w in P.split_words(t or "")})
+    again = P.sample([*TEXTS, "brown foxes"], np.append(keys, keys[:1]), vocabulary, 0.9, lat)
+    assert filtered[-1:] == ["▁foxes"] and len(filtered) == len(set(filtered))
+    assert (again[0][: len(first[0])] == first[0]).all() and (again[1][: len(first[1])] == first[1]).all()
+
+
+@pytest.mark.parametrize(("kept", "block"), [(0, 1), (30, 7), (10_000, 100)])
+def test_bounds_on_lattices_change_nothing(vocabulary, monkeypatch, kept, block):
+    keys = mix(np.arange(len(TEXTS)).astype(np.uint64))
+    whole = P.sample(TEXTS, keys, vocabulary, 0.9)
+    monkeypatch.setattr(P, "KEPT_CHARS", kept)
+    monkeypatch.setattr(P, "BLOCK_CHARS", block)
+    lat = P.Lattices(vocabulary, 0.9)
+    parts = [P.sample([t], keys[i : i + 1], vocabulary, 0.9, lat)[0] for i, t in enumerate(TEXTS)]
+    assert (np.concatenate(parts) == whole[0]).all()
+    assert lat.nodes <= kept or len(lat.end) == len(set(P.split_words(TEXTS[-1])))
+
+
+def one_by_one(text, key, v, alpha):
+    """Filtering and drawing as defined, a word and a piece at a time."""
+    number = {p: i for i, p in enumerate(v.pieces) if p}
+    out, before = [], 0
+    for word in P.split_words(text):
+        forward, into = [0.0], [[]]
+        for p in range(1, len(word) + 1):
+            ways = [(k, number[word[p - k : p]], alpha * v.log_p[number[word[p - k : p]]]) for k in range(1, min(p, v.longest) + 1) if word[p - k : p] in number]
+            if not ways or ways[0][0] > 1:
+                spelled = v.byte_ids[list((P.SPACE if word[p - 1] == P.LITERAL else word[p - 1]).encode())].tolist()
+                ways.insert(0, (1, spelled, alpha * v.log_p[v.byte_ids[0]] * len(spelled)))
+            weight = [math.exp(forward[p - k] + g - forward[p - 1]) for k, _, g in ways]
+            forward.append(forward[p - 1] + math.log(sum(weight)))
+            into.append([(k, i, c / sum(weight)) for (k, i, _), c in zip(ways, itertools.accumulate(weight), strict=True)])
+        got, p = [], len(word)
+        while p:
+            draw = mix(np.array([key], np.uint64) + np.array([before + p], np.uint64) * P._GOLDEN)
+            u = int(draw[0] >> np.uint64(40)) * 2.0**-24
+            k, i = next(((k, i) for k, i, c in into[p] if c > u), into[p][-1][:2])
+            got = (i if isinstance(i, list) else [i]) + got
+            p -= k
+        out, before = out + got, before + len(word)
+    return out
+
+
+def test_segmentations_are_those_drawn_one_by_one(vocabulary):
+    texts = [t for t in TEXTS if t] + [" lead", "trail  ", "two  in", "naïve Ångström 東京 word", "internationalization of incomprehensibilities"]
+    keys = mix(np.arange(len(texts)).astype(np.uint64))
+    ids, at = P.sample(texts, keys, vocabulary, 0.9)
+    for t, key, a, b in zip(texts, keys, at[:-1], at[1:], strict=True):
+        assert ids[a:b].tolist() == one_by_one(t, key, vocabulary, 0.9), t
