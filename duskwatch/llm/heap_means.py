@@ -52,7 +52,7 @@ def seeds(vectors: DataFrame, clusters: int = CLUSTERS) -> np.ndarray:
     """The vectors with the smallest hashes of their keys; rows of one key in the order of their components, without key last."""
     h = F.sha2(F.concat(F.lit("3:"), F.col("k").cast("string")), 256)
     first = vectors.orderBy(h.asc_nulls_last(), "x").limit(clusters).collect()
-    return np.array([r["x"] for r in first], np.int64).reshape(len(first), -1)
+    return np.array([r["x"] for r in first], np.int64).reshape(len(first), -1 if first else 0)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
